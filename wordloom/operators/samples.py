@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.blas import single_thread_blas
 from ..functions.vector import keep_probability, seeded_uniform
 from .joins import salted_lookup
 
@@ -255,6 +256,7 @@ def next_token_features(arrays: DataFrame, vectors: DataFrame, context_tokens: i
     C = context_tokens
 
     def run(batches):
+        single_thread_blas()
         mat, hv = bc.value
         for batch in batches:
             docs = batch.column("doc_id").to_numpy()

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "wordloom", extra: dict | None = None) -> SparkSession:
+    from .functions.blas import pin_environment
+    pin_environment()
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
