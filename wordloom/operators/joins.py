@@ -1,9 +1,10 @@
 """Lookup joins that stay balanced when a few keys carry most of the rows.
 
 A token stream is extremely skewed: section tags occur once per document and
-punctuation is everywhere.  ``salted_lookup`` spreads each hot key over
-``salt_buckets`` shuffle partitions and replicates only the matching dimension
-rows.  The hot set comes from known counts (``weight_col``): a key is hot when
+punctuation is everywhere.  ``salted_lookup`` resolves hot keys map-side with
+a broadcast of their dimension rows and spreads their fact rows over the
+shuffle of the remaining join.  The hot set comes from known counts
+(``weight_col``): a key is hot when
 its count is at least ``hot_share`` of the total, so there are at most
 ``1 / hot_share`` hot keys - a proven bound, which is why that set (and only
 that set) is broadcast.  The large join itself is left to Catalyst / AQE,
@@ -26,25 +27,41 @@ def hot_keys(dim: DataFrame, key: str, weight_col: str, hot_share: float = 1e-4)
 
 
 def salted_lookup(facts: DataFrame, dim: DataFrame, key: str, *, weight_col: str | None = None,
-                  how: str = "inner", hot_share: float = 1e-4, salt_buckets: int = 32,
+                  how: str = "inner", hot_share: float = 1e-4, salt_buckets: int = 64,
                   salt_cols: list | None = None) -> DataFrame:
     """Equi-join ``facts`` to a dimension with unique ``key`` (inner or left).
 
-    ``salt_cols`` are fact columns hashed to pick the salt of a hot row
-    (default: all fact columns).
+    One pass over ``facts``:
+
+    1. hot keys (bounded set, see module doc) are resolved map-side by a
+       broadcast join against the hot slice of the dimension;
+    2. the remaining equi-join runs on ``(key, salt)``: cold rows carry salt 0
+       and meet the dimension normally, hot rows carry a salt in
+       1..salt_buckets (hash of ``salt_cols``) that matches nothing, so they
+       are spread over the shuffle instead of piling into one partition.
+
+    Catalyst / AQE still choose broadcast or sort-merge for step 2 from the
+    measured size of the dimension.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_lookup supports inner and left joins")
     if weight_col is None:
         return facts.join(dim, key, how)
-    hot = F.broadcast(hot_keys(dim, key, weight_col, hot_share))
+    dim_cols = [c for c in dim.columns if c != key]
+    hot = hot_keys(dim, key, weight_col, hot_share)
+    hot_dim = F.broadcast(dim.join(hot, key, "left_semi")
+                             .select(key, *[F.col(c).alias("__hot_" + c) for c in dim_cols])
+                             .withColumn(_HOT, F.lit(True)))
     cols = salt_cols or [c for c in facts.columns if c != key]
-    salted_facts = (facts.join(hot, key, "left")
-                         .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)))
-                                             .otherwise(F.lit(0)).cast("int"))
-                         .drop(_HOT))
-    salted_dim = (dim.join(hot, key, "left")
-                     .withColumn(_SALT, F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                                   .otherwise(F.array(F.lit(0)))))
-                     .drop(_HOT))
-    return salted_facts.join(salted_dim, [key, _SALT], how).drop(_SALT)
+    staged = (facts.join(hot_dim, key, "left")
+                   .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*cols), F.lit(salt_buckets)) + 1)
+                                       .otherwise(F.lit(0)).cast("int")))
+    cold_dim = dim.withColumn(_SALT, F.lit(0))
+    joined = staged.join(cold_dim, [key, _SALT], "left")
+    out = joined.select(*[c for c in facts.columns],
+                        *[F.coalesce(F.col("__hot_" + c), F.col(c)).alias(c) for c in dim_cols],
+                        F.coalesce(F.col(_HOT), F.lit(False)).alias(_HOT),
+                        F.col(dim_cols[0]).isNotNull().alias("__cold_hit"))
+    if how == "inner":
+        out = out.filter(F.col(_HOT) | F.col("__cold_hit"))
+    return out.drop(_HOT, "__cold_hit")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_document
+from ..session import materialize
 from .ids import dense_ids
 from .joins import salted_lookup
 
@@ -53,13 +54,18 @@ def with_frequency(vocab: DataFrame) -> DataFrame:
 
 
 def vocabulary_counts(occ: DataFrame) -> DataFrame:
-    """V1 + V3 without ids: ``(token, occurrences, frequency)``."""
-    return with_frequency(count_tokens(occ).drop("first_seen"))
+    """V1 + V3 without ids: ``(token, occurrences, frequency)``.
+
+    The counts are materialized first so the total (a scalar subquery) reads
+    the small count table instead of re-running the corpus aggregate.
+    """
+    return with_frequency(materialize(count_tokens(occ).drop("first_seen")))
 
 
 def build_vocabulary(occ: DataFrame, keep_first_seen: bool = False) -> DataFrame:
     """V1-V3: ``(token_id, token, occurrences, frequency)``, ids 1..V by first appearance."""
-    vocab = dense_ids(with_frequency(count_tokens(occ)), ["first_seen"], id_col="token_id", start=1)
+    # dense_ids materializes the counts; the total then reads that table.
+    vocab = with_frequency(dense_ids(count_tokens(occ), ["first_seen"], id_col="token_id", start=1))
     cols = ["token_id", "token", "occurrences", "frequency"] + (["first_seen"] if keep_first_seen else [])
     return vocab.select(*cols)
 

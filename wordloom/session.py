@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage by writing a Parquet table into the shared checkpoint folder.
 
-    Used where a plan must be read twice with identical row placement (dense
-    ids), so a lost executor cannot make the two reads disagree.
+    Used where a plan must be read twice with identical values (dense ids),
+    so a lost executor cannot make the two reads disagree.  One write job
+    computes the plan once (``Dataset.checkpoint`` without a cache would run
+    it twice); the read-back is a plain file scan.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/wordloom-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
