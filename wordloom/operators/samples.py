@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.blas import single_thread_blas
 from ..functions.vector import keep_probability, seeded_uniform
+from ..session import materialize
 from .joins import salted_lookup
 
 
@@ -42,7 +43,11 @@ def with_sampling_flag(encoded: DataFrame, min_occurrences: int = 2, subsample:
 def id_arrays(encoded: DataFrame, with_keep: bool = False) -> DataFrame:
     """Per document ``(doc_id, ids ARRAY<LONG>[, keep ARRAY<BOOLEAN>])`` in position order."""
     fields = ["pos", "token_id"] + (["keep"] if with_keep else [])
-    s = (encoded.groupBy("doc_id")
+    # Few, heavy rows follow (windows, NumPy features): keep them spread over
+    # the configured partitions instead of letting AQE coalesce them into a
+    # handful of tasks.  The groupBy reuses this partitioning (one shuffle).
+    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = (encoded.repartition(n, "doc_id").groupBy("doc_id")
                 .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__s")))
     cols = ["doc_id", F.transform("__s", lambda x: x["token_id"]).alias("ids")]
     if with_keep:
@@ -143,8 +148,9 @@ def train_validation_split(samples: DataFrame, seed: int = 42, share: float = 0.
     rows.  By default validation rows stay in training, as in the reference;
     ``holdout=True`` removes them.
     """
-    keyed = samples.withColumn("__v", seeded_uniform(seed, F.lit("validation"), *keys))
-    n = samples.count()
+    # Written once: the count, the top-k and the join-back read the same table.
+    keyed = materialize(samples.withColumn("__v", seeded_uniform(seed, F.lit("validation"), *keys)))
+    n = keyed.count()
     k = int(min(int(Decimal(n) * Decimal(str(share))), cap))
     chosen = (keyed.orderBy("__v", *keys).limit(k).select(*keys)
                    .withColumn("validation", F.lit(True)))

@@ -26,6 +26,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Runtime (measured-size) broadcast limit for a single 32 GB node.
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold",
+                os.environ.get("WORDLOOM_BROADCAST_LIMIT", "64MB"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("WORDLOOM_DRIVER_MEMORY", "16g"))
