@@ -66,3 +66,12 @@ def test_encode_decode_with_hot_keys(spark):
 def test_distinct_count(spark):
     occ = _occ(spark, [(1, 0, "a"), (1, 1, "b"), (2, 0, "a")])
     assert vc.distinct_token_count(occ).first()[0] == 2
+
+
+def test_vocabulary_store_round_trip(spark):
+    import tempfile
+    v = vc.build_vocabulary(_occ(spark, [(1, 0, "x"), (1, 1, "y"), (2, 0, "x")]))
+    path = tempfile.mkdtemp(prefix="wl-vocab-") + "/v"
+    vc.write_vocabulary(v, path)
+    back = vc.read_vocabulary(spark, path, ordered=True).collect()
+    assert [(r.token_id, r.token, r.occurrences) for r in back] == [(1, "x", 2), (2, "y", 1)]

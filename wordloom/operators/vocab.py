@@ -146,3 +146,14 @@ def document_id_arrays(encoded: DataFrame) -> DataFrame:
     return (encoded.groupBy("doc_id")
                    .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("__s"))
                    .select("doc_id", F.transform("__s", lambda s: s["token_id"]).alias("ids")))
+
+
+def write_vocabulary(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a vocabulary table (Parquet); write a new path and swap for atomic updates."""
+    vocab.select("token_id", "token", "occurrences", "frequency").write.mode(mode).parquet(path)
+
+
+def read_vocabulary(spark, path: str, ordered: bool = False) -> DataFrame:
+    """Scan a vocabulary table; ``ordered`` adds a range sort by id."""
+    v = spark.read.parquet(path)
+    return v.orderBy("token_id") if ordered else v
