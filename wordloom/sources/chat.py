@@ -8,9 +8,11 @@ table (e.g. a conversations log) can feed them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ids import dense_ids
+from ..operators.joins import salted_lookup
 from ..schemas import CHAT_EXPORT
 
 # Header and message markup of chat documents.
@@ -64,12 +66,33 @@ def chat_header(server="server", channel="channel", topic="topic") -> Column:
                     F.lit(TOPIC_OPEN), F.coalesce(c(topic), F.lit("")), F.lit(TOPIC_CLOSE))
 
 
+def rank_messages(msgs: DataFrame) -> DataFrame:
+    """Add ``__g`` (global rank by chat, turn), ``__r`` (rank inside the chat) and ``__n`` (chat size).
+
+    No window partitioned by chat: a chat holding a large share of all
+    messages would be one task.  The global rank comes from the range-
+    partitioned dense-id operator; chat start and size are a map-side
+    combined aggregate joined back through the hot-key lookup.
+    """
+    ranked = dense_ids(msgs, ["chat_id", "turn"], id_col="__g", start=0)
+    stats = ranked.groupBy("chat_id").agg(F.min("__g").alias("__g0"), F.count(F.lit(1)).alias("__n"))
+    joined = salted_lookup(ranked, stats, "chat_id", weight_col="__n", how="inner",
+                           salt_cols=["__g"])
+    return joined.withColumn("__r", F.col("__g") - F.col("__g0")).drop("__g0")
+
+
+def _kept(msgs: DataFrame, n: int) -> DataFrame:
+    ranked = rank_messages(msgs)
+    if n <= 0:
+        return ranked
+    return ranked.filter(F.col("__r") >= F.col("__n") - F.lit(n))
+
+
 def last_messages(msgs: DataFrame, n: int) -> DataFrame:
     """Keep the last ``n`` messages of each chat (0 or n >= size -> all)."""
     if n <= 0:
         return msgs
-    w = Window.partitionBy("chat_id").orderBy(F.col("turn").desc())
-    return msgs.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    return _kept(msgs, n).drop("__g", "__r", "__n")
 
 
 def split_documents(msgs: DataFrame, last_n: int = 0) -> DataFrame:
@@ -77,12 +100,14 @@ def split_documents(msgs: DataFrame, last_n: int = 0) -> DataFrame:
 
     input = previous kept message ('' for the first), context = header +
     author tag, output = the message.  Returns ``chat_id, turn`` + D1 texts.
+    The previous message is an equi-join on the unique global rank, so the
+    work spreads evenly whatever the chat sizes.
     """
-    kept = last_messages(msgs, last_n)
-    w = Window.partitionBy("chat_id").orderBy("turn")
-    return kept.select(
+    kept = _kept(msgs, last_n)
+    prev = kept.select("chat_id", (F.col("__g") + 1).alias("__g"), F.col("content").alias("__prev"))
+    return kept.join(prev, ["chat_id", "__g"], "left").select(
         "chat_id", "turn",
-        F.coalesce(F.lag("content", 1).over(w), F.lit("")).alias("input"),
+        F.coalesce(F.col("__prev"), F.lit("")).alias("input"),
         F.concat(chat_header(), F.lit(AUTHOR_OPEN), F.coalesce("author", F.lit("")),
                  F.lit(AUTHOR_CLOSE)).alias("context"),
         F.coalesce("content", F.lit("")).alias("output"),
