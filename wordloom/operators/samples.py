@@ -212,7 +212,7 @@ def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int
     return sel.astype(np.int64), ids[sel].astype(np.int64), X, Y
 
 
-def vector_matrix(vectors: DataFrame, max_rows: int = 1 << 20):
+def vector_matrix(vectors: DataFrame, max_rows: int = 1 << 17):
     """Collect an id-keyed vector table ``(token_id, embedding)`` as a dense matrix.
 
     The table must be bounded (the one-hot cap bounds it to 32768 rows by
