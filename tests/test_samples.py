@@ -68,3 +68,18 @@ def test_partition_invariance(spark):
     one = sm.symmetric_windows(a.repartition(1), 3, dynamic=True).collect()
     seven = sm.symmetric_windows(a.repartition(7), 3, dynamic=True).collect()
     assert sorted(map(str, one)) == sorted(map(str, seven))
+
+
+def test_join_form_equals_broadcast_form(spark):
+    rng = np.random.default_rng(5)
+    vecs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in range(1, 9) if i != 6],
+                                 "token_id long, embedding array<float>")
+    docs = [[int(x) for x in rng.integers(1, 9, n)] for n in (1, 4, 9, 15)]
+    a = _arrays(spark, docs)
+    for align in (False, True):
+        bc = sm.next_token_features(a, vecs, 3, 40, align_positions=align).collect()
+        jn = sm.next_token_features(a, vecs, 3, 40, align_positions=align, max_broadcast_rows=2).collect()
+        key = lambda r: (r.doc_id, r.pos)
+        assert [key(r) for r in sorted(bc, key=key)] == [key(r) for r in sorted(jn, key=key)]
+        for x, y in zip(sorted(bc, key=key), sorted(jn, key=key)):
+            assert np.allclose(x.features, y.features) and np.allclose(x.target, y.target)

@@ -248,16 +248,56 @@ def _list_array(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(block.reshape(-1)))
 
 
+def vectors_fit_broadcast(vectors: DataFrame, max_rows: int = 1 << 17) -> bool:
+    """Size check deciding between the broadcast and the shuffle-join forms."""
+    return vectors.limit(max_rows + 1).count() <= max_rows
+
+
+def features_by_join(arrays: DataFrame, vectors: DataFrame, context_tokens: int = 16,
+                     period: int = 5000, align_positions: bool = False) -> DataFrame:
+    """W8-W10 without a broadcast: for vector tables above the broadcast bound.
+
+    Context slots are exploded, joined to the vectors by id (a shuffle join),
+    position-encoded and regrouped per sample (groups of C slots).  Same
+    output as ``next_token_features``.
+    """
+    from ..functions.vector import position_encoding, to_double_array
+    C = context_tokens
+    d = vectors.select(F.size("embedding")).first()[0]
+    w = causal_windows(arrays, C)
+    slots = w.select("doc_id", "pos", "target_id", F.posexplode("context_ids").alias("slot", "ctx_id"))
+    i, j = F.col("pos"), F.col("slot").cast("long")
+    pad = j < F.lit(C) - i
+    if align_positions:
+        p = i + j
+    else:
+        p = F.when(pad, j).otherwise(i + j - F.greatest(F.lit(C) - i, F.lit(0)))
+    vec = vectors.select(F.col("token_id").alias("ctx_id"), to_double_array("embedding").alias("vec"))
+    joined = slots.join(vec, "ctx_id", "left")
+    base = F.when(pad, F.array_repeat(F.lit(0.0), d)).otherwise(F.col("vec"))
+    enc = position_encoding(base, p, period)
+    grouped = joined.groupBy("doc_id", "pos", "target_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("slot"), enc.alias("v")))).alias("__s"),
+        F.max(((~pad) & F.col("vec").isNull()).cast("int")).alias("__miss"))
+    feats = grouped.filter(F.col("__miss") == 0).select(
+        "doc_id", "pos", "target_id", F.flatten(F.transform("__s", lambda e: e["v"])).alias("features"))
+    tgt = vec.select(F.col("ctx_id").alias("target_id"), F.col("vec").alias("target"))
+    return feats.join(tgt, "target_id").select("doc_id", "pos", "target_id", "features", "target")
+
+
 def next_token_features(arrays: DataFrame, vectors: DataFrame, context_tokens: int = 16,
                         period: int = 5000, align_positions: bool = False,
-                        chunk: int = 1024) -> DataFrame:
+                        chunk: int = 1024, max_broadcast_rows: int = 1 << 17) -> DataFrame:
     """``(doc_id, pos, target_id, features ARRAY<DOUBLE>(C*d), target ARRAY<DOUBLE>)``.
 
-    The vector matrix is broadcast (size-checked in ``vector_matrix``); only
-    id arrays travel through the shuffle, never vectors.
+    When the vector table is within ``max_broadcast_rows`` it is broadcast
+    and windows are built per document in NumPy (only id arrays travel
+    through the shuffle); beyond it, ``features_by_join`` is used.
     """
+    if not vectors_fit_broadcast(vectors, max_broadcast_rows):
+        return features_by_join(arrays, vectors, context_tokens, period, align_positions)
     spark = arrays.sparkSession
-    matrix, has = vector_matrix(vectors)
+    matrix, has = vector_matrix(vectors, max_broadcast_rows)
     bc = spark.sparkContext.broadcast((matrix, has))
     C = context_tokens
 
