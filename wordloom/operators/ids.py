@@ -6,8 +6,9 @@
    (Spark samples the key to pick balanced bounds),
 2. number rows inside each partition (``monotonically_increasing_id`` keeps
    the partition index in its upper bits, the row index in the lower 33),
-3. checkpoint, so both reads below see the same row placement even if an
-   executor is lost and a stage is recomputed,
+3. write that table once to the checkpoint folder, so both reads below see
+   the same row placement even if an executor is lost and a stage is
+   recomputed,
 4. count rows per partition (one row per partition), turn the counts into
    running offsets, broadcast that table (its size is the partition count)
    and add offset + local index.
