@@ -81,3 +81,13 @@ def test_chat_lowercase(spark):
         json.dump(CHAT, f)
     msgs = ch.read_chat_exports(spark, d, lowercase=True)
     assert {r.server for r in msgs.collect()} == {"guild"}
+
+
+def test_chat_corrupt_files_kept_aside(spark):
+    d = tempfile.mkdtemp(prefix="wl-chat-")
+    with open(os.path.join(d, "c.json"), "w") as f:
+        json.dump(CHAT, f)
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write("{not json")
+    msgs = ch.read_chat_exports(spark, d, corrupt_col="_corrupt")
+    assert msgs.count() == 3

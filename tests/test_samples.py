@@ -83,3 +83,11 @@ def test_join_form_equals_broadcast_form(spark):
         assert [key(r) for r in sorted(bc, key=key)] == [key(r) for r in sorted(jn, key=key)]
         for x, y in zip(sorted(bc, key=key), sorted(jn, key=key)):
             assert np.allclose(x.features, y.features) and np.allclose(x.target, y.target)
+
+
+def test_shuffle_order_is_seeded_and_partition_free(spark):
+    s = spark.range(200).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("pos"))
+    a = [r.pos for r in sm.shuffle_order(s.repartition(1), seed=9).orderBy("shuffle_key").collect()]
+    b = [r.pos for r in sm.shuffle_order(s.repartition(5), seed=9).orderBy("shuffle_key").collect()]
+    c = [r.pos for r in sm.shuffle_order(s, seed=10).orderBy("shuffle_key").collect()]
+    assert a == b and a != c and sorted(a) == list(range(200))
