@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, licenses, quality, rans
+from . import bpe, decontam, language, licenses, quality, rans, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -44,6 +48,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_license_scan, op3_quality_rules, op4_bpe, op5_language_id, op8_decontamination, op10_token_files)}
+    op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_bpe, op5_language_id, op8_decontamination, op10_token_files)}
 
 SQL: dict[str, str] = {}
