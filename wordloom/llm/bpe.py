@@ -22,7 +22,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import COARSE, Memo, map_text
+from .common import Pieced, map_text
 
 
 class Ranks:
@@ -35,9 +35,9 @@ class Ranks:
         self.tails = {t[i:] for t in ranks for i in range(len(t))}
         # Spines: the chain of right (left) parts of a token, longest first, as
         # far as the merges that build the token go; None: merges never build it.
-        self._right: dict[bytes, list[bytes] | None] = {}
-        self._left: dict[bytes, list[bytes] | None] = {}
-        self._beside: dict[tuple[bytes, bytes], bool] = {}
+        self._spines: tuple[dict, dict] = {}, {}
+        #: Whether two tokens can stand side by side, by ``left << 32 | right``.
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: bytes) -> list[bytes]:
         """Plain merging, lowest rank first and leftmost first; only for short strings."""
@@ -62,18 +62,16 @@ class Ranks:
         return (parts[0], parts[1]) if len(parts) == 2 and token in self.rank else None
 
     def spine(self, token: bytes, side: int) -> list[bytes] | None:
-        known = self._left if side == 0 else self._right
+        known = self._spines[side]
         if token not in known:
             chain = [token]
             while chain and len(chain[-1]) > 1:
                 parts = self._split(chain[-1])
                 chain = [*chain, parts[side]] if parts else None
-                if chain is None:
-                    break
             known[token] = chain
         return known[token]
 
-    def beside(self, u: bytes, t: bytes) -> bool:
+    def beside(self, u: int, t: int) -> bool:
         """Whether no merge across the border of ``u`` and ``t`` comes before their own merges.
 
         The border's neighbours are walked from single bytes upwards.  The pair
@@ -81,13 +79,15 @@ class Ranks:
         parent and b into its; a merge of a + b of a lower rank breaks the
         border (on equal ranks the leftmost merge goes first).
         """
-        found = self._beside.get((u, t))
-        if found is None:
-            if len(self._beside) > 1_000_000:
-                self._beside.clear()
-            found = self._beside[u, t] = self._walk(self.spine(u, 1), self.spine(t, 0))
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        found = self.pairs[u << 32 | t] = self._walk(self.spine(self.bytes_of[u], 1), self.spine(self.bytes_of[t], 0))
         return found
 
+    def alone(self, t: int) -> bool:
+        """Whether merges build ``t`` at all."""
+        return self.spine(self.bytes_of[t], 0) is not None
+
     def _walk(self, right: list[bytes] | None, left: list[bytes] | None) -> bool:
         if right is None or left is None:
             return False
@@ -114,50 +114,78 @@ def load_ranks(path: str) -> Ranks:
 
 
 class PrefixTable:
-    """Last tokens of all prefixes of one byte string, open to appends and edits."""
+    """Last tokens (as ids) of all prefixes of one byte string, open to appends and edits."""
 
     def __init__(self, ranks: Ranks, text: bytes = b""):
-        self.ranks, self.text, self.last = ranks, b"", [b""]
+        self.ranks, self.text, self.last = ranks, b"", [-1]
         self.append(text)
 
-    def _last_at(self, i: int) -> bytes:
+    def _extend(self, stop: int) -> None:
+        """Entries up to prefix ``stop``: the one token that ends there and may follow what is before it."""
         text, last, r = self.text, self.last, self.ranks
-        for k in range(i - 1, max(-1, i - r.longest - 1), -1):
-            t = text[k:i]
-            if t not in r.tails:
-                break
-            if t in r.rank and (r.beside(last[k], t) if k else r.spine(t, 0) is not None):
-                return t
-        raise ValueError(f"no token ends with byte {text[i - 1]} here")
+        rank, pairs = r.rank.get, r.pairs.get
+        for i in range(len(last), stop + 1):
+            for k in range(i - 1, -1, -1):
+                piece = text[k:i]
+                t = rank(piece)
+                if t is None:
+                    if piece in r.tails:
+                        continue
+                    raise ValueError(f"no token ends at byte {i} here")
+                if k:
+                    ok = pairs(last[k] << 32 | t)
+                    if ok is None:
+                        ok = r.beside(last[k], t)
+                else:
+                    ok = r.alone(t)
+                if ok:
+                    last.append(t)
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {i} here")
 
     def append(self, more: bytes) -> None:
         """Add bytes; entries of the old prefixes stay as they are."""
-        at, self.text = len(self.text), self.text + more
-        for i in range(at + 1, len(self.text) + 1):
-            self.last.append(self._last_at(i))
+        self.text += more
+        self._extend(len(self.text))
+
+    def become(self, text: bytes) -> None:
+        """Hold another string: entries of the shared prefix stay, the rest is appended."""
+        same = 0
+        for a, b in zip(self.text, text, strict=False):
+            if a != b:
+                break
+            same += 1
+        del self.last[same + 1:]
+        self.text = text
+        self._extend(len(text))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
-        """Put ``new`` in place of ``text[start:end]``; returns how many entries were computed."""
-        old, shift = self.last[end + 1:], len(new) - (end - start)
+        """Put ``new`` in place of ``text[start:end]``; returns how many entries were computed.
+
+        An entry depends on the longest token's length of bytes and entries
+        before it, so after that many equal entries behind the edit the rest
+        is as it was.
+        """
+        old = self.last[end + 1:]
         self.text = self.text[:start] + new + self.text[end:]
         del self.last[start + 1:]
-        same = done = 0
-        for i in range(start + 1, len(self.text) + 1):
-            self.last.append(self._last_at(i))
-            done += 1
-            before = i - shift - end - 1
-            if before >= 0 and i > start + len(new):
-                same = same + 1 if old[before] == self.last[i] else 0
-                if same >= self.ranks.longest:
-                    self.last += old[before + 1:]
-                    break
-        return done
-
-    def tokens(self) -> list[bytes]:
-        out, i = [], len(self.text)
+        behind = start + len(new)
+        self._extend(behind)
+        same = 0
+        for j, before in enumerate(old):
+            self._extend(behind + j + 1)
+            same = same + 1 if self.last[-1] == before else 0
+            if same >= self.ranks.longest:
+                self.last += old[j + 1:]
+                return behind + j + 1 - start
+        return len(self.text) - start
+
+    def ids(self) -> list[int]:
+        out, i, bytes_of = [], len(self.text), self.ranks.bytes_of
         while i:
             out.append(self.last[i])
-            i -= len(out[-1])
+            i -= len(bytes_of[out[-1]])
         return out[::-1]
 
 
@@ -166,20 +194,29 @@ class Encoder:
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.pieces = Memo(self._piece, 200_000)
-        self.chunks = Memo(self._chunk)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        if raw in self.ranks.rank:
-            return (self.ranks.rank[raw],)
-        return tuple(self.ranks.rank[t] for t in PrefixTable(self.ranks, raw).tokens())
-
-    def _chunk(self, chunk: str) -> bytes:
-        return np.array([i for m in self.pattern.findall(chunk) for i in self.pieces[m]], "<u4").tobytes()
+        self.text_ids = Pieced(self._parts)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of sorted parts; a match goes on from the entries of the prefix it shares with the one before."""
+        out, rank, table = [], self.ranks.rank, PrefixTable(self.ranks)
+        for part in parts:
+            ids = []
+            for match in self.pattern.findall(part):
+                raw = match.encode()
+                if raw in rank:
+                    ids.append(rank[raw])
+                else:
+                    table.become(raw)
+                    ids += table.ids()
+            out.append(np.array(ids, "<u4").tobytes())
+        return out
+
+    def encode_many(self, texts: list[str]):
+        for raw in self.text_ids(texts):
+            yield np.frombuffer(raw, "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, COARSE.findall(text))), "<u4")
+        return next(self.encode_many([text]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, ids))
@@ -198,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """
     def setup():
         enc = encoder(path, pattern)
-        return lambda t: (enc.encode((t or b"").decode()).astype(np.int32),)
+        return lambda texts: ((ids.astype(np.int32),) for ids in enc.encode_many([(t or b"").decode() for t in texts]))
 
     return map_text(docs, None, {"ids": "array<int>"}, id_col=id_col, text_col=text_col, setup=setup)
 
@@ -230,12 +267,13 @@ def digests(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         sha = hashlib.sha256
         decimal = [str(i) for i in range(max(enc.ranks.bytes_of, default=0) + 1)]
 
-        def one(text):
-            ids = enc.encode((text or b"").decode()).tolist()
-            joined = ",".join(map(decimal.__getitem__, ids)).encode()
-            return len(ids), sha(joined).hexdigest(), sha(enc.decode(ids)).hexdigest()
+        def many(texts):
+            for raw in enc.encode_many([(t or b"").decode() for t in texts]):
+                ids = raw.tolist()
+                joined = ",".join(map(decimal.__getitem__, ids)).encode()
+                yield len(ids), sha(joined).hexdigest(), sha(enc.decode(ids)).hexdigest()
 
-        return one
+        return many
 
     return map_text(docs, None, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"},
                     id_col=id_col, text_col=text_col, setup=setup)

@@ -31,29 +31,61 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-class Memo(dict):
-    """A dict that computes missing values and forgets all beyond ``limit`` entries.
-
-    Forgetting only costs time: values depend on the key alone.
-    """
-
-    def __init__(self, make: Callable, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 #: Pieces that every byte-level pre-tokenizer pattern of this package keeps
 #: apart: a run without white space with the blank before it, and white space.
 #: A match of the full pattern never crosses their edges.
 COARSE = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
 
 
+class Pieced:
+    """Values of whole texts, concatenated from those of their coarse pieces.
+
+    ``make_many(pieces) -> values (bytes)`` gets sorted pieces.  Values of
+    pieces met before come from a memo of about ``limit`` entries: when half of
+    that is full it becomes the old generation, values asked for again move
+    back from there, the others are forgotten.  Forgetting only costs time.
+    """
+
+    def __init__(self, make_many: Callable[[list[str]], list[bytes]], limit: int = 800_000):
+        self.make_many, self.half, self.young, self.old = make_many, limit // 2, {}, {}
+
+    def _values(self, pieces: set[str]) -> dict[str, bytes]:
+        """Values of distinct pieces.  Letters and a final comma or full stop are two matches of any pattern."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new, ends = set(), []
+        for p in pieces.difference(young):
+            value = old.get(p)
+            if value is not None:
+                young[p] = value
+            elif p[-1] in ",." and (p[1:-1] if p[0] == " " else p[:-1]).isalpha():
+                ends.append(p)
+                new.add(p[:-1])
+                new.add(p[-1])
+            else:
+                new.add(p)
+        made = sorted(new.difference(young))
+        young.update(zip(made, self.make_many(made), strict=True))
+        for p in ends:
+            young[p] = young[p[:-1]] + young[p[-1]]
+        return {p: young[p] for p in pieces}
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts are taken in groups, so that a group's distinct pieces are looked up once."""
+        group, size = [], 0
+        for t in [*texts, None]:
+            if t is not None:
+                group.append(t)
+                size += len(t)
+            if group and (t is None or size > 3_000_000):
+                cut = [COARSE.findall(x) for x in group]
+                value = self._values(set().union(*cut)).__getitem__
+                for pieces in cut:
+                    yield b"".join(map(value, pieces))
+                group, size = [], 0
+
+
 def as_bytes(column: pa.Array) -> list:
     """Python bytes (or None) of a string column, without decoding it."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -66,12 +98,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def map_text(docs: DataFrame, fn: Callable[[bytes | None], tuple], schema: dict[str, str], *,
+def map_text(docs: DataFrame, fn: Callable[[bytes | None], tuple] | None, schema: dict[str, str], *,
              id_col: str = "doc_id", text_col: str = "text", setup: Callable | None = None) -> DataFrame:
     """One row ``(id, *fn(text))`` for every row of ``docs``, in Arrow batches.
 
-    ``schema`` names fn's results and their Spark types.  With ``setup``, the
-    function is made once in every task by ``setup()`` and ``fn`` is ignored.
+    ``schema`` names fn's results and their Spark types.  With ``setup``, a
+    function from a list of texts to their rows is made in every task instead.
     Only the two columns are read, so other columns may have any name.
     """
     id_type = dict(docs.dtypes)[id_col]
@@ -80,9 +112,9 @@ def map_text(docs: DataFrame, fn: Callable[[bytes | None], tuple], schema: dict[
     names = [id_col, *schema]
 
     def run(batches):
-        one = setup() if setup else fn
-        for batch in slices(batches, 512):
-            rows = [one(t) for t in as_bytes(batch.column(1))]
+        many = setup() if setup else lambda texts: [fn(t) for t in texts]
+        for batch in slices(batches, 2048):
+            rows = list(many(as_bytes(batch.column(1))))
             columns = list(zip(*rows, strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)

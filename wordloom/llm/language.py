@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     """
     def setup():
         reader = Reader(model)
-        return lambda t: reader.language(t.decode() if t is not None else None)
+        return lambda texts: (reader.language(t.decode() if t is not None else None) for t in texts)
 
     return map_text(docs, None, {"lang_pred": "string", "score": "double"}, id_col=id_col, text_col=text_col, setup=setup)
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..session import checkpoint_dir
-from .common import COARSE, Memo, slices
+from .common import Pieced, slices
 
 LOW = np.uint64(1 << 31)
 BLOCK_IDS, LANES, MARK_ROWS = 1 << 18, 512, 128
@@ -114,63 +115,86 @@ class Coder:
 
 
 @lru_cache(maxsize=2)
-def _library_ids(path: str):
-    """Ids of a text by the tokenizers library, chunk by chunk through a bounded memo."""
+def _library_ids(path: str) -> tuple[Pieced, np.dtype]:
+    """Ids of texts by the tokenizers library, piece by piece through a bounded memo, and their width."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    memo = Memo(lambda s: np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
-    return lambda text: b"".join(map(memo.__getitem__, COARSE.findall(text)))
+    width = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
+    code = "H" if width.itemsize == 2 else "I"
+
+    def make_many(pieces):
+        return [array(code, tok.encode(p, add_special_tokens=False).ids).tobytes() for p in pieces]
+
+    return Pieced(make_many), width
 
 
 def tokenize(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: little-endian u32 ids of every text with ``end_id`` appended.
+    """``doc_id, ids, symbols, width``: ids of every text with ``end_id`` appended, and histograms.
 
-    The special tokens' strings count as ordinary text.  The coarse pieces
-    never share a match of the pre-tokenizer, so piece by piece the ids are
-    those of the whole text.
+    ``ids`` are little-endian numbers of ``width`` bytes.  The special tokens'
+    strings count as ordinary text.  Words never share a match of the
+    pre-tokenizer, so word by word the ids are those of the whole text.  Each
+    task ends with a row whose ``symbols`` holds the counts of all ids it made
+    (little-endian u64 by id; bounded by the vocabulary) and no ids.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        ids_of = _library_ids(path)
-        for b in slices(batches, 512):
-            ids = [ids_of(t or "") + end for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        ids_of, width = _library_ids(path)
+        end = np.array([end_id], width).tobytes()
+        total = np.zeros(0, np.int64)
+        for b in slices(batches, 2048):
+            ids = [raw + end for raw in ids_of([t or "" for t in b.column(1).to_pylist()])]
+            one = np.bincount(np.frombuffer(b"".join(ids), width), minlength=len(total))
+            one[:len(total)] += total
+            total = one
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary()),
+                                              pa.array([width.itemsize] * n, pa.int32())], _TOKENS)
+        if len(total):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<u8").tobytes()], pa.binary()),
+                 pa.array([width.itemsize], pa.int32())], _TOKENS)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")) \
-               .mapInArrow(run, "doc_id long, ids binary")
+               .mapInArrow(run, _TOKEN_SCHEMA)
+
+
+_TOKENS = ["doc_id", "ids", "symbols", "width"]
+_TOKEN_SCHEMA = "doc_id long, ids binary, symbols binary, width int"
 
 
 def _histogram(batches):
+    """(symbol, n) rows of one task's histograms."""
     total = np.zeros(0, np.int64)
     for b in batches:
         for raw in b.column(0):
-            one = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-            if len(one) > len(total):
-                one, total = total, one.astype(np.int64)
-            total[:len(one)] += one
+            one = np.frombuffer(raw.as_buffer(), "<u8").astype(np.int64)
+            if len(one) < len(total):
+                one, total = total, one
+            one = one.copy()
+            one[:len(total)] += total
+            total = one
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["symbol", "n"])
 
 
 def write_ids(tokens: DataFrame, path: str) -> None:
-    """Write ``doc_id, ids`` rows (see :func:`tokenize`) as a folder of rANS blocks.
+    """Write the rows of :func:`tokenize` as a folder of rANS blocks.
 
-    Two passes: a histogram (rows bounded by the vocabulary, summed in the
-    executors), then a sort by doc_id into shards, whose blocks are coded one
-    by one.  Documents longer than a block are cut, so memory is bounded by a
+    The rows are stored once.  Their histograms are summed in the executors
+    (rows bounded by the vocabulary); then a sort by doc_id makes the shards,
+    whose blocks are coded one by one.  Documents longer than a block are cut, so memory is bounded by a
     block and the longest text.  Ties in doc_id are ordered by their ids, null
     ids come first; an empty table gives an empty folder.
     """
     spark = tokens.sparkSession
     store = f"{path}/tokens"
     tokens.write.option("compression", "zstd").parquet(store)
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(store)
-    counts = tokens.select("ids").mapInArrow(_histogram, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas()
+    tokens = spark.read.schema(_TOKEN_SCHEMA).parquet(store)
+    counts = (tokens.filter(F.col("symbols").isNotNull()).select("symbols").mapInArrow(_histogram, "symbol int, n long")
+                    .groupBy("symbol").agg(F.sum("n").alias("n")).toPandas())
     by_symbol = np.zeros(int(counts["symbol"].max()) + 1 if len(counts) else 0, np.int64)
     by_symbol[counts["symbol"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     bits = max(16, int(len(counts)).bit_length() + 2)
@@ -196,8 +220,8 @@ def write_ids(tokens: DataFrame, path: str) -> None:
                                               list(row))
 
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+            for doc, raw, width in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
                 for piece, at in enumerate(range(0, len(ids), BLOCK_IDS)):
                     part = ids[at:at + BLOCK_IDS]
                     if size and size + len(part) > BLOCK_IDS:
@@ -209,8 +233,8 @@ def write_ids(tokens: DataFrame, path: str) -> None:
         if size:
             yield flush()
 
-    # The sort's own sample of the keys must not tokenize again: it reads the stored ids.
-    (tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # The sort samples its keys, so it must not start from the texts again: it reads the stored ids.
+    (tokens.filter(F.col("ids").isNotNull()).select("doc_id", "ids", "width").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
            .mapInArrow(shard, BLOCKS).write.parquet(f"{path}/blocks"))
 
 
