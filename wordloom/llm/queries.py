@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, licenses, quality, rans, substrings
+from . import bpe, decontam, language, licenses, lines, quality, rans, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.fresh_folder(spark, "ids")
     rans.write_ids(rans.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
@@ -48,6 +52,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_bpe, op5_language_id, op8_decontamination, op10_token_files)}
+    op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_bpe, op5_language_id, op8_decontamination, op9_line_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {}
