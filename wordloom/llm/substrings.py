@@ -41,8 +41,9 @@ from .exchange import by_part, pack, parts_for, runs, unpack, unpack_all
 WIN, GRAM = 50, 16
 REACH = WIN - GRAM                      # a window starts at most so far before its anchor
 SEGMENT, MARGIN = 1 << 20, 2 * WIN      # bytes hashed at once, and what is read around them
-CHUNK = 24 << 20                        # bytes of text whose anchors are combined in a map task
+CHUNK = 12 << 20                        # bytes of text whose anchors are combined in a map task
 HOT = 4096                              # contexts of one gram, beyond which windows are routed singly
+BLOCK = 8192                            # contexts sorted at once
 U = np.uint64
 
 
@@ -232,7 +233,7 @@ def _context_map(parts: int):
     def run(batches):
         for b in batches:
             cols = [[], [], [], [], [], []]  # gram, doc, mark, start, length, which text
-            texts = []
+            texts, single = [], []
             for doc, mark, z, asked in zip(*(b.column(c).to_pylist() for c in ("doc", "mark", "z", "asked")), strict=True):
                 text = zstandard.decompress(z)
                 pos, gram, hot = unpack_all(asked)
@@ -244,6 +245,7 @@ def _context_map(parts: int):
                     s = np.unique(np.concatenate([np.arange(x, y - WIN + 1) for x, y in zip(start[h], end[h], strict=True)]))
                     w = np.array([xxhash.xxh64_intdigest(text[x:x + WIN]) for x in s.tolist()], U)
                     gram, start, end = np.concatenate([gram[~h], w]), np.concatenate([start[~h], s]), np.concatenate([end[~h], s + WIN])
+                single.append(np.arange(len(gram)) >= (~h).sum())
                 for c, v in zip(cols, (gram, np.full(len(gram), doc), np.full(len(gram), mark), start, end - start,
                                        np.full(len(gram), len(texts))), strict=True):
                     c.append(v)
@@ -251,15 +253,23 @@ def _context_map(parts: int):
             if not texts:
                 continue
             gram, doc, mark, start, length, which = (np.concatenate(c) for c in cols)
+            # Of the single windows, a batch sends the first document's and settles the others itself.
+            single = np.flatnonzero(np.concatenate(single))
+            order = single[np.lexsort((doc[single], gram[single]))]
+            heads = runs(gram[order])
+            later = order[np.repeat(doc[order][heads], np.diff(np.append(heads, len(order)))) < doc[order]]
+            rows = list(_per_doc(doc[later], mark[later], "windows", [start[later]]))
+            keep = np.ones(len(gram), bool)
+            keep[later] = False
+            gram, doc, mark, start, length, which = (c[keep] for c in (gram, doc, mark, start, length, which))
             part = ((gram >> U(8)) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
             for p in range(parts):
                 at = order[edges[p]:edges[p + 1]]
                 if len(at):
                     data = b"".join(texts[t][s:s + n] for t, s, n in zip(which[at].tolist(), start[at].tolist(), length[at].tolist(), strict=True))
-                    head = pack([doc[at], mark[at], start[at], length[at]])
+                    head = pack([gram[at], doc[at], mark[at], start[at], length[at]])
                     rows.append((p, None, None, "contexts", len(head).to_bytes(8, "little") + head + data))
             for at in range(0, len(rows), 500):
                 yield _rows(rows[at:at + 500])
@@ -302,8 +312,7 @@ def covered_windows(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc
 
 def _context_reduce(batches):
     got: list = []
-    for _ in _pass_on(batches, ("contexts",), got):
-        pass
+    yield from _pass_on(batches, ("contexts",), got)
     if not got:
         return
     heads, texts = [], []
@@ -312,15 +321,22 @@ def _context_reduce(batches):
         heads.append(blob[8:8 + k])
         texts.append(np.frombuffer(blob, np.uint8, offset=8 + k))
     del got
-    doc, mark, place, length = (c.view(np.int64) for c in unpack_all(heads))
+    gram, doc, mark, place, length = (c.view(np.int64) for c in unpack_all(heads))
     data = np.concatenate(texts)
+    del texts, heads
     start = np.cumsum(length) - length
-    # Contexts of other grams lie here too: equal windows among them are true matches as well.
-    record, offset = covered_windows(data, start, length, doc)
-    at = place[record] + offset
-    rows = list(_per_doc(doc[record], mark[record], "windows", [at]))
-    for i in range(0, len(rows), 2000):
-        yield _rows(rows[i:i + 2000])
+    order = np.argsort(gram, kind="stable")
+    group = np.append(runs(gram[order]), len(order))
+    # Blocks of whole groups: equal windows have equal grams.
+    lo = 0
+    while lo < len(order):
+        hi = int(group[min(len(group) - 1, max(np.searchsorted(group, lo + BLOCK, "right") - 1, np.searchsorted(group, lo, "right")))])
+        at = order[lo:hi]
+        record, offset = covered_windows(data, start[at], length[at], doc[at])
+        record, lo = at[record], hi
+        rows = list(_per_doc(doc[record], mark[record], "windows", [place[record] + offset]))
+        for i in range(0, len(rows), 2000):
+            yield _rows(rows[i:i + 2000])
 
 
 def _spans(kinds: list[str], blobs: list, size: int) -> list[tuple[int, int]]:
@@ -368,9 +384,10 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                             .mapInArrow(_anchor_reduce, _ROUTED_SQL))
     asked = (found.filter(F.col("kind") == "asked").groupBy("doc", "mark").agg(F.collect_list("data").alias("asked")))
     texts = base.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= WIN)).select(F.lit(0).alias("row"), "doc", "text")
-    texts = texts.mapInArrow(_pack_texts, "row int, doc long, mark int, z binary").dropDuplicates(["doc", "mark"])
+    texts = texts.mapInArrow(_pack_texts, "row int, doc long, mark int, z binary")
     windows = (texts.join(asked, ["doc", "mark"]).select("doc", "mark", "z", "asked").mapInArrow(_context_map(parts), _ROUTED_SQL)
-                    .repartition(parts, "part").mapInArrow(_context_reduce, _ROUTED_SQL))
+                    .repartition(parts, F.coalesce("part", F.pmod(F.hash("doc"), F.lit(parts))))
+                    .mapInArrow(_context_reduce, _ROUTED_SQL))
     return (found.filter(F.col("kind") == "covered").unionByName(windows).groupBy("doc", "mark")
                  .agg(F.collect_list(F.struct("kind", "data")).alias("places")))
 
