@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, language, licenses, lines, quality, rans, substrings
+from . import bpe, decontam, jaccard, language, licenses, lines, pages, quality, rans, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, model, id_col="k").select("k.doc_id", "k.held_out", "lang_pred", "score")
 
 
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_bpe, op5_language_id, op7_parity_join, op8_decontamination, op9_line_dedup, op10_token_files)}
+    op1_suffix_dedup, op2_license_scan, op3_quality_rules, op4_bpe, op5_language_id, op6_wrapper_induction, op7_parity_join, op8_decontamination, op9_line_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {}
