@@ -10,10 +10,11 @@ that a set with at most ``z`` empty blocks agrees in one that is not empty.
 Sets with more empty blocks meet again under further seeds, and at last by
 single elements, so no link is lost.
 
-Exact copies collapse into one class first (a set's fingerprint).  Classes that
-share parity words are linked to the class they share most words with; pairs
-in different components are then taken from all shared words.  Before sets are
-compared, a sketch of one parity bit per hash slot bounds their difference
+Exact copies collapse into one class first (a set's fingerprint).  In each
+group of classes that share a parity word the one with most company leads, and
+every class is compared with the leader it shares most words with; so is it
+once more with other leaders.  All pairs that still lie in different components
+are then taken from all shared words.  Before sets are compared, a sketch of one parity bit per hash slot bounds their difference
 from below by its Hamming distance.
 """
 
@@ -201,19 +202,14 @@ def _bucket_reduce(batches):
     n = np.diff(np.append(start, len(key)))
     many = np.repeat(n > 1, n)
     key, c, size = key[many], c[many], size[many]
-    yield from _blobs("buckets", [key.view(np.int64), c, size])
-    # Votes: how many of these keys a class shares with the smallest class of each.
     if not len(key):
         return
-    start = runs(key)
-    n = np.diff(np.append(start, len(key)))
-    lead, lead_size = np.repeat(c[start], n), np.repeat(size[start], n)
-    ok = (lead != c) & _may_be_similar(size, lead_size)
-    a, b = c[ok], lead[ok]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    start = runs(a, b)
-    yield from _blobs("votes", [a[start], b[start], np.diff(np.append(start, len(a)))])
+    n = n[n > 1]
+    mates = np.repeat(n, n)
+    yield from _blobs("buckets", [key.view(np.int64), c, size, mates])
+    order = np.argsort(c, kind="stable")
+    start = runs(c[order])
+    yield from _blobs("degrees", [c[order][start], np.add.reduceat(mates[order] - 1, start)])
 
 
 def _blobs(kind: str, columns: list[np.ndarray]):
@@ -237,8 +233,8 @@ def _unpacked(rows: DataFrame, kind: str, names: list[str]) -> DataFrame:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity bits by hash slot; a power of two of them, at least two for each element."""
-    bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    """Parity bits by hash slot; a power of two of them, at least four for each element."""
+    bits = max(64, 1 << int(4 * len(h) - 1).bit_length())
     odd = np.bincount((h % U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -323,15 +319,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 TILE = 4096
+#: Classes that share a key, up to which their ids (16 bytes each) go to all tasks; beyond, texts are shuffled to them.
+BROADCAST_CLASSES = 1_000_000
 
 
 def _bucket_pairs(batches):
-    """Pairs of different components and near sketches within (bucket, i, j) tiles; rows come sorted by tile."""
+    """Pairs of different components and near sketches within tiles; rows come sorted by (lead, i, j, bucket).
+
+    Buckets with the same lead mostly hold the same classes, so pairs met
+    before in the task are not given out again.
+    """
+    met: set = set()
+
     def pairs(rows):
         i, j = rows[0][1], rows[0][2]
-        words = min(len(r[7]) for r in rows) // 8
-        bits = np.array([fold(np.frombuffer(r[7], "<u8"), words) for r in rows])
-        cls, n, comp, salt = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        words = min(len(r[8]) for r in rows) // 8
+        bits = np.array([fold(np.frombuffer(r[8], "<u8"), words) for r in rows])
+        cls, n, comp, salt = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
         for x in range(len(rows)):
             if salt[x] != i:
                 continue
@@ -340,7 +344,13 @@ def _bucket_pairs(batches):
             at = np.flatnonzero(others)
             at = at[np.bitwise_count(bits[at] ^ bits[x]).sum(1) <= _limit(n[at], n[x])]
             me = int(cls[x])
-            yield from ((min(a, me), max(a, me)) for a in cls[at].tolist())
+            if len(met) > 1_000_000:
+                met.clear()
+            for other in cls[at].tolist():
+                pair = (min(other, me), max(other, me))
+                if pair not in met:
+                    met.add(pair)
+                    yield pair
 
     def out(found):
         a, b = zip(*found, strict=True)
@@ -349,7 +359,7 @@ def _bucket_pairs(batches):
     held, found = [], []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:3] != held[0][:3]:
+            if held and row[:4] != held[0][:4]:
                 found.extend(pairs(held))
                 held = []
             held.append(row)
@@ -362,6 +372,37 @@ def _bucket_pairs(batches):
         yield out(found)
 
 
+def open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the component, the bucket's smallest class and size."""
+    rows = buckets.join(comps, "cls")
+    mixed = (rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("lead"))
+                 .filter("lo != hi").select("bucket", "lead"))
+    return rows.join(mixed, "bucket")
+
+
+def star_pairs(rows: DataFrame, priority) -> DataFrame:
+    """One pair per class: with the leader it shares most buckets with.
+
+    A bucket's leader is its class of highest ``priority``; only leaders of
+    another component and a similar size count.  ``rows``: bucket, cls, n, comp.
+    """
+    lead = rows.groupBy("bucket").agg(F.max(F.struct(priority.alias("p"), "cls", "n", "comp")).alias("l"))
+    votes = (rows.join(lead, "bucket").filter((F.col("comp") != F.col("l.comp"))
+                                              & (NUM * F.greatest("n", "l.n") <= DEN * F.least("n", "l.n")))
+                 .groupBy(F.col("cls").alias("a"), F.col("l.cls").alias("b")).agg(F.count("*").alias("v")))
+    return votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+
+
+def merge(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after links between classes: ``cls, comp``."""
+    def name(x: str) -> DataFrame:
+        return comps.select(F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
+
+    joined = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return materialize(comps.join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left")
+                            .select("cls", F.coalesce("root", "comp").alias("comp")))
+
+
 def cross_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, small: int = 8) -> DataFrame:
     """Pairs of classes that share a bucket but no component, without those that sizes or sketches rule out.
 
@@ -369,10 +410,7 @@ def cross_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, small: in
     ones are cut into tiles of at most about ``TILE`` classes a side, in which
     sketches are compared before a pair is given out.
     """
-    rows = buckets.join(comps, "cls")
-    mixed = (rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"))
-                 .filter("lo != hi").select("bucket", "g"))
-    rows = materialize(rows.join(mixed, "bucket"))
+    rows = materialize(open_buckets(buckets, comps))
     few = rows.filter(F.col("g") <= small)
 
     def side(x: str) -> DataFrame:
@@ -385,11 +423,11 @@ def cross_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, small: in
                  .withColumn("t", F.ceil(F.col("g") / TILE).cast("long"))
                  .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("t")))
                  .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
-                 .select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"),
-                         "cls", "n", "comp", "salt")
+                 .select("lead", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"),
+                         "bucket", "cls", "n", "comp", "salt")
                  .join(sets.select("cls", "sketch"), "cls")
-                 .select("bucket", "i", "j", "cls", "n", "comp", "salt", "sketch")
-                 .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+                 .select("lead", "i", "j", "bucket", "cls", "n", "comp", "salt", "sketch")
+                 .repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "bucket")
                  .mapInArrow(_bucket_pairs, "a long, b long"))
     return some.union(tiles).distinct()
 
@@ -422,22 +460,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                             .mapInArrow(_bucket_reduce, "kind string, data binary"))
     rows = _unpacked(found, "docs", ["doc", "n", "cls"])
     classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    buckets = _unpacked(found, "buckets", ["bucket", "cls", "n"])
-    needed = buckets.select("cls").distinct().join(classes, "cls").select("cls", F.col("rep").alias("doc"))
-    sets = materialize(base.filter(F.col("doc").isNotNull()).join(needed, "doc").select("cls", "text")
-                           .mapInArrow(_class_sets, "cls long, n long, sketch binary, hashes binary"))
-    votes = _unpacked(found, "votes", ["a", "b", "votes"]).groupBy("a", "b").agg(F.sum("votes").alias("v"))
-    leaders = votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    first = components(verify(leaders, sets)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    comps = materialize(sets.select("cls").distinct().join(first, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp")))
-    links = verify(cross_pairs(buckets, comps, sets), sets)
-
-    def name(x: str) -> DataFrame:
-        return comps.select(F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
-
-    second = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    comps = (comps.join(second.select(F.col("node").alias("comp"), "root"), "comp", "left")
-                  .select("cls", F.coalesce("root", "comp").alias("comp")))
+    buckets = _unpacked(found, "buckets", ["bucket", "cls", "n", "g"])
+    degrees = materialize(_unpacked(found, "degrees", ["cls", "d"]).groupBy("cls").agg(F.sum("d").alias("degree")))
+    needed = classes.join(degrees, "cls").select("cls", F.col("rep").alias("doc"))
+    texts = base.filter(F.col("doc").isNotNull())
+    if degrees.count() <= BROADCAST_CLASSES:
+        texts = texts.join(F.broadcast(needed), "doc")
+    else:
+        texts = texts.join(needed, "doc")
+    sets = materialize(texts.select("cls", "text")
+                            .mapInArrow(_class_sets, "cls long, n long, sketch binary, hashes binary"))
+    # The class with most company leads: of a group of edited copies, that is their original.
+    own = buckets.withColumn("comp", F.col("cls")).join(degrees, "cls")
+    comps = merge(degrees.select("cls", F.col("cls").alias("comp")), verify(star_pairs(own, F.col("degree")), sets))
+    comps = merge(comps, verify(star_pairs(open_buckets(buckets, comps), F.xxhash64("cls")), sets))
+    comps = merge(comps, verify(cross_pairs(buckets, comps, sets), sets))
     named = classes.join(comps, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     dim = materialize(named.join(least, "comp").select("cls", "component_id", "copies"))

@@ -166,23 +166,38 @@ def _weight(a: Node, b: tuple) -> int:
     return 1 + (_align(a.children, b[3])[0] if a.children and b[3] else 0)
 
 
+def _weights(xs: list, ys: tuple) -> np.ndarray:
+    """Weights of all pairs of children.  Runs of text and elements with at most one run are compared in bulk."""
+    def plain(kind, own, children):
+        """1: a run of text, 2: an element without children, 3: with one run; 0: neither."""
+        return (1, own) if kind == "#text" else (2, 0) if not children else \
+            (3, children[0]) if len(children) == 1 else (0, 0)
+
+    code: dict = {}
+    left = [plain(x.kind, x.hash, [c.hash if c.kind == "#text" else None for c in x.children[:2]]) for x in xs]
+    right = [plain(y[0], y[1], [c[1] if c[0] == "#text" else None for c in y[3][:2]]) for y in ys]
+    left = [(0, 0) if h is None else (s, h) for s, h in left]
+    right = [(0, 0) if h is None else (s, h) for s, h in right]
+    kx = np.array([code.setdefault(x.kind, len(code)) for x in xs])
+    ky = np.array([code.setdefault(y[0], len(code)) for y in ys])
+    (sx, hx), (sy, hy) = (np.array(v, np.int64).reshape(-1, 2).T for v in (left, right))
+    kind = kx[:, None] == ky
+    run = (sx[:, None] != 2) & (sy != 2)
+    w = np.where(kind, 1 + np.where(run, (sx[:, None] == 3) + (hx[:, None] == hy), 0), 0).astype(np.int32)
+    for i, j in np.argwhere(kind & ((sx[:, None] == 0) | (sy == 0))).tolist():
+        w[i, j] = _weight(xs[i], ys[j])
+    return w
+
+
 def _align(xs: list, ys: tuple) -> tuple[int, list]:
     """Weight and pairs of the best alignment in order of two lists of children."""
     if not xs or not ys:
         return 0, []
     if len(xs) * len(ys) > 4_000_000:
         return _align_equal(xs, ys)
-    kinds = {}
+    weights = _weights(xs, ys)
     rows = [np.zeros(len(ys) + 1, np.int32)]
-    weights = []
-    for x in xs:
-        if not x.children and x.kind != "#text":
-            w = kinds.get(x.kind)
-            if w is None:
-                w = kinds[x.kind] = np.array([_weight(x, y) for y in ys], np.int32)
-        else:
-            w = np.array([_weight(x, y) for y in ys], np.int32)
-        weights.append(w)
+    for w in weights:
         prev = rows[-1]
         row = np.zeros_like(prev)
         row[1:] = np.maximum.accumulate(np.maximum(prev[1:], np.where(w > 0, prev[:-1] + w, 0)))
