@@ -481,3 +481,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = salted_lookup(rows, dim, "cls", weight_col="copies", how="left", salt_cols=["doc"])
     return linked.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
                          F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that have a smaller id in their component.
+
+    Rows with a null id stay, and so do rows that share their component's
+    smallest id.  The ids to drop go to all tasks up to ``BROADCAST_CLASSES``;
+    beyond, rows are shuffled to them.
+    """
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    drop = materialize(near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct())
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_CLASSES else drop
+    return docs.join(side, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
