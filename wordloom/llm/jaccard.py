@@ -207,9 +207,17 @@ def _bucket_reduce(batches):
     n = n[n > 1]
     mates = np.repeat(n, n)
     yield from _blobs("buckets", [key.view(np.int64), c, size, mates])
-    order = np.argsort(c, kind="stable")
-    start = runs(c[order])
-    yield from _blobs("degrees", [c[order][start], np.add.reduceat(mates[order] - 1, start)])
+    # Votes: how many of these buckets a class shares with their leaders, the classes with most company here.
+    who, at = np.unique(c, return_inverse=True)
+    degree = np.bincount(at, mates - 1)[at]
+    order = np.lexsort((c, -degree, key))
+    lead = np.repeat(order[runs(key)], n)
+    ok = (c[lead] != c) & _may_be_similar(size, size[lead])
+    a, b = c[ok], c[lead][ok]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    start = runs(a, b)
+    yield from _blobs("votes", [a[start], b[start], np.diff(np.append(start, len(a)))])
 
 
 def _blobs(kind: str, columns: list[np.ndarray]):
@@ -372,9 +380,14 @@ def _bucket_pairs(batches):
         yield out(found)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table of one row per class: to all tasks up to the bound, else left to the shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_CLASSES else table
+
+
 def open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, with the component, the bucket's smallest class and size."""
-    rows = buckets.join(comps, "cls")
+    rows = buckets.join(_small(comps), "cls")
     mixed = (rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("lead"))
                  .filter("lo != hi").select("bucket", "lead"))
     return rows.join(mixed, "bucket")
@@ -389,8 +402,13 @@ def star_pairs(rows: DataFrame, priority) -> DataFrame:
     lead = rows.groupBy("bucket").agg(F.max(F.struct(priority.alias("p"), "cls", "n", "comp")).alias("l"))
     votes = (rows.join(lead, "bucket").filter((F.col("comp") != F.col("l.comp"))
                                               & (NUM * F.greatest("n", "l.n") <= DEN * F.least("n", "l.n")))
-                 .groupBy(F.col("cls").alias("a"), F.col("l.cls").alias("b")).agg(F.count("*").alias("v")))
-    return votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+                 .groupBy(F.col("cls").alias("a"), F.col("l.cls").alias("b")).agg(F.count("*").alias("votes")))
+    return elected(votes)
+
+
+def elected(votes: DataFrame) -> DataFrame:
+    """Each class with the leader that has most votes."""
+    return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
 def merge(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -461,20 +479,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = _unpacked(found, "docs", ["doc", "n", "cls"])
     classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
     buckets = _unpacked(found, "buckets", ["bucket", "cls", "n", "g"])
-    degrees = materialize(_unpacked(found, "degrees", ["cls", "d"]).groupBy("cls").agg(F.sum("d").alias("degree")))
-    needed = classes.join(degrees, "cls").select("cls", F.col("rep").alias("doc"))
+    own = materialize(buckets.select("cls").distinct().select("cls", F.col("cls").alias("comp")))
+    needed = classes.join(own, "cls").select("cls", F.col("rep").alias("doc"))
     texts = base.filter(F.col("doc").isNotNull())
-    if degrees.count() <= BROADCAST_CLASSES:
-        texts = texts.join(F.broadcast(needed), "doc")
-    else:
-        texts = texts.join(needed, "doc")
+    texts = texts.join(F.broadcast(needed) if own.count() <= BROADCAST_CLASSES else needed, "doc")
     sets = materialize(texts.select("cls", "text")
                             .mapInArrow(_class_sets, "cls long, n long, sketch binary, hashes binary"))
-    # The class with most company leads: of a group of edited copies, that is their original.
-    own = buckets.withColumn("comp", F.col("cls")).join(degrees, "cls")
-    comps = merge(degrees.select("cls", F.col("cls").alias("comp")), verify(star_pairs(own, F.col("degree")), sets))
-    comps = merge(comps, verify(star_pairs(open_buckets(buckets, comps), F.xxhash64("cls")), sets))
-    comps = merge(comps, verify(cross_pairs(buckets, comps, sets), sets))
+    votes = _unpacked(found, "votes", ["a", "b", "votes"]).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    comps = merge(own, verify(elected(votes), sets))
+    left = materialize(open_buckets(buckets, comps))
+    comps = merge(comps, verify(star_pairs(left, F.xxhash64("cls")), sets))
+    comps = merge(comps, verify(cross_pairs(left.drop("comp", "lead"), comps, sets), sets))
     named = classes.join(comps, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     dim = materialize(named.join(least, "comp").select("cls", "component_id", "copies"))

@@ -149,24 +149,24 @@ def match(page: Node, pivot: tuple, found: list[tuple[Node, int, int]]) -> None:
     is the size of the best matching of its own children, and equal texts count
     double.
     """
-    stack = [(page, pivot)]
+    stack, memo = [(page, pivot)], {}
     while stack:
         a, b = stack.pop()
         if a.kind == "#text":
             found.append((a, b[2], b[1]))
             continue
-        stack.extend(_align(a.children, b[3])[1])
+        stack.extend(_align(a, b, memo)[1])
 
 
-def _weight(a: Node, b: tuple) -> int:
+def _weight(a: Node, b: tuple, memo: dict) -> int:
     if a.kind != b[0]:
         return 0
     if a.kind == "#text":
         return 2 if a.hash == b[1] else 1
-    return 1 + (_align(a.children, b[3])[0] if a.children and b[3] else 0)
+    return 1 + _align(a, b, memo)[0]
 
 
-def _weights(xs: list, ys: tuple) -> np.ndarray:
+def _weights(xs: list, ys: tuple, memo: dict) -> np.ndarray:
     """Weights of all pairs of children.  Runs of text and elements with at most one run are compared in bulk."""
     def plain(kind, own, children):
         """1: a run of text, 2: an element without children, 3: with one run; 0: neither."""
@@ -185,17 +185,27 @@ def _weights(xs: list, ys: tuple) -> np.ndarray:
     run = (sx[:, None] != 2) & (sy != 2)
     w = np.where(kind, 1 + np.where(run, (sx[:, None] == 3) + (hx[:, None] == hy), 0), 0).astype(np.int32)
     for i, j in np.argwhere(kind & ((sx[:, None] == 0) | (sy == 0))).tolist():
-        w[i, j] = _weight(xs[i], ys[j])
+        w[i, j] = _weight(xs[i], ys[j], memo)
     return w
 
 
-def _align(xs: list, ys: tuple) -> tuple[int, list]:
-    """Weight and pairs of the best alignment in order of two lists of children."""
+def _align(a: Node, b: tuple, memo: dict) -> tuple[int, list]:
+    """Weight and pairs of the best alignment in order of two nodes' children; each pair of nodes is done once."""
+    key = a.number, b[2]
+    if key not in memo:
+        memo[key] = _align_children(a.children, b[3], memo)
+    return memo[key]
+
+
+def _align_children(xs: list, ys: tuple, memo: dict) -> tuple[int, list]:
     if not xs or not ys:
         return 0, []
+    if len(xs) == len(ys) == 1:
+        w = _weight(xs[0], ys[0], memo)
+        return w, [(xs[0], ys[0])] if w else []
     if len(xs) * len(ys) > 4_000_000:
         return _align_equal(xs, ys)
-    weights = _weights(xs, ys)
+    weights = _weights(xs, ys, memo)
     rows = [np.zeros(len(ys) + 1, np.int32)]
     for w in weights:
         prev = rows[-1]
