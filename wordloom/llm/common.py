@@ -46,7 +46,7 @@ class Pieced:
     back from there, the others are forgotten.  Forgetting only costs time.
     """
 
-    def __init__(self, make_many: Callable[[list[str]], list[bytes]], limit: int = 800_000):
+    def __init__(self, make_many: Callable[[list[str]], list[bytes]], limit: int = 500_000):
         self.make_many, self.half, self.young, self.old = make_many, limit // 2, {}, {}
 
     def _values(self, pieces: set[str]) -> dict[str, bytes]:

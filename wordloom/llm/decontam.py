@@ -203,7 +203,7 @@ _SPANS = "spans array<struct<first:int,last:int>>, items array<string>"
 
 def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 1_000_000,
-           shard_rows: int = 4096, keep_text: bool = False) -> DataFrame:
+           shard_rows: int = 2048, keep_text: bool = False) -> DataFrame:
     """Occurrences of benchmark windows: one row per input row.
 
     ``id, n_words, spans, items[, text]``: merged spans of words (first, last
@@ -279,7 +279,8 @@ def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with all spans removed from the texts; other columns, rows and texts without a span stay."""
     cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(f"`{text_col}`").alias("__t"))
-    found = search(packed, benchmark, id_col="__row", text_col="__t", **options)
-    text = F.when(F.size("spans") > 0, _cut_text(F.col(f"__row.`{text_col}`"), F.col("spans"))).otherwise(F.col(f"__row.`{text_col}`"))
+    row = F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col], F.lit(0).alias("__some"))
+    packed = docs.select(row.alias("__row"), F.col(f"`{text_col}`").alias("__t"))
+    found = search(packed, benchmark, id_col="__row", text_col="__t", keep_text=True, **options)
+    text = F.when(F.size("spans") > 0, _cut_text("text", "spans")).otherwise(F.col("text"))
     return found.select(*[(text if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in cols])

@@ -47,7 +47,7 @@ class Words(dict):
     """Hashes of words, forgotten all at once when there are many."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -285,16 +285,23 @@ def _linked(batches):
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are similar: first by sketches, then by whole sets."""
-    def side(x: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    close = _both(materialize(pairs), sets, {"n": "n", "s": "sketch"}).mapInArrow(_close, "a long, b long")
+    return _both(materialize(close), sets, {"h": "hashes"}).mapInArrow(_linked, "a long, b long")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Stored pairs with columns of both classes.
 
-    def whole(x: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(x), F.col("hashes").alias(f"h{x}"))
+    Up to ``BROADCAST_CLASSES`` pairs go to the sets, so only the sets that
+    occur in a pair are shuffled, to the pair's second class.
+    """
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(x), *[F.col(v).alias(k + x) for k, v in columns.items()])
 
-    close = (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-                  .mapInArrow(_close, "a long, b long"))
-    return (close.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "ha", "hb")
-                 .mapInArrow(_linked, "a long, b long"))
+    few = pairs.count() <= BROADCAST_CLASSES
+    sent = F.broadcast if few else (lambda df: df)
+    second = side("b").join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    return side("a").join(sent(pairs), "a").join(second, "b").select("a", "b", *[k + x for k in columns for x in "ab"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -488,6 +495,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     votes = _unpacked(found, "votes", ["a", "b", "votes"]).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     comps = merge(own, verify(elected(votes), sets))
     left = materialize(open_buckets(buckets, comps))
+    company = materialize(left.groupBy("cls").agg(F.sum("g").alias("company")))
+    comps = merge(comps, verify(star_pairs(left.join(_small(company), "cls"), F.col("company")), sets))
+    left = materialize(open_buckets(left.drop("comp", "lead"), comps))
     comps = merge(comps, verify(star_pairs(left, F.xxhash64("cls")), sets))
     comps = merge(comps, verify(cross_pairs(left.drop("comp", "lead"), comps, sets), sets))
     named = classes.join(comps, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))

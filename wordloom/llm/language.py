@@ -53,13 +53,8 @@ def slots(token: str) -> list[int]:
 
 def vector(text: str) -> np.ndarray:
     """Shares of the hashed n-grams of a text (zeros without letters)."""
-    out = np.zeros(DIM, np.float32)
-    for token in text.split():
-        s = slots(token)
-        if s:
-            out += np.bincount(s, minlength=DIM)
-    total = out.sum()
-    return out / total if total else out
+    found = [s for token in text.split() for s in slots(token)]
+    return np.bincount(found, minlength=DIM).astype(np.float32) / max(1, len(found)) if found else np.zeros(DIM, np.float32)
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
