@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.ids import dense_ids
 from ..operators.joins import salted_lookup
@@ -33,7 +34,7 @@ def read_chat_exports(spark: SparkSession, path: str, lowercase: bool = False,
     in ``corrupt_col`` when given (PERMISSIVE) and otherwise dropped.
     """
     reader = spark.read.schema(
-        CHAT_EXPORT if corrupt_col is None else CHAT_EXPORT.add(corrupt_col, "string")
+        CHAT_EXPORT if corrupt_col is None else StructType([*CHAT_EXPORT.fields, StructField(corrupt_col, StringType())])
     ).option("multiLine", True).option("mode", "PERMISSIVE")
     if corrupt_col is not None:
         reader = reader.option("columnNameOfCorruptRecord", corrupt_col)

@@ -37,11 +37,10 @@ EXPORT_FIRST_CHAR = r"^[\p{IsAlphabetic}\p{N}!#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~]"
 def export_rows(vectors: DataFrame) -> DataFrame:
     """S10 (rows): exported tokens with one column per vector element.
 
-    Columns: ``token, embedding1 .. embeddingN`` (N from the first row).
+    Columns: ``token, embedding1 .. embeddingN`` (N: the longest vector).
     """
     kept = vectors.filter(F.col("token").rlike(EXPORT_FIRST_CHAR))
-    first = kept.select(F.size("embedding")).first()
-    width = first[0] if first else 0
+    width = kept.agg(F.max(F.size("embedding"))).first()[0] or 0
     return kept.select("token", *[F.get(F.col("embedding"), i).alias(f"embedding{i + 1}")
                                   for i in range(width)])
 

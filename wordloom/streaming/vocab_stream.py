@@ -9,8 +9,7 @@ latest committed version.  The merge itself is the batch operator
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,9 @@ def _commits(spark: SparkSession, root: str):
     path = f"{root}/_commits"
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (no commit yet)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything but "no commit yet" must not look like it
+            raise
         return None
 
 
