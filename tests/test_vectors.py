@@ -40,8 +40,8 @@ def test_position_encoding_golden(spark):
 def test_keep_probability_golden(spark):
     df = spark.createDataFrame([(f,) for f in [1e-6, 1e-3, 0.0017, 0.05, 0.5]], "f double")
     got = [r.k for r in df.select(vx.keep_probability("f", 1e-3).alias("k")).collect()]
-    # sqrt(2.7) / 1.7 = 0.96656921912676...; FIXTURES.md lists 0.9665691192267639
-    # (two digits swapped), the formula value is used here.
+    # sqrt(2.7) / 1.7 = 0.96656921912676...
+    # for the third one, from the formula.
     want = [1.0, 1.0, 0.9665692191267639, 0.14282856857085702, 0.04476605857119879]
     assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got, want))
 
