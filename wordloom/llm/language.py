@@ -13,6 +13,7 @@ covers every row.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,20 +42,39 @@ def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if code in langs.split()), "other")
 
 
-def slots(token: str) -> list[int]:
-    """Hashed n-grams of a token's letters; none without letters."""
-    word = "".join(c for c in token.lower() if c.isalpha())
-    if not word:
-        return []
-    marked = f"^{word}$"
-    grams = [marked] + [marked[i:i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % DIM for g in grams]
+def letters(token: str) -> str:
+    """A token's lower-cased letters."""
+    word = token.lower()
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Slots of 32-bit sums of scaled code points."""
+    h = (h ^ (h >> 15)) * np.uint32(0x2C1B3C6D)
+    return (h ^ (h >> 12)) % np.uint32(DIM)
+
+
+def grams(words: list[str], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(word's number, slot)`` of every n-gram of words (of letters alone), ``step`` letters at a time."""
+    marked = [f"^{w}$" for w in words]
+    yield np.arange(len(words)), np.array([zlib.crc32(m.encode()) % DIM for m in marked], np.int64)
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(m) for m in marked])
+    for at in range(0, len(code), step):
+        h = np.zeros(min(step, len(code) - at), np.uint32)
+        for n, factor in ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D)):
+            part = code[at + n - 1:at + n - 1 + step]
+            of = owner[at:at + len(part)]
+            h = h[:len(part)] + part * np.uint32(factor)
+            whole = of == owner[at + n - 1:at + n - 1 + step]
+            yield of[whole], _mixed(h + np.uint32(n))[whole]
 
 
 def vector(text: str) -> np.ndarray:
     """Shares of the hashed n-grams of a text (zeros without letters)."""
-    found = [s for token in text.split() for s in slots(token)]
-    return np.bincount(found, minlength=DIM).astype(np.float32) / max(1, len(found)) if found else np.zeros(DIM, np.float32)
+    words = [w for w in map(letters, text.split()) if w]
+    found = sum((np.bincount(slot, minlength=DIM) for _, slot in grams(words)), np.zeros(DIM, np.int64))
+    return found.astype(np.float32) / max(1, int(found.sum()))
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -121,43 +141,63 @@ def _score(margin: float) -> float:
 
 
 class Reader:
-    """A text's language by a model, with a bounded memo of words' values."""
+    """Languages of texts by a model, with a bounded memo of words' values.
 
-    def __init__(self, model: Model | None, limit: int = 200_000):
-        self.model, self.limit = model, limit
+    Texts are taken in groups of about ``group`` characters; the words that a
+    group adds to the memo are valued together.  Words of more than 64
+    characters leave the memo with their group.
+    """
+
+    def __init__(self, model: Model, limit: int = 200_000, group: int = 2_000_000):
+        self.model, self.limit, self.group = model, limit, group
+        self.columns = np.ascontiguousarray(model.weights.T)
         self.forget()
 
     def forget(self):
-        self.at, k = {}, self.model.weights.shape[1] if self.model else 0
-        self.rows = np.zeros((1024, k + 1))
-
-    def _row(self, token: str) -> np.ndarray:
-        s = slots(token)
-        return np.append(self.model.weights[s].sum(0), len(s)) if s else np.zeros(self.rows.shape[1])
-
-    def language(self, text: str | None) -> tuple[str, float]:
-        tokens = text.split() if text else ()
-        if not tokens or not self.model:
-            return "und", 0.0
-        if len(self.at) > self.limit:
+        self.at, self.rows, self.used = {}, np.zeros((1024, len(self.columns) + 1)), 0
+
+    def _values(self, words: list[str]) -> np.ndarray:
+        """Each word's summed weights by machine, then its number of n-grams."""
+        out = np.zeros((len(words), len(self.columns) + 1))
+        for owner, slot in grams(words):
+            for j, column in enumerate(self.columns):
+                out[:, j] += np.bincount(owner, column[slot], len(words))
+            out[:, -1] += np.bincount(owner, minlength=len(words))
+        return out
+
+    def _learn(self, tokens: set[str]):
+        """Give new tokens their rows; all without letters share one of zeros."""
+        if self.used > self.limit:
             self.forget()
-        at, extra, index = self.at, 0.0, []
-        for t in tokens:
-            i = at.get(t)
-            if i is None:
-                row = self._row(t)
-                if len(t) > 64:
-                    extra = extra + row
-                    continue
-                i = at[t] = len(at)
-                if i == len(self.rows):
-                    self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-                self.rows[i] = row
-            index.append(i)
-        total = np.bincount(index, minlength=1) @ self.rows[:max(index) + 1] if index and len(index) > 4 * max(index) else \
-            self.rows[index].sum(0) if index else np.zeros(self.rows.shape[1])
-        total = total + extra
-        return self.model.pick(total[:-1], total[-1])
+        new = sorted(tokens.difference(self.at))
+        words = [letters(t) for t in new]
+        kept = [i for i, w in enumerate(words) if w]
+        need = self.used + len(kept) + 1
+        if need > len(self.rows):
+            self.rows = np.vstack([self.rows[:self.used], np.zeros((2 * need - self.used, self.rows.shape[1]))])
+        self.at.update(dict.fromkeys(new, need - 1))
+        self.rows[need - 1] = 0
+        if kept:
+            self.rows[self.used:need - 1] = self._values([words[i] for i in kept])
+            self.at.update(zip([new[i] for i in kept], range(self.used, need - 1), strict=True))
+        self.used = need
+
+    def __call__(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:
+        group, size = [], 0
+        for k, t in enumerate(texts):
+            group.append(t.decode().split() if t else [])
+            size += len(t or b"")
+            if size > self.group or k + 1 == len(texts):
+                tokens = set().union(*group)
+                self._learn(tokens)
+                row = self.at.__getitem__
+                for text in group:
+                    total = self.rows[list(map(row, text))].sum(0) if text else np.zeros(1)
+                    yield self.model.pick(total[:-1], total[-1])
+                for t in tokens:
+                    if len(t) > 64:
+                        del self.at[t]
+                group, size = [], 0
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -196,8 +236,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     languages) goes to the tasks with the function.
     """
     def setup():
-        reader = Reader(model)
-        return lambda texts: (reader.language(t.decode() if t is not None else None) for t in texts)
+        return Reader(model) if model else lambda texts: [("und", 0.0)] * len(texts)
 
     return map_text(docs, None, {"lang_pred": "string", "score": "double"}, id_col=id_col, text_col=text_col, setup=setup)
 
