@@ -91,3 +91,19 @@ def test_shuffle_order_is_seeded_and_partition_free(spark):
     b = [r.pos for r in sm.shuffle_order(s.repartition(5), seed=9).orderBy("shuffle_key").collect()]
     c = [r.pos for r in sm.shuffle_order(s, seed=10).orderBy("shuffle_key").collect()]
     assert a == b and a != c and sorted(a) == list(range(200))
+
+
+def test_window_blocks_equal_the_whole(spark):
+    rng = np.random.default_rng(5)
+    ids, mat, has = rng.integers(0, 9, 50), rng.normal(size=(8, 3)).astype(np.float32), np.array([False] + [True] * 7)
+    for align in (False, True):
+        whole = sm.window_features(ids, mat, has, 4, 50, align)
+        parts = list(zip(*sm.window_blocks(ids, mat, has, 4, 50, align, rows=7)))
+        assert all(np.allclose(np.concatenate(p), w) for p, w in zip(parts, whole))
+
+
+def test_multi_hot_width_counts_what_it_leaves_out(spark):
+    w = sm.symmetric_windows(_arrays(spark, [[5, 5, 2, 9, 40000, 2, 7]]), radius=3)
+    assert sm.cbow_pairs(w).first().inputs == [2, 5, 7, 40000]
+    assert sm.cbow_pairs(w, cap=32768).first().n_beyond == 1
+    assert sm.skipgram_pairs(w, cap=9).first().n_beyond == 2

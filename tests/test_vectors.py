@@ -92,3 +92,22 @@ def test_blocked_similarity_matches_broadcast(spark):
                        for t in M if np.linalg.norm(M[t]) > 0))
         want = [t for _, t in sims[:5]]
         assert [r.token for r in sorted(a, key=key) if r.query == qt] == want
+
+
+def test_repeated_query_keys_in_both_forms(spark):
+    """Same key and vector: one query; same key with another vector: ranked on its own."""
+    v = _vecs(spark, [(f"t{i}", [float(i), 1.0]) for i in range(8)])
+    q = spark.createDataFrame([("k", [1.0, 1.0]), ("k", [1.0, 1.0]), ("k", [5.0, 1.0])], "query string, embedding array<float>")
+    forms = [sorted(map(tuple, sim.similar_tokens(q, v, 2, **kw).select("query", "token", "rank").collect()))
+             for kw in ({}, {"max_broadcast_rows": 0, "block_rows": 3})]
+    assert forms[0] == forms[1]
+    assert sorted(r[2] for r in forms[0]) == [1, 1, 2, 2] and {r[1] for r in forms[0] if r[2] == 1} == {"t1", "t5"}
+
+
+def test_similarity_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    V = rng.normal(size=(20_000, 8))
+    names = np.array([f"t{i}" for i in range(len(V))], dtype=object)
+    whole = sim.topn_block(list(range(40)), V[:40], names, V, 3)
+    monkeypatch.setattr(sim, "TILE_BYTES", 8 * len(V) * 7)
+    assert sim.topn_block(list(range(40)), V[:40], names, V, 3)[:2] == whole[:2]

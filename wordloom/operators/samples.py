@@ -86,29 +86,41 @@ def symmetric_windows(arrays: DataFrame, radius: int = 3, dynamic: bool = False,
     return arrays.select("doc_id", F.inline(F.transform(idx, sample)))
 
 
-def multi_hot(ids, cap: int = 32768) -> Column:
-    """Sparse multi-hot indices - distinct, sorted, ids >= cap dropped."""
+def multi_hot(ids, cap: int | None = None) -> Column:
+    """Sparse multi-hot indices - distinct and sorted.
+
+    Indices need no width, so there is none by default.  A caller that asks
+    for the width ``cap`` gets the indices below it; ``beyond`` counts the rest.
+    """
+    c = F.col(ids) if isinstance(ids, str) else ids
+    return F.array_sort(F.array_distinct(c if cap is None else F.filter(c, lambda x: x < F.lit(cap))))
+
+
+def beyond(ids, cap: int) -> Column:
+    """How many distinct indices a multi-hot row of width ``cap`` can't hold."""
     c = F.col(ids) if isinstance(ids, str) else ids
-    return F.array_sort(F.array_distinct(F.filter(c, lambda x: x < F.lit(cap))))
+    return F.size(F.array_distinct(F.filter(c, lambda x: x >= F.lit(cap)))).cast("long")
 
 
-def cbow_pairs(windows: DataFrame, cap: int = 32768) -> DataFrame:
-    """Context set -> target (``inputs``, ``outputs`` as multi-hot indices)."""
-    return windows.select("doc_id", "pos", "target_id",
-                          multi_hot(F.concat("left", "right"), cap).alias("inputs"),
-                          multi_hot(F.array("target_id"), cap).alias("outputs"))
+def _pairs(windows: DataFrame, inputs: Column, outputs: Column, cap: int | None) -> DataFrame:
+    lost = [] if cap is None else [(beyond(inputs, cap) + beyond(outputs, cap)).alias("n_beyond")]
+    return windows.select("doc_id", "pos", "target_id", multi_hot(inputs, cap).alias("inputs"),
+                          multi_hot(outputs, cap).alias("outputs"), *lost)
 
 
-def skipgram_pairs(windows: DataFrame, cap: int = 32768) -> DataFrame:
-    """Target -> context set (one multi-hot row per sample, not per pair)."""
-    return windows.select("doc_id", "pos", "target_id",
-                          multi_hot(F.array("target_id"), cap).alias("inputs"),
-                          multi_hot(F.concat("left", "right"), cap).alias("outputs"))
+def cbow_pairs(windows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Context set -> target (``inputs``, ``outputs`` as multi-hot indices; ``n_beyond`` with a ``cap``)."""
+    return _pairs(windows, F.concat("left", "right"), F.array("target_id"), cap)
+
+
+def skipgram_pairs(windows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Target -> context set (one multi-hot row per sample, not per pair; ``n_beyond`` with a ``cap``)."""
+    return _pairs(windows, F.array("target_id"), F.concat("left", "right"), cap)
 
 
 def embedding_samples(arrays: DataFrame, radius: int = 3, dynamic: bool = True,
                       method: str = "cbow", seed: int = 42, epoch: int = 0,
-                      cap: int = 32768) -> DataFrame:
+                      cap: int | None = None) -> DataFrame:
     """W1-W7 composed: sampled targets only (requires a ``keep`` array)."""
     w = symmetric_windows(arrays, radius, dynamic, seed, epoch).filter(F.col("keep"))
     if method == "cbow":
@@ -164,29 +176,27 @@ def train_validation_split(samples: DataFrame, seed: int = 42, share: float = 0.
 
 # ---- W8-W10: next-token feature rows, built per document in Arrow batches ----
 
-def positional_table(max_position: int, dim: int, period: int) -> np.ndarray:
-    """sin(2*pi*p/period/k) for p < max_position, k = 1..dim; row 0 is zeros."""
+def positional_table(max_position: int, dim: int, period: int, first: int = 0) -> np.ndarray:
+    """sin(2*pi*p/period/k) for first <= p < max_position, k = 1..dim; position 0 gives zeros."""
     if period == 0:
-        return np.zeros((max_position, dim))
-    p = np.arange(max_position, dtype=np.float64)[:, None]
+        return np.zeros((max_position - first, dim))
+    p = np.arange(first, max_position, dtype=np.float64)[:, None]
     k = np.arange(1, dim + 1, dtype=np.float64)[None, :]
-    table = np.sin(2.0 * np.pi * p / float(period) / k)
-    table[0, :] = 0.0
-    return table
+    return np.sin(2.0 * np.pi * p / float(period) / k)
 
 
 def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int, period: int,
-                    align_positions: bool = False):
-    """Features of every position of one document (numpy; shared by W9 and L3).
+                    align_positions: bool = False, first: int = 0, last: int | None = None):
+    """Features of a document's positions ``first <= i < last`` (numpy; shared by W9 and L3).
 
     Returns (positions, target_ids, X (m, C*d), Y (m, d)) for the samples whose
     target and context tokens all have a vector (W10).
     """
-    n = len(ids)
+    n = len(ids) if last is None else min(last, len(ids))
     d = matrix.shape[1]
-    if n == 0:
+    if n <= first:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, C * d)), np.zeros((0, d)))
-    index = np.arange(n)[:, None]
+    index = np.arange(first, n)[:, None]
     slot = np.arange(C)[None, :]
     src = index - C + slot                       # source position of each slot
     pad = src < 0
@@ -200,37 +210,67 @@ def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int
     safe = lambda a: np.clip(a, 0, len(has) - 1)
     in_range = lambda a: (a >= 0) & (a < len(has))
     ctx_ok = pad | (in_range(ctx) & has[safe(ctx)])
-    tgt_ok = in_range(ids) & has[safe(ids)]
+    own = ids[first:n]
+    tgt_ok = in_range(own) & has[safe(own)]
     ok = tgt_ok & ctx_ok.all(axis=1)
     sel = np.nonzero(ok)[0]
     if sel.size == 0:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, C * d)), np.zeros((0, d)))
-    pe = positional_table(int(pos[sel].max()) + 1, d, period)
+    at, low = pos[sel], int(pos[sel].min())
+    pe = positional_table(int(at.max()) + 1, d, period, low)
     vec = np.where(pad[sel][:, :, None], 0.0, matrix[safe(ctx[sel])])
-    X = (vec + pe[pos[sel]]).reshape(sel.size, C * d)
-    Y = matrix[ids[sel]]
-    return sel.astype(np.int64), ids[sel].astype(np.int64), X, Y
+    X = (vec + pe[at - low]).reshape(sel.size, C * d)
+    Y = matrix[own[sel]].astype(np.float64)
+    return sel.astype(np.int64) + first, own[sel].astype(np.int64), X, Y
+
+
+def window_blocks(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int, period: int,
+                  align_positions: bool = False, rows: int = 1024):
+    """``window_features`` of a whole document, ``rows`` positions at a time; blocks without a sample are left out."""
+    for first in range(0, len(ids), rows):
+        block = window_features(ids, matrix, has, C, period, align_positions, first, first + rows)
+        if len(block[0]):
+            yield block
+
 
+def id_lists(column: pa.Array):
+    """Each row's ids as a view of the column's values (empty for null)."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b].astype(np.int64, copy=False) for a, b in zip(at[:-1], at[1:], strict=True)]
 
-def vector_matrix(vectors: DataFrame, max_rows: int = 1 << 17):
-    """Collect an id-keyed vector table ``(token_id, embedding)`` as a dense matrix.
 
-    The table must be bounded (the one-hot cap bounds it to 32768 rows by
-    default); a larger table is refused rather than pulled to the driver.
+#: Largest vector matrix, in bytes of float32, that goes through the driver into a broadcast.
+BROADCAST_BYTES = 256 << 20
+
+
+def vectors_fit_broadcast(vectors: DataFrame, max_rows: int | None = None,
+                          max_bytes: int = BROADCAST_BYTES, id_col: str | None = "token_id") -> bool:
+    """Size check deciding between the broadcast and the shuffle-join forms.
+
+    Measures the matrix itself: its rows (to the largest id where the matrix
+    is laid out by ``id_col``) times the vector length.
     """
-    n = vectors.count()
-    if n > max_rows:
-        raise ValueError(f"vector table has {n} rows, above the broadcast bound {max_rows}")
-    rows = vectors.select("token_id", "embedding").collect()
-    if not rows:
-        return np.zeros((1, 0)), np.zeros(1, bool)
-    max_id = max(r[0] for r in rows)
-    dim = len(rows[0][1])
-    matrix = np.zeros((max_id + 1, dim), dtype=np.float64)
-    has = np.zeros(max_id + 1, dtype=bool)
-    for tid, emb in rows:
-        matrix[tid] = np.asarray(emb, dtype=np.float64)
-        has[tid] = True
+    count = F.count(F.lit(1))
+    n, span, d = vectors.select(count, F.max(id_col) + 1 if id_col else count, F.max(F.size("embedding"))).first()
+    return (max_rows is None or n <= max_rows) and (span or 0) * (d or 0) * 4 <= max_bytes
+
+
+def vector_matrix(vectors: DataFrame, max_bytes: int = BROADCAST_BYTES):
+    """Collect an id-keyed vector table ``(token_id, embedding)`` as a matrix with a row per id.
+
+    A matrix above ``max_bytes`` is refused rather than pulled to the driver.
+    """
+    if not vectors_fit_broadcast(vectors, max_bytes=max_bytes):
+        raise ValueError(f"the vector matrix is above the broadcast bound of {max_bytes} bytes")
+    got = vectors.select("token_id", F.col("embedding").cast("array<float>")).toArrow()
+    if not got.num_rows:
+        return np.zeros((1, 0), np.float32), np.zeros(1, bool)
+    ids = got.column(0).to_numpy()
+    rows = got.column(1).combine_chunks()
+    matrix = np.zeros((int(ids.max()) + 1, len(rows[0])), dtype=np.float32)
+    has = np.zeros(len(matrix), dtype=bool)
+    matrix[ids] = rows.flatten().to_numpy().reshape(len(ids), -1)
+    has[ids] = True
     return matrix, has
 
 
@@ -248,11 +288,6 @@ def _list_array(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(block.reshape(-1)))
 
 
-def vectors_fit_broadcast(vectors: DataFrame, max_rows: int = 1 << 17) -> bool:
-    """Size check deciding between the broadcast and the shuffle-join forms."""
-    return vectors.limit(max_rows + 1).count() <= max_rows
-
-
 def features_by_join(arrays: DataFrame, vectors: DataFrame, context_tokens: int = 16,
                      period: int = 5000, align_positions: bool = False) -> DataFrame:
     """W8-W10 without a broadcast: for vector tables above the broadcast bound.
@@ -287,17 +322,18 @@ def features_by_join(arrays: DataFrame, vectors: DataFrame, context_tokens: int
 
 def next_token_features(arrays: DataFrame, vectors: DataFrame, context_tokens: int = 16,
                         period: int = 5000, align_positions: bool = False,
-                        chunk: int = 1024, max_broadcast_rows: int = 1 << 17) -> DataFrame:
+                        chunk: int = 1024, max_broadcast_rows: int | None = None) -> DataFrame:
     """``(doc_id, pos, target_id, features ARRAY<DOUBLE>(C*d), target ARRAY<DOUBLE>)``.
 
-    When the vector table is within ``max_broadcast_rows`` it is broadcast
-    and windows are built per document in NumPy (only id arrays travel
-    through the shuffle); beyond it, ``features_by_join`` is used.
+    A vector matrix within ``BROADCAST_BYTES`` (and ``max_broadcast_rows``, if
+    given) is broadcast and windows are built in NumPy, ``chunk`` positions of
+    a document at a time (only id arrays travel through the shuffle); beyond
+    it, ``features_by_join`` gives the same rows.
     """
     if not vectors_fit_broadcast(vectors, max_broadcast_rows):
         return features_by_join(arrays, vectors, context_tokens, period, align_positions)
     spark = arrays.sparkSession
-    matrix, has = vector_matrix(vectors, max_broadcast_rows)
+    matrix, has = vector_matrix(vectors)
     bc = spark.sparkContext.broadcast((matrix, has))
     C = context_tokens
 
@@ -306,15 +342,11 @@ def next_token_features(arrays: DataFrame, vectors: DataFrame, context_tokens: i
         mat, hv = bc.value
         for batch in batches:
             docs = batch.column("doc_id").to_numpy()
-            id_lists = batch.column("ids").to_pylist()
-            for doc, ids in zip(docs, id_lists):
-                arr = np.asarray(ids, dtype=np.int64)
-                pos, tgt, X, Y = window_features(arr, mat, hv, C, period, align_positions)
-                for s in range(0, len(pos), chunk):
-                    e = s + chunk
+            for doc, ids in zip(docs, id_lists(batch.column("ids"))):
+                for pos, tgt, X, Y in window_blocks(ids, mat, hv, C, period, align_positions, chunk):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(pos[s:e]), doc, np.int64)), pa.array(pos[s:e]),
-                         pa.array(tgt[s:e]), _list_array(X[s:e]), _list_array(Y[s:e])],
+                        [pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos),
+                         pa.array(tgt), _list_array(X), _list_array(Y)],
                         schema=pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()),
                                           ("target_id", pa.int64()),
                                           ("features", pa.list_(pa.float64())),

@@ -12,7 +12,7 @@ P_TOKEN = r"(?s)</?[\p{L}\p{N}_-]*>|[\p{L}\p{N}]+|."
 WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 EXPORT_FIRST = r"^[\p{L}\p{N}!#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~]"
 
-R, MIN_OCC, SUBSAMPLE, CAP, C, PERIOD, TOP_N, SEED, LAST_N = 3, 2, 1e-3, 32768, 16, 5000, 10, 42, 3
+R, MIN_OCC, SUBSAMPLE, C, PERIOD, TOP_N, SEED, LAST_N = 3, 2, 1e-3, 16, 5000, 10, 42, 3
 
 
 def toks(expr: str, keep_ws: bool = False, lower: bool = False, strip: bool = False) -> str:
@@ -75,7 +75,7 @@ def _ids_text(expr: str) -> str:
 
 
 def _multi_hot(expr: str) -> str:
-    return _ids_text(f"list_sort(list_distinct(list_filter({expr}, lambda x: x < {CAP})))")
+    return _ids_text(f"list_sort(list_distinct({expr}))")
 
 
 def _ctx(r: str) -> str:
@@ -91,7 +91,7 @@ SAMPLED = (f"sampled AS (SELECT w.doc_id, w.pos, w.target_id FROM win w JOIN enc
 
 TOKEN_VECTORS = ("tv AS (SELECT v.token_id, v.token, e.embedding FROM vocab v JOIN embeddings e "
                  f"ON e.vec_id = v.token_id % (SELECT count(*) FROM embeddings) "
-                 f"WHERE v.occurrences >= {MIN_OCC} AND v.token_id < {CAP})")
+                 f"WHERE v.occurrences >= {MIN_OCC})")
 
 CENTROIDS = ("ex AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS k "
              "FROM embeddings), cen AS (SELECT label, k, avg(x) AS x FROM ex GROUP BY label, k)")
@@ -105,11 +105,14 @@ PROMPTS = ("prompts AS (SELECT conv_id, turn, trim(text) AS input FROM conversat
            "pocc AS (SELECT conv_id, turn, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM ptok)")
 
 
-def _pe_sum() -> str:
-    # sum over k of sin(2*pi*p/period/k), position 0 -> 0
-    return ("pe AS (SELECT p, CASE WHEN p = 0 THEN 0.0 ELSE "
-            f"(SELECT sum(sin(2 * pi() * p / {PERIOD}.0 / k)) FROM range(1, 65) t(k)) END AS s "
-            f"FROM range(0, (SELECT max(len(ids)) FROM arr) + {C} + 1) t(p))")
+def _position_part() -> str:
+    """By position: the plain and the weighted sum of its window's position encodings (weights 1..C*64)."""
+    return ("pe AS (SELECT p, sum(CASE WHEN p = 0 THEN 0.0 ELSE sin(2 * pi() * p / " f"{PERIOD}.0 / k) END) AS s, "
+            f"sum(CASE WHEN p = 0 THEN 0.0 ELSE k * sin(2 * pi() * p / {PERIOD}.0 / k) END) AS t "
+            f"FROM range(0, (SELECT max(pos) FROM enc) + {C} + 1) r(p), range(1, 65) q(k) GROUP BY p), "
+            f"slots AS (SELECT i AS pos, j, CASE WHEN j < {C} - i THEN j ELSE i + j - greatest({C} - i, 0) END AS p "
+            f"FROM range(0, (SELECT max(pos) FROM enc) + 1) r(i), range(0, {C}) q(j)), "
+            "pp AS (SELECT pos, sum(s) AS ps, sum(64 * j * s + t) AS pt FROM slots JOIN pe USING (p) GROUP BY pos)")
 
 
 SQL = {
@@ -194,7 +197,7 @@ SQL["cbow_pairs"] = (f"{BASE}, {ARRAYS}, {WINDOWS} SELECT doc_id, pos, {_multi_h
                      f"{_multi_hot('[target_id]')} AS outputs FROM win")
 SQL["skipgram_pairs"] = (f"{BASE}, {ARRAYS}, {WINDOWS} SELECT doc_id, pos, {_multi_hot('[target_id]')} AS inputs, "
                          f"{_multi_hot(_ctx(str(R)))} AS outputs FROM win")
-SQL["multi_hot"] = (f"{BASE}, {ARRAYS} SELECT doc_id, len(list_distinct(list_filter(ids, lambda x: x < {CAP})))::BIGINT AS n_indices, "
+SQL["multi_hot"] = (f"{BASE}, {ARRAYS} SELECT doc_id, len(list_distinct(ids))::BIGINT AS n_indices, "
                     f"{_multi_hot('ids')} AS indices FROM arr")
 SQL["sample_targets"] = f"{BASE}, {ARRAYS}, {WINDOWS}, {SAMPLED} SELECT doc_id, pos, target_id FROM sampled"
 SQL["train_validation_split"] = (
@@ -207,18 +210,20 @@ SQL["causal_windows"] = (
     f"{_ids_text(f'list_concat(list_transform(range(greatest({C} - e.pos, 0)), lambda z: 0::BIGINT), a.ids[greatest(e.pos - {C} + 1, 1):e.pos])')} AS context "
     "FROM enc e JOIN arr a USING (doc_id)")
 
+# a window is the C rows before a token; slot C - o holds the token o places back
+_LAGS = " + ".join(f"coalesce(lag(s, {o}) OVER w, 0.0)" for o in range(1, C + 1))
+_WLAGS = " + ".join(f"coalesce({64 * (C - o)} * lag(s, {o}) OVER w + lag(t, {o}) OVER w, 0.0)" for o in range(1, C + 1))
 SQL["next_token_features"] = (
-    f"{BASE}, {ARRAYS}, {TOKEN_VECTORS}, {_pe_sum()}, "
-    "tvs AS (SELECT token_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM tv), "
-    f"slots AS (SELECT e.doc_id, e.pos, e.token_id AS target_id, j.j AS slot, e.pos - {C} + j.j AS src FROM enc e, range(0, {C}) j(j)), "
-    "slot_ids AS (SELECT s.*, CASE WHEN s.src >= 0 THEN a.ids[s.src + 1] END AS ctx_id, "
-    f"CASE WHEN s.src < 0 THEN s.slot ELSE s.pos + s.slot - greatest({C} - s.pos, 0) END AS p FROM slots s JOIN arr a USING (doc_id)), "
-    "slot_val AS (SELECT si.doc_id, si.pos, si.target_id, si.ctx_id, tvs.s AS vs, pe.s AS ps FROM slot_ids si "
-    "LEFT JOIN tvs ON tvs.token_id = si.ctx_id JOIN pe ON pe.p = si.p), "
-    "agg AS (SELECT doc_id, pos, target_id, sum(CASE WHEN ctx_id IS NOT NULL AND vs IS NULL THEN 1 ELSE 0 END) AS missing, "
-    "sum(coalesce(vs, 0.0) + ps) AS fs FROM slot_val GROUP BY doc_id, pos, target_id) "
-    f"SELECT a.doc_id, a.pos, a.target_id, {C * 64}::BIGINT AS n_features, round(a.fs, 6) AS feature_sum, round(t.s, 6) AS target_sum "
-    "FROM agg a JOIN tvs t ON t.token_id = a.target_id WHERE a.missing = 0")
+    f"{BASE}, {ARRAYS}, {TOKEN_VECTORS}, {_position_part()}, "
+    "tvs AS (SELECT token_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, "
+    "list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)) AS t FROM tv), "
+    "vals AS (SELECT e.doc_id, e.pos, e.token_id AS target_id, s, t FROM enc e LEFT JOIN tvs USING (token_id)), "
+    f"agg AS (SELECT *, {_LAGS} AS fs, {_WLAGS} AS ft, "
+    f"coalesce(sum((s IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {C} PRECEDING AND 1 PRECEDING), 0) AS missing "
+    "FROM vals WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) "
+    f"SELECT doc_id, pos, target_id, {C * 64}::BIGINT AS n_features, round(fs + ps, 6) AS feature_sum, "
+    "round(ft + pt, 3) AS feature_weighted, round(s, 6) AS target_sum, round(t, 3) AS target_weighted "
+    "FROM agg JOIN pp USING (pos) WHERE missing = 0 AND s IS NOT NULL")
 
 SQL["cosine_pairs"] = (
     f"WITH {CENTROIDS}, d AS (SELECT ex.vec_id, ex.label, sum(ex.x * c.x) AS dotp, sum(ex.x * ex.x) AS na, sum(c.x * c.x) AS nb "

@@ -15,6 +15,7 @@ from ..functions import vector as vx
 from ..operators import samples as sm
 from ..operators import similarity as sim
 from ..operators import vocab as vc
+from ..session import materialize
 from ..sources import chat as ch
 from ..sources import documents as dc
 from ..sources import vectors as vs
@@ -192,19 +193,19 @@ def context_windows_dynamic(spark, sf):
 
 def cbow_pairs(spark, sf):
     w = sm.symmetric_windows(_arrays(spark, sf), tb.CONTEXT_RADIUS)
-    p = sm.cbow_pairs(w, tb.ONE_HOT_CAP)
+    p = sm.cbow_pairs(w)
     return p.select("doc_id", "pos", _ids_text("inputs").alias("inputs"), _ids_text("outputs").alias("outputs"))
 
 
 def skipgram_pairs(spark, sf):
     w = sm.symmetric_windows(_arrays(spark, sf), tb.CONTEXT_RADIUS)
-    p = sm.skipgram_pairs(w, tb.ONE_HOT_CAP)
+    p = sm.skipgram_pairs(w)
     return p.select("doc_id", "pos", _ids_text("inputs").alias("inputs"), _ids_text("outputs").alias("outputs"))
 
 
 def multi_hot(spark, sf):
     a = _arrays(spark, sf)
-    idx = sm.multi_hot("ids", tb.ONE_HOT_CAP)
+    idx = sm.multi_hot("ids")
     return a.select("doc_id", F.size(idx).cast("long").alias("n_indices"), _ids_text(idx).alias("indices"))
 
 
@@ -232,11 +233,14 @@ def next_token_features(spark, sf):
     vocab = tb.vocabulary(spark, sf)
     occ = tb.occurrences(spark, sf)
     arrays = sm.id_arrays(vc.encode_tokens(occ, vocab))
-    f = sm.next_token_features(arrays, tb.token_vectors(spark, sf, vocab), tb.CONTEXT_TOKENS, tb.PERIOD)
+    f = sm.next_token_features(arrays, materialize(tb.token_vectors(spark, sf, vocab)), tb.CONTEXT_TOKENS, tb.PERIOD)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    weighted = lambda c: F.transform(c, lambda x, i: x * (i + 1))    # tells swapped slots and elements apart
     return f.select("doc_id", "pos", "target_id", F.size("features").cast("long").alias("n_features"),
                     F.round(total(F.col("features")), 6).alias("feature_sum"),
-                    F.round(total(F.col("target")), 6).alias("target_sum"))
+                    F.round(total(weighted("features")), 3).alias("feature_weighted"),
+                    F.round(total(F.col("target")), 6).alias("target_sum"),
+                    F.round(total(weighted("target")), 3).alias("target_weighted"))
 
 
 # ---- vectors (E1-E5, S9, S10) ----

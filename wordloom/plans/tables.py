@@ -3,9 +3,8 @@
 * documents     -> D1 corpus: doc_id, input '', context = source, output = text
 * conversations -> chat messages: chat = conv_id, author = role, content = text
 * embeddings    -> token vectors: token = vec_id as text
-* vocabulary tokens get a stand-in vector: tokens seen at least twice with an
-  id under the one-hot cap take the embedding row ``vec_id = token_id mod n``
-  (what a fitted model would provide; the cap bounds the table)
+* vocabulary tokens get a stand-in vector: tokens seen at least twice take the
+  embedding row ``vec_id = token_id mod n`` (what a fitted model would provide)
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from ..sources.documents import build_documents
 CONTEXT_RADIUS = 3
 MIN_OCCURRENCES = 2
 SUBSAMPLE = 1e-3
-ONE_HOT_CAP = 32768
 CONTEXT_TOKENS = 16
 PERIOD = 5000
 TOP_N = 10
@@ -63,6 +61,6 @@ def token_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = No
     vocab = vocab if vocab is not None else vocabulary(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings")
     n = emb.select(F.count(F.lit(1))).scalar()
-    keyed = (vocab.filter((F.col("occurrences") >= MIN_OCCURRENCES) & (F.col("token_id") < ONE_HOT_CAP))
+    keyed = (vocab.filter(F.col("occurrences") >= MIN_OCCURRENCES)
                   .select("token_id", "token", F.pmod(F.col("token_id"), n).alias("vec_id")))
     return keyed.join(emb.select("vec_id", "embedding"), "vec_id").drop("vec_id")
