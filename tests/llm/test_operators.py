@@ -263,3 +263,14 @@ def test_empty_table(docs, run):
 def test_empty_token_files(spark, docs, tmp_path):
     rans.write_ids(rans.tokenize(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")), str(tmp_path / "none"))
     assert rans.read_digests(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_decontamination_cuts_in_several_blocks(spark):
+    docs = spark.createDataFrame([(1, "x One two THREE, y"), (2, None), (3, "four five"), (4, "plain\ttext"), (4, "plain\ttext")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, None)], "item_id long, text string")
+    for words in (1, 1_000_000):
+        got = sorted((r.doc_id, r.text) for r in decontam.clean(docs, bench, block_words=words).collect() if r.doc_id != 2)
+        assert got == [(1, "x , y"), (3, ""), (4, "plain\ttext"), (4, "plain\ttext")]
+    plan = decontam.clean(docs, bench).filter("length(text) > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0

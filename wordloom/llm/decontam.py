@@ -17,11 +17,10 @@ import re
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .common import alnum_words, as_bytes, slices
 
@@ -198,18 +197,30 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
         yield Benchmark([(r[0], r[1].encode() if r[1] is not None else None) for r in part.toLocalIterator()], window)
 
 
+def _shards(batches, rows: int, size: int = 8 << 20):
+    """Slices of at most ``rows`` rows, and of ``size`` bytes of text where they hold more than one row."""
+    for b in slices(batches, rows):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("__text")), 0).to_numpy().astype(np.int64))
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + size, "right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
 _SPANS = "spans array<struct<first:int,last:int>>, items array<string>"
 
 
 def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = 1_000_000,
-           shard_rows: int = 2048, keep_text: bool = False) -> DataFrame:
+           shard_rows: int = 2048, keep_text: bool = False, cut_text: bool = False) -> DataFrame:
     """Occurrences of benchmark windows: one row per input row.
 
     ``id, n_words, spans, items[, text]``: merged spans of words (first, last
     inclusive) and the sorted ids of the items with an occurring window.  An
     item of fewer than ``window`` words, but not none, is one window.  Null
     texts have no words, null items none either; repeated rows repeat results.
+    With ``cut_text`` the text comes without its spans.
     """
     id_type = dict(docs.dtypes)[id_col]
     cur = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"),
@@ -218,26 +229,32 @@ def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
     blocks = list(_blocks(benchmark, item_col, item_text_col, window, block_words))
     struct = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for k, block in enumerate(blocks):
-        text_out = keep_text or k + 1 < len(blocks)
+        cutting = cut_text and k + 1 == len(blocks)
+        text_out = keep_text or cut_text or k + 1 < len(blocks)
 
-        def run(batches, block=block, text_out=text_out):
-            for b in slices(batches, shard_rows):
-                texts = [alnum_words(t) for t in as_bytes(b.column("__text"))]
+        def run(batches, block=block, text_out=text_out, cutting=cutting):
+            for b in _shards(batches, shard_rows):
+                raw, kept = as_bytes(b.column("__text")), b.column("__text")
+                texts = [alnum_words(t) for t in raw]
                 found = block.search(texts)
                 old = zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)
                 spans, items = [], []
-                for (s, i), (so, io) in zip(found, old, strict=True):
+                for at, ((s, i), (so, io)) in enumerate(zip(found, old, strict=True)):
                     if so:
                         s = _merge(s + [(x["first"], x["last"] + 1) for x in so])
+                    if cutting and s:
+                        raw[at] = cut(raw[at], s)
                     spans.append([{"first": a, "last": e - 1} for a, e in s])
                     items.append(sorted({*i, *io}))
                 cols = [b.column("__id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, struct),
                         pa.array(items, pa.list_(pa.string()))]
                 names = ["__id", "n_words", "spans", "items"]
-                yield pa.RecordBatch.from_arrays(cols + [b.column("__text")] * text_out, names + ["__text"] * text_out)
+                if cutting and any(spans):
+                    kept = pa.array(raw, pa.binary()).cast(kept.type)
+                yield pa.RecordBatch.from_arrays(cols + [kept] * text_out, names + ["__text"] * text_out)
 
         cur = cur.mapInArrow(run, f"__id {id_type}, n_words long, {_SPANS}" + ", __text string" * text_out)
-    extra = [F.col("__text").alias("text")] if keep_text else []
+    extra = [F.col("__text").alias("text")] if keep_text or cut_text else []
     return cur.select(F.col("__id").alias(id_col), "n_words", "spans", "items", *extra)
 
 
@@ -270,17 +287,10 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-@F.pandas_udf(StringType())
-def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else cut(t.encode(), [(x["first"], x["last"] + 1) for x in s]).decode()
-                      for t, s in zip(text, spans, strict=True)])
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with all spans removed from the texts; other columns, rows and texts without a span stay."""
     cols = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col], F.lit(0).alias("__some"))
     packed = docs.select(row.alias("__row"), F.col(f"`{text_col}`").alias("__t"))
-    found = search(packed, benchmark, id_col="__row", text_col="__t", keep_text=True, **options)
-    text = F.when(F.size("spans") > 0, _cut_text("text", "spans")).otherwise(F.col("text"))
-    return found.select(*[(text if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in cols])
+    found = search(packed, benchmark, id_col="__row", text_col="__t", cut_text=True, **options)
+    return found.select(*[(F.col("text") if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in cols])

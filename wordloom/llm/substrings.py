@@ -449,6 +449,10 @@ def _kept_text(z: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(z, places, strict=True)])
 
 
+#: Kept from being evaluated once more for a filter on the text.
+_kept_text = _kept_text.asNondeterministic()
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of long strings cut from the texts, same rows and columns.
 
