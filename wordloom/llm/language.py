@@ -148,7 +148,7 @@ class Reader:
     characters leave the memo with their group.
     """
 
-    def __init__(self, model: Model, limit: int = 200_000, group: int = 2_000_000):
+    def __init__(self, model: Model, limit: int = 100_000, group: int = 1_000_000):
         self.model, self.limit, self.group = model, limit, group
         self.columns = np.ascontiguousarray(model.weights.T)
         self.forget()
