@@ -8,23 +8,20 @@ def _tok(spark, s, **kw):
     return df.select(tx.tokenize("t", **kw).alias("x")).first()["x"]
 
 
-def test_lower_and_strip(spark):
-    assert _tok(spark, "Hello World!", lowercase=True, strip_punctuation=True) == ["hello", "world"]
-
-
-def test_document_tokens_golden(spark):
-    # tags, tags with dashes, closing tag with underscore, broken tag; whitespace kept
-    df = spark.createDataFrame(
-        [("Some body text", "Take <b> ~odd42- ^&*'<-in->'?", "</x_y> odd <tag ! more>")],
-        "output string, input string, context string")
-    toks = df.select(tx.tokenize_document(keep_whitespace=True).alias("t")).first()["t"]
-    assert toks == ["<input>", "Take", " ", "<b>", " ", "~", "odd42", "-", " ", "^", "&", "*", "'",
-                    "<-in->", "'", "?", "</input>",
-                    "<context>", "</x_y>", " ", "odd", " ", "<", "tag", " ", "!", " ", "more", ">",
-                    "</context>", "<output>", "Some", " ", "body", " ", "text", "</output>"]
-    back = df.select(tx.detokenize(tx.tokenize_document(keep_whitespace=True)).alias("d")).first()["d"]
-    assert (back["input"], back["context"], back["output"]) == (
-        "Take <b> ~odd42- ^&*'<-in->'?", "</x_y> odd <tag ! more>", "Some body text")
+def test_case_and_punctuation(spark):
+    assert _tok(spark, "ÉCLAIR-no. 7 (Two)", lowercase=True, strip_punctuation=True) == ["éclairno", "7", "two"]
+
+
+def test_framed_document_and_back(spark):
+    """Nested angle brackets, tags at a text's edges and side by side, digits beside a tag, non-ASCII runs, an empty section."""
+    sections = {"input": "<<i>>9</i>zwölf\tΩmega", "context": "", "output": "<end_1><-2>7% a</b c"}
+    df = spark.createDataFrame([sections], "input string, context string, output string")
+    framed = tx.tokenize_document(keep_whitespace=True)
+    assert df.select(framed.alias("t")).first()["t"] == [
+        "<input>", "<", "<i>", ">", "9", "</i>", "zwölf", "\t", "Ωmega", "</input>", "<context>", "</context>",
+        "<output>", "<end_1>", "<-2>", "7", "%", " ", "a", "<", "/", "b", " ", "c", "</output>"]
+    back = df.select(tx.detokenize(framed).alias("d")).first()["d"]
+    assert {k: back[k] for k in sections} == sections
 
 
 def test_edge_cases(spark):
