@@ -130,6 +130,16 @@ def test_lines(docs):
     assert got == {d: (sum(c), hashlib.sha256(bytes(x for x, k in zip(texts[d], c) if not k)).hexdigest()) for d, c in cov.items()}
 
 
+def test_lines_repeated_row(spark):
+    """A row given twice keeps its first occurrences, with both copies in one task or in two."""
+    text = "one two three four five six\nseven eight nine ten eleven twelve"
+    rows = [(1, text), (1, text), (2, text), (2, text)]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        assert sorted((r.doc_id, r.text) for r in lines.dedup(docs).collect()) == [(1, text), (1, text), (2, "\n"), (2, "\n")]
+        assert {(r.doc_id, r.n_units) for r in lines.report(docs).collect()} == {(1, 0), (2, 2)}
+
+
 def test_bpe_matches_library(docs):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = bpe.load_ranks(MULTI)

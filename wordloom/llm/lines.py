@@ -51,8 +51,11 @@ def _unit_map(line_words: int, sentence_words: int):
         cols = [np.array(c, np.int64) for c in (doc, start, end)]
         high, low = np.array(high, np.uint64).view(np.int64), np.array(low, np.uint64).view(np.int64)
         order = np.lexsort((cols[1], cols[0], low, high))
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+        begins = np.ones(len(order), bool)
+        begins[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+        first = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+        later = np.zeros(len(order), bool)  # a repeated row's unit is at the place of the first one: no later copy
+        later[order] = (cols[0][order] != cols[0][first]) | (cols[1][order] != cols[1][first])
         # Settled rows only pass through the grouping: keys of their own spread them.
         high = np.where(later, cols[0] * 0x9E3779B1 + cols[1], high)
         return pa.RecordBatch.from_arrays(
@@ -120,7 +123,8 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
             for z, places in zip(b.column("z").to_pylist(), b.column("places").to_pylist(), strict=True):
                 text, found = zstandard.decompress(z), _merged(places)
                 kept = cut(text, found)
-                rows.append((len(text), len(places or ()), len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(),
+                units_cut = len({(p["start"], p["end"]) for p in places or ()})
+                rows.append((len(text), units_cut, len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(),
                              [{"start": s, "end": e} for s, e in found]))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, t) for c, t in zip(
