@@ -140,6 +140,15 @@ def test_lines_repeated_row(spark):
         assert {(r.doc_id, r.n_units) for r in lines.report(docs).collect()} == {(1, 0), (2, 2)}
 
 
+def test_lines_of_any_length(spark):
+    """Short lines and sentences, and those of scripts without blanks, are units too."""
+    rows = [(1, "Share this\nYes. It is so.\n今天天气很好。我们去公园！"), (2, "share  THIS\nNo. It is so.\n他说。我们去公园！\nวันนี้อากาศดี"), (3, "วันนี้อากาศดี\nMr. Who")]
+    docs = spark.createDataFrame([*rows, (4, "Mr. Else\n1. First\n1. Second")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert got == {1: rows[0][1], 2: "\nNo. \n他说。\nวันนี้อากาศดี", 3: "\nMr. Who", 4: "Mr. Else\n1. First\n1. Second"}
+    assert {r.doc_id: r.text for r in lines.dedup(docs, least_line=99, least_sentence=99).collect()}[3] == rows[2][1]
+
+
 def test_bpe_matches_library(docs):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = bpe.load_ranks(MULTI)

@@ -1,7 +1,8 @@
 """Substring dedup by lines and sentences: the earliest occurrence stays, later ones are cut.
 
 Units are the lines of a text and the sentences within them; white space and
-A-Z are normalised and units of few words are no units.  Occurrences of a
+A-Z are normalised, and every line that is not blank is a unit, as is every
+sentence; only a caller's option leaves short ones out.  Occurrences of a
 digest (128 bits) are ranked by (document id, place), the first one is kept,
 whether copies lie in one document or in many.  Map tasks settle copies among
 their own rows, so a very frequent unit sends one row per task to the global
@@ -25,28 +26,54 @@ from pyspark.sql.types import StringType
 from .common import as_bytes
 from .substrings import _mark, _pack_texts, cut
 
-LINE_WORDS, SENTENCE_WORDS = 5, 8
 CHUNK_UNITS = 400_000
-_SENTENCE = re.compile(rb"\S(?:[^.!?]|[.!?]+(?=\S))*[.!?]*")
-
-
-def units(text: bytes, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS):
-    """(start, end, normalised bytes) of the units of a text."""
+#: Sentence ends that need no white space behind them (a full-width stop between digits is none), and their first bytes.
+_HARD = b"|".join(c.encode() for c in "。！？｡؟۔।॥።၊။។៕։") + b"|\xef\xbc\x8e(?!\xef\xbc[\x90-\x99]|[0-9])"
+_CLOSERS = b"|".join(c.encode() for c in "」』）】》〉”’")
+_LEADS = rb"\xd6\xd8\xdb\xe0\xe1\xe3\xef"
+_SENTENCE = re.compile(rb"\S(?:[^.!?" + _LEADS + rb"]++|[.!?]+(?=\S)|(?!" + _HARD + rb")[" + _LEADS + rb"])*+(?:(?:" + _HARD
+                       + rb")++(?:" + _CLOSERS + rb")*+|[.!?]*)")
+#: A full stop behind these words ends no sentence.
+_SHORT = set(b"mr. mrs. ms. dr. prof. st. sr. jr. vs. etc. e.g. i.e. cf. fig. vol. pp. ca. approx. inc. ltd. co.".split())
+
+
+def _goes_on(line: bytes, start: int, end: int) -> bool:
+    """Whether the full stop before ``end`` belongs to an abbreviation, an initial or a list's number."""
+    if line[end - 1:end] != b"." or end == len(line):
+        return False
+    if line[end + 1:end + 2].islower():
+        return True
+    word = line[max(start, end - 12):end].split()[-1].lower()
+    return word in _SHORT or (len(word) == 2 and word[:1].isalpha()) or (word[:-1].isdigit() and end - start == len(word))
+
+
+def _sentences(line: bytes):
+    start = None
+    for m in _SENTENCE.finditer(line):
+        start, end = m.start() if start is None else start, m.end()
+        if not _goes_on(line, start, end):
+            yield start, end
+            start = None
+    if start is not None:
+        yield start, end
+
+
+def units(text: bytes, least_line: int = 1, least_sentence: int = 1):
+    """(start, end, normalised bytes) of the units of a text: all lines and sentences of so many normalised bytes."""
     at = 0
     for line in text.split(b"\n"):
-        words = line.lower().split()
-        if len(words) >= min(line_words, sentence_words):
-            whole = b" ".join(words)
-            if len(words) >= line_words:
+        whole = b" ".join(line.lower().split())
+        if whole:
+            if len(whole) >= least_line:
                 yield at, at + len(line), whole
-            for m in _SENTENCE.finditer(line):
-                words = m.group().lower().split()
-                if len(words) >= sentence_words and (one := b" ".join(words)) != whole:
-                    yield at + m.start(), at + m.end(), one
+            for s, e in _sentences(line):
+                one = b" ".join(line[s:e].lower().split())
+                if len(one) >= least_sentence and one != whole:
+                    yield at + s, at + e, one
         at += len(line) + 1
 
 
-def _unit_map(line_words: int, sentence_words: int):
+def _unit_map(least_line: int, least_sentence: int):
     def out(doc, mark, start, end, high, low):
         cols = [np.array(c, np.int64) for c in (doc, start, end)]
         high, low = np.array(high, np.uint64).view(np.int64), np.array(low, np.uint64).view(np.int64)
@@ -69,7 +96,7 @@ def _unit_map(line_words: int, sentence_words: int):
                 if i is None or not text:
                     continue
                 m = _mark(text)
-                for s, e, unit in units(text, line_words, sentence_words):
+                for s, e, unit in units(text, least_line, least_sentence):
                     h = xxhash.xxh3_128_intdigest(unit)
                     for c, v in zip(held, (i, m, s, e, h >> 64, h & 0xFFFFFFFFFFFFFFFF), strict=True):
                         c.append(v)
@@ -81,11 +108,11 @@ def _unit_map(line_words: int, sentence_words: int):
     return run
 
 
-def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS,
-            sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_line: int = 1,
+            least_sentence: int = 1) -> DataFrame:
     """Units to remove per document: ``doc, mark, places array<struct<start, end>>`` in bytes of the original text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _unit_map(line_words, sentence_words), "doc long, mark int, start long, end long, high long, low long, later boolean")
+        _unit_map(least_line, least_sentence), "doc long, mark int, start long, end long, high long, low long, later boolean")
     first = F.min(F.struct("doc", "start")).over(Window.partitionBy("high", "low", "later"))
     late = rows.withColumn("first", first).filter(F.col("later") | (F.struct("doc", "start") != F.col("first")))
     return late.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("places"))
