@@ -274,6 +274,18 @@ def test_pages(spark):
     assert pages.main_text("<div>" * 5000 + "deep" + "</div>" * 5000, None) == "deep"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>a</p><svg class='i' /><p>b</p>", "a b"), ("<p>a</p><svg><text>x</text></svg><p>b</p>", "a b"),
+    ("<title-bar>a</title-bar><p>b</p>", "a b"), ("<p>a</p><select-box x=1><p>b</p>", "a b"),
+    ("<body class='has-sidebar'><p>a</p></body>", "a"), ("<body class='sidebar'><p>a</p></body>", "a"),
+    ("<div class='content no-sidebar'><p>a</p></div>", "a"), ("<div class='article-header'><h1>a</h1></div><p>b</p>", "a b"),
+    ("<div class='sidebar left'><p>a</p></div><p>b</p>", "b"), ("<div class='page sidebar'><article class='related'>a</article>z</div>", "a"),
+    ("<div class='sidebar'><article>teaser</article></div><article>a</article>", "a"), ("<footer><article>a</article></footer><p>b</p>", "b"),
+    ("<div data-id='menu'>a</div>", "a")])
+def test_pages_markup(page, text):
+    assert pages.main_text(page, None) == text
+
+
 @pytest.mark.parametrize("run", [substrings.report, substrings.dedup, jaccard.near_duplicates, lines.report, licenses.scan])
 def test_empty_table(docs, run):
     assert run(docs.limit(0)).count() == 0

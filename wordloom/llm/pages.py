@@ -36,13 +36,15 @@ LEAST_PAGES, SAME_SHARE = 4, 0.8
 DEPTH = 100
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(script|style|noscript|template|title|textarea|iframe|svg|select|object)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
               "span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_NAMELESS = {"html", "body", "main", "article"}
 _NEVER = set("nav footer aside form button head menu dialog".split())
 _NEVER_NAMED = set("ad ads advert advertisement adverts advertising banner cookie cookies consent notice notification popup modal "
                    "newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment "
@@ -62,11 +64,17 @@ class Node:
         self.kind, self.children, self.text, self.never, self.article, self.hash = kind, [], [], never, article, 0
 
 
-def parse(page: str) -> Node:
-    """A tolerant tree of block elements; inline elements only pass their text on."""
+def parse(page: str, free: frozenset = frozenset()) -> Node:
+    """A tolerant tree of block elements; inline elements only pass their text on.
+
+    Names decide as whole tokens, and never on the page, its body or a marked
+    article.  If every article lies in elements left out by name, names do not
+    decide on those elements (``free``, places of their tags) either.
+    """
     root = Node("html", False, False)
-    stack: list[tuple[str, Node]] = [("html", root)]
+    stack: list[tuple[str, Node, int]] = [("html", root, -1)]  # with the place of a tag that is left out by name, else -1
     run: Node | None = None
+    around, marked = set(), False
 
     def say(text: str) -> None:
         nonlocal run
@@ -91,12 +99,14 @@ def parse(page: str) -> Node:
             continue
         closing = m.group(2) or m.group(5)
         attributes = m.group(4) or m.group(7) or ""
-        names = set()
+        names, tokens = set(), set()
         if attributes and not closing:
             for v in _NAMES.finditer(attributes):
-                names.update(re.split(r"[^a-z0-9]+", (v.group(1) or v.group(2) or v.group(3) or "").lower()))
-        never = bool(names & _NEVER_NAMED)
-        if tag in _INLINE and not never and not (closing and any(t == tag for t, _ in stack)):
+                value = (v.group(1) or v.group(2) or v.group(3) or "").lower()
+                names.update(re.split(r"[^a-z0-9]+", value))
+                tokens.update(value.split())
+        never = tag not in _NAMELESS and "main" not in tokens and m.start() not in free and bool(tokens & _NEVER_NAMED)
+        if tag in _INLINE and not never and not (closing and any(t == tag for t, _, _ in stack)):
             continue
         run = None
         if closing:
@@ -109,18 +119,22 @@ def parse(page: str) -> Node:
         while len(stack) > 1 and stack[-1][0] in closes:
             stack.pop()
         top = stack[-1][1]
-        article = top.article or tag in ("article", "main") or "main" in names
+        article = top.article or tag in ("article", "main") or "main" in tokens
+        if article and not top.article:
+            around.update(p for _, _, p in stack if p >= 0)
+        place = m.start() if never else -1
         never = top.never or tag in _NEVER or never or (tag == "header" and not top.article)
         if len(stack) > DEPTH:  # deeper elements pass their text on
-            stack.append((tag, top))
+            stack.append((tag, top, -1))
             continue
         node = Node(tag + "." + min(names, default="") if names else tag, never, article and not never)
+        marked = marked or node.article
         top.children.append(node)
         if tag not in _VOID and not attributes.endswith("/"):
-            stack.append((tag, node))
+            stack.append((tag, node, place))
     if at < len(page):
         say(page[at:])
-    return root
+    return parse(page, free | around) if around and not marked else root
 
 
 def number(root: Node) -> list[Node]:
