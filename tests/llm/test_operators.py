@@ -274,6 +274,28 @@ def test_pages(spark):
     assert pages.main_text("<div>" * 5000 + "deep" + "</div>" * 5000, None) == "deep"
 
 
+def test_pages_long_lists(monkeypatch):
+    """More than 2000 siblings, and the same alignment in blocks as at once."""
+    def tree(page):
+        root = pages.parse(page)
+        pages.number(root)
+        return root
+    same = [f"<p>line {i}</p>" for i in range(2100)]
+    a, b = tree("<p>line 2000</p><p>new</p>" + "".join(same)), pages.compact(tree("".join(same)))
+    assert sum(n.hash == h for n, _, h in pages.aligned(a, b)) == 2100
+    rnd = random.Random(4)
+    for _ in range(30):
+        def page(n):
+            return "".join(rnd.choice(["<p>{}</p>", "<div>{}<p>x</p></div>", "<ul><li>{}<li>y</ul>", "<div><p>{}</p><p>{}</p></div>", "{}<hr>"])
+                           .format(rnd.randrange(9), rnd.randrange(50)) for _ in range(n))
+        x, y = tree(page(rnd.randrange(30, 60))), pages.compact(tree(page(rnd.randrange(30, 60))))
+        got = []
+        for block in (1 << 40, 4_000_000, 1000, 100, 1):
+            monkeypatch.setattr(pages, "BLOCK", block)
+            got.append([(n.number, p) for n, p, _ in pages.aligned(x, y)])
+        assert got[1:] == got[:1] * 4
+
+
 @pytest.mark.parametrize("page, text", [
     ("<p>a</p><svg class='i' /><p>b</p>", "a b"), ("<p>a</p><svg><text>x</text></svg><p>b</p>", "a b"),
     ("<title-bar>a</title-bar><p>b</p>", "a b"), ("<p>a</p><select-box x=1><p>b</p>", "a b"),

@@ -18,6 +18,7 @@ with hot hosts split.
 from __future__ import annotations
 
 import html
+import math
 import pickle
 import re
 
@@ -34,6 +35,8 @@ from .common import slices
 BROADCAST_BYTES = 32 << 20
 LEAST_PAGES, SAME_SHARE = 4, 0.8
 DEPTH = 100
+#: Pairs of children whose weights a task holds at once; longer lists go by blocks of rows.
+BLOCK = 4_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
@@ -161,7 +164,7 @@ def match(page: Node, pivot: tuple, found: list[tuple[Node, int, int]]) -> None:
 
     Children are aligned in order so that most weight is kept; a child's weight
     is the size of the best matching of its own children, and equal texts count
-    double.
+    double.  Lists of any length are aligned alike.
     """
     stack, memo = [(page, pivot)], {}
     while stack:
@@ -198,11 +201,73 @@ def _weights(xs: list, ys: tuple, memo: dict) -> np.ndarray:
     kind = kx[:, None] == ky
     run = (sx[:, None] != 2) & (sy != 2)
     w = np.where(kind, 1 + np.where(run, (sx[:, None] == 3) + (hx[:, None] == hy), 0), 0).astype(np.int32)
-    for i, j in np.argwhere(kind & ((sx[:, None] == 0) | (sy == 0))).tolist():
-        w[i, j] = _weight(xs[i], ys[j], memo)
+    weight = _weight if len(xs) * len(ys) < BLOCK // 100 else _Alike()
+    for i, odd in enumerate(kind & ((sx[:, None] == 0) | (sy == 0))):
+        for j in np.flatnonzero(odd).tolist():
+            w[i, j] = weight(xs[i], ys[j], memo)
     return w
 
 
+def _texts(tree: tuple) -> set:
+    return {tree[1]} if tree[0] == "#text" else set().union(*map(_texts, tree[3]))
+
+
+def _shape(tree: tuple, texts, ids: dict) -> int:
+    """Equal for trees that differ at most in texts outside of ``texts``."""
+    own = (tree[0], tree[1] if tree[1] in texts else None) if tree[0] == "#text" else tree[0]
+    return ids.setdefault((own, tuple(_shape(c, texts, ids) for c in tree[3])), len(ids))
+
+
+class _Alike:
+    """Weights of many pairs: those of the same shapes, but for texts that a pair does not share, are worked out once."""
+
+    def __init__(self):
+        self.ids, self.trees, self.shapes, self.seen = {}, {}, {}, {}
+
+    def _tree(self, key, node) -> tuple:
+        if key not in self.trees:
+            tree = node if type(node) is tuple else compact(node)
+            self.trees[key] = tree, frozenset(_texts(tree))
+        return self.trees[key]
+
+    def __call__(self, a: Node, b: tuple, memo: dict) -> int:
+        pair, shapes = ((0, a.number), (1, b[2])), []
+        (x, mine), (y, other) = self._tree(pair[0], a), self._tree(pair[1], b)
+        both = mine & other
+        for key, tree in zip(pair, (x, y), strict=True):
+            shape = self.shapes.get((key, both))
+            if shape is None:
+                shape = self.shapes[key, both] = _shape(tree, both, self.ids)
+            shapes.append(shape)
+        shapes = tuple(shapes)
+        if shapes not in self.seen:
+            self.seen[shapes] = _weight(a, b, memo)
+        return self.seen[shapes]
+
+
+def _weigher(xs: list, ys: tuple, memo: dict):
+    """A function from a range of xs to the weights of their pairs with all ys.
+
+    In long lists, children that differ only in texts which the other list does
+    not hold have the same weights, worked out once.
+    """
+    if len(xs) * len(ys) <= BLOCK:
+        whole = _weights(xs, ys, memo)
+        return lambda start, end: whole[start:end]
+    trees = [compact(x) for x in xs]
+    common, ids = set().union(*map(_texts, trees)) & set().union(*map(_texts, ys)), {}
+    (ix, fx), (iy, fy) = (np.unique([_shape(t, common, ids) for t in ts], return_index=True, return_inverse=True)[:0:-1] for ts in (trees, ys))
+    some_x, some_y = [xs[k] for k in fx], tuple(ys[k] for k in fy)
+    if len(some_x) * len(some_y) <= BLOCK:
+        whole = _weights(some_x, some_y, memo)
+        return lambda start, end: whole[ix[start:end]][:, iy]
+
+    def block(start, end):
+        rows, at = np.unique(ix[start:end], return_inverse=True)
+        return _weights([some_x[k] for k in rows], some_y, {})[at][:, iy]
+    return block
+
+
 def _align(a: Node, b: tuple, memo: dict) -> tuple[int, list]:
     """Weight and pairs of the best alignment in order of two nodes' children; each pair of nodes is done once."""
     key = a.number, b[2]
@@ -217,39 +282,42 @@ def _align_children(xs: list, ys: tuple, memo: dict) -> tuple[int, list]:
     if len(xs) == len(ys) == 1:
         w = _weight(xs[0], ys[0], memo)
         return w, [(xs[0], ys[0])] if w else []
-    if len(xs) * len(ys) > 4_000_000:
-        return _align_equal(xs, ys)
-    weights = _weights(xs, ys, memo)
-    rows = [np.zeros(len(ys) + 1, np.int32)]
+    weigh = _weigher(xs, ys, memo)
+    step = max(BLOCK // len(ys), math.isqrt(len(xs)), 1)
+    starts, tops, top = range(0, len(xs), step), [], np.zeros(len(ys) + 1, np.int32)
+    for start in starts:
+        tops.append(top)
+        weights = weigh(start, start + step)
+        rows = _rows(top, weights)
+        top = rows[-1]
+    pairs, i, j = [], len(xs), len(ys)
+    for start in reversed(starts):
+        if not j:
+            break
+        if start != starts[-1]:  # of longer lists only each block's first row was kept
+            weights = weigh(start, start + step)
+            rows = _rows(tops[start // step], weights)
+        while i > start and j:
+            k = i - start
+            if weights[k - 1][j - 1] and rows[k][j] == rows[k - 1][j - 1] + weights[k - 1][j - 1]:
+                pairs.append((xs[i - 1], ys[j - 1]))
+                i, j = i - 1, j - 1
+            elif rows[k][j] == rows[k - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return int(top[-1]), pairs
+
+
+def _rows(top: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """The row above a block and the block's rows of the best total weights."""
+    rows = [top]
     for w in weights:
         prev = rows[-1]
         row = np.zeros_like(prev)
         row[1:] = np.maximum.accumulate(np.maximum(prev[1:], np.where(w > 0, prev[:-1] + w, 0)))
         rows.append(row)
-    pairs, i, j = [], len(xs), len(ys)
-    while i and j:
-        if weights[i - 1][j - 1] and rows[i][j] == rows[i - 1][j - 1] + weights[i - 1][j - 1]:
-            pairs.append((xs[i - 1], ys[j - 1]))
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return int(rows[-1][-1]), pairs
-
-
-def _align_equal(xs: list, ys: tuple) -> tuple[int, list]:
-    """For very long lists: children of equal kind and text, each with the next one of its like."""
-    where: dict = {}
-    for j, y in enumerate(ys):
-        where.setdefault((y[0], y[1]), []).append(j)
-    pairs, at = [], 0
-    for x in xs:
-        j = next((j for j in where.get((x.kind, x.hash), ()) if j >= at), None)
-        if j is not None:
-            pairs.append((x, ys[j]))
-            at = j + 1
-    return len(pairs), pairs
+    return rows
 
 
 def aligned(page: Node, pivot: tuple) -> list[tuple[Node, int, int]]:
