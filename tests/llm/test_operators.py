@@ -296,6 +296,20 @@ def test_pages_long_lists(monkeypatch):
         assert got[1:] == got[:1] * 4
 
 
+def test_pages_several_layouts(spark):
+    """What the page with the smallest id lacks is template all the same, in each layout; repeated pages prove nothing."""
+    def news(i):
+        return f"<div class=top><p>Subscribe</p></div><div class=news><h2>Head {i}</h2><p>News {i}</p><p>Follow us</p></div>"
+
+    def shop(i):
+        return f"<div class=top><p>Subscribe</p></div><div class=shop id=item-{i}><p>Ware {i}</p><p>Free returns</p></div>"
+    html = ["<h1>Welcome</h1><p>Home page</p>", *map(news, range(1, 9)), *map(shop, range(9, 17)), *["<pre>Copied</pre>"] * 6]
+    rows = [(i, f"https://h.example/{i}", p) for i, p in enumerate(html)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Welcome Home page", **{i: f"Head {i} News {i}" for i in range(1, 9)}, **{i: f"Ware {i}" for i in range(9, 17)},
+                   **dict.fromkeys(range(17, 23), "Copied")}
+
+
 @pytest.mark.parametrize("page, text", [
     ("<p>a</p><svg class='i' /><p>b</p>", "a b"), ("<p>a</p><svg><text>x</text></svg><p>b</p>", "a b"),
     ("<title-bar>a</title-bar><p>b</p>", "a b"), ("<p>a</p><select-box x=1><p>b</p>", "a b"),

@@ -4,7 +4,10 @@ Pages of one host share a template.  The host's page with the smallest id is
 the pivot; every page's tree is aligned with the pivot's by simple tree
 matching, and for each pivot node it is counted over all pages of the host how
 often an aligned node's text is the same.  Nodes that are the same nearly
-everywhere are template, the varying slots are content.  Slots in places that
+everywhere are template, the varying slots are content.  What the pivot lacks
+is judged without it: a text that nearly all pages with the same path of
+elements have there is template too, among all pages of the host and among
+those of one layout (the set of a page's paths).  Slots in places that
 never hold an article (menus, footers, adverts, forms, comments, ...) are left
 out by their element's kind or class, and if a page marks an article, only
 slots within it count.
@@ -21,6 +24,7 @@ import html
 import math
 import pickle
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I)
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_DIGITS = re.compile(r"\d+")
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
               "span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -326,19 +331,48 @@ def aligned(page: Node, pivot: tuple) -> list[tuple[Node, int, int]]:
     return found
 
 
+@lru_cache(100_000)
+def _path(above: int, kind: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above}/{_DIGITS.sub('', kind)}") >> 1
+
+
+def candidates(root: Node) -> list[tuple[Node, int]]:
+    """The runs of text that may be main text, in page order, with their path of elements; of a numbered tree."""
+    out, todo = [], [(root, 0)]
+    while todo:
+        node, above = todo.pop()
+        path = _path(above, node.kind)
+        if node.kind == "#text" and node.text:
+            out.append((node, path))
+        todo.extend((c, path) for c in reversed(node.children))
+    marked = any(n.article for n, _ in out)
+    return [(n, p) for n, p in out if not n.never and (n.article or not marked)]
+
+
+def _key(layout: int, path: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{layout}/{path}/{text}") >> 1
+
+
+def _layout(runs: list[tuple[Node, int]]) -> int:
+    return xxhash.xxh3_64_intdigest(str(sorted({p for _, p in runs}))) >> 1
+
+
 def main_text(page: str | None, wrapper: bytes | None) -> str:
-    """The main text of a page, given its host's pickled (pivot, template numbers) if there is one."""
+    """The main text of a page, given its host's pickled (pivot, template numbers, keys of texts) if there is one."""
     if not page:
         return ""
     root = parse(page)
-    runs = [n for n in number(root) if n.kind == "#text" and n.text]
+    number(root)
+    runs = candidates(root)
     template = set()
     if wrapper:
-        pivot, constant = pickle.loads(wrapper)
+        pivot, constant, keys = pickle.loads(wrapper)
         if constant:
             template = {n.number for n, p, h in aligned(root, pivot) if p in constant and n.hash == h}
-    marked = any(n.article for n in runs)
-    return " ".join(n.text for n in runs if not n.never and n.number not in template and (n.article or not marked))
+        if keys:
+            layout = _layout(runs)
+            template |= {n.number for n, p in runs if _key(0, p, n.text) in keys or _key(layout, p, n.text) in keys}
+    return " ".join(n.text for n, _ in runs if n.number not in template)
 
 
 def _host():
@@ -397,6 +431,39 @@ def _counts(batches):
         yield out()
 
 
+def _pages_texts(batches):
+    """(host, page's texts as a hash, layout, paths, keys) of pages; paths and keys of all runs, for the host and for the layout."""
+    for b in slices(batches, 256):
+        rows = {}
+        for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not page:
+                continue
+            root = parse(page)
+            number(root)
+            runs = candidates(root)
+            if runs:
+                layout = _layout(runs)
+                found = {(layout if k else 0, p, _key(layout if k else 0, p, n.text)) for n, p in runs for k in (0, 1)}
+                rows[host, xxhash.xxh3_64_intdigest("\n".join(n.text for n, _ in runs)) >> 1, layout] = sorted(found)
+        struct = pa.list_(pa.struct([("layout", pa.int64()), ("path", pa.int64()), ("key", pa.int64())]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+             pa.array([[dict(zip(("layout", "path", "key"), x, strict=True)) for x in v] for v in rows.values()], struct)],
+            ["host", "texts", "sort", "found"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``host, keys``: texts that nearly all differing pages with their path have there, in the host or in a layout."""
+    pages = rows.mapInArrow(_pages_texts, "host string, texts long, sort long, found array<struct<layout:long,path:long,key:long>>") \
+                .dropDuplicates(["host", "texts", "sort"])
+    found = pages.select("host", F.explode("found").alias("x")).select("host", "x.*")
+    n = found.groupBy("host", "layout", "path", "key").agg(F.count("*").alias("same")).filter(F.col("same") >= LEAST_PAGES)
+    paths = pages.select("host", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["layout"].alias("layout"), x["path"].alias("path"))))).alias("x"))
+    total = paths.groupBy("host", "x.layout", "x.path").agg(F.count("*").alias("n"))
+    return (n.join(total, ["host", "layout", "path"]).filter(F.col("same") >= SAME_SHARE * F.col("n"))
+             .groupBy("host").agg(F.collect_list("key").alias("keys")))
+
+
 def _lookup(rows: DataFrame, dim: DataFrame, value: str) -> DataFrame:
     """Left join by host: broadcast below a measured size, else with hot hosts split."""
     size = dim.agg(F.sum(F.octet_length(value) + F.octet_length("host"))).first()[0] or 0
@@ -428,10 +495,12 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     def wrap(batches):
         for b in batches:
-            w = [pickle.dumps((pickle.loads(p), set(n or ()))) for p, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.binary()), b.column(3)], ["host", "wrapper", "pages"])
+            w = [pickle.dumps((pickle.loads(p) if n else None, set(n or ()), frozenset(k or ())))
+                 for p, n, k in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.binary()), b.column(4)], ["host", "wrapper", "pages"])
 
-    wrappers = materialize(pivots.join(constant, "host").select("host", "pivot", "nodes", "pages")
+    wrappers = materialize(pivots.join(constant, "host", "left").join(_shared(rows.filter("host is not null").select("host", "page")), "host", "left")
+                                 .filter("nodes is not null or keys is not null").select("host", "pivot", "nodes", "keys", "pages")
                                  .mapInArrow(wrap, "host string, wrapper binary, pages long"))
     id_type = dict(base.dtypes)["id"]
 
