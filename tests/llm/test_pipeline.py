@@ -47,3 +47,11 @@ def test_run_matches_brute_force(spark):
             want[d] = hashlib.sha256(str(enc.encode(t).tolist()).encode()).hexdigest()
     got = {r.doc_id: hashlib.sha256(str(list(r.ids)).encode()).hexdigest() for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def test_unlabelled_documents_stay(spark):
+    """Without a model only documents without letters go."""
+    rows = [(1, "the house", None), (2, "123 -- 4", None), (3, None, None), (4, "\u0e27\u0e31\u0e19 7", None), (5, "", None), (6, " \n\u00e9", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_id(spark, docs, SF)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 4, 6}
