@@ -1,7 +1,8 @@
-"""Suffix-array dedup: remove bytes of long strings that an earlier document has.
+"""Substring dedup by grouped windows: remove bytes of long strings that an earlier document has.
 
 Every byte covered by a ``WIN``-byte string that also starts in a document with
-a smaller id is removed.  A global suffix array is neither built nor needed:
+a smaller id is removed.  Grouped windows stand in for a suffix array; none is
+built, nor common prefixes or longest previous factors beyond ``WIN`` bytes:
 
 1. *Anchors.*  In each window of ``WIN`` bytes the gram with the smallest hash
    is chosen, so equal windows choose equal grams at equal places.  An anchor's
@@ -11,10 +12,9 @@ a smaller id is removed.  A global suffix array is neither built nor needed:
    Map tasks do this among their own anchors first, so a group of copies sends
    one record per task.
 3. *Different contexts of one gram* (edges of copies, edits).  The contexts are
-   fetched from their first documents, and a suffix array over them, cut at the
-   window length, gives for each window its longest previous factor: the
-   previous or next smaller document in suffix order shares the whole window,
-   or none does.  Windows of a gram with very many contexts are first routed by
+   fetched from their first documents and cut into their windows, which are
+   sorted as strings of ``WIN`` bytes; a window is covered if a smaller document
+   is in its group of equal ones.  Windows of a gram with very many contexts are first routed by
    their own content, so that no group grows with the corpus.
 4. The covered stretches are merged per document and cut out.
 
@@ -277,13 +277,12 @@ def _context_map(parts: int):
 
 
 def longest_previous(order: np.ndarray, common: np.ndarray, rank: np.ndarray, least: int) -> np.ndarray:
-    """Whether each suffix's longest previous factor reaches ``least``.
+    """Whether each string shares ``least`` bytes with one of smaller rank.
 
-    ``order``: suffix order; ``common``: longest common prefix with the suffix
-    before in that order; ``rank``: the order of texts.  The previous and next
-    smaller ranks in suffix order give the longest factors; one of them shares
-    ``least`` bytes iff the stretch of the order in which neighbours share that
-    many holds a smaller rank.
+    ``order``: sorted order; ``common``: bytes shared with the string before in
+    that order (callers may cut it at ``least``); ``rank``: the order of texts.
+    That is so iff the stretch of the order in which neighbours share that many
+    bytes holds a smaller rank.
     """
     new = np.ones(len(order), bool)
     new[1:] = common[1:] < least
