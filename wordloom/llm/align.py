@@ -14,7 +14,6 @@ tokenizer, so texts are cut there, and every distinct piece is aligned once.
 from __future__ import annotations
 
 import hashlib
-import os
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import as_bytes, slices
 from .exchange import runs
-from .pieces import Pieces, blank_cuts, gather, groups
+from .pieces import Library, Pieces, blank_cuts, gather, groups
 
 
 class Csr:
@@ -86,12 +85,10 @@ def _pieces(a_path: str, b_path: str) -> Pieces:
     ``groups`` is ``a1,a2|b1;a3|b2;``.  A piece whose bytes one of the tokenizers
     does not give back has the value None.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(a_path)
-    a.encode_special_tokens = True
+    library = Library(a_path, plain=True)
+    a = library.tok
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     byte_of = _byte_of()
     a_bytes = [b""] * a.get_vocab_size()
@@ -103,33 +100,25 @@ def _pieces(a_path: str, b_path: str) -> Pieces:
         raise ValueError("the second vocabulary has pieces that cross a blank")
     blank = b.piece_to_id("▁")
 
-    def encoded(pieces):
-        """Ids of A and B for every piece; B itself puts a blank before what it gets."""
-        for at in range(0, len(pieces), 1000):
-            part = [p.decode() for p in pieces[at:at + 1000]]
-            got = a.encode(part, is_pretokenized=True, add_special_tokens=False)
-            word = np.array(got.word_ids, np.int64)
-            cuts = np.cumsum(np.bincount(word, minlength=len(part)))[:-1]
-            for p, x, y in zip(part, np.split(np.array(got.ids, np.int64), cuts),
-                               b.encode([p[1:] for p in part], num_threads=1), strict=True):
-                yield x, np.array(y if p != " " else [blank], np.int64)
-
-    def make_many(pieces):
+    def some(pieces):
+        """Values of pieces; B itself puts a blank before what it gets."""
+        y = [np.array(ids, np.int64) for ids in b.encode([p[1:].decode() for p in pieces], num_threads=1)]
+        y = [ids if p != b" " else np.array([blank]) for p, ids in zip(pieces, y, strict=True)]
+        x = [ids.astype(np.int64) for ids in library.encode(pieces)]
+        good = [i for i, p in enumerate(pieces) if p == b"".join([a_bytes[t] for t in x[i].tolist()])
+                == b"".join([b_bytes[t] for t in y[i].tolist()])]
         out: list = [None] * len(pieces)
-        good, a_ids, b_ids = [], [], []
-        for i, (x, y) in enumerate(encoded(pieces)):
-            if (pieces[i] == b"".join([a_bytes[t] for t in x.tolist()]) == b"".join([b_bytes[t] for t in y.tolist()])):
-                good.append(i)
-                a_ids.append(x)
-                b_ids.append(y)
         if good:
-            for i, value in zip(good, _aligned(a_ids, b_ids, a_lengths, b_lengths), strict=True):
+            for i, value in zip(good, _aligned([x[i] for i in good], [y[i] for i in good], a_lengths, b_lengths), strict=True):
                 out[i] = value
         return out
 
+    def make_many(pieces):
+        return [value for at in range(0, len(pieces), 10_000) for value in some(pieces[at:at + 10_000])]
+
     a_lengths = np.array([len(t) for t in a_bytes])
     b_lengths = np.array([len(t) for t in b_bytes])
-    return Pieces(make_many, blank_cuts, limit=200_000)
+    return Pieces(make_many, blank_cuts, limit=150_000)
 
 
 def _aligned(a_ids: list, b_ids: list, a_lengths: np.ndarray, b_lengths: np.ndarray) -> list[tuple]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are cut and encoded together.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 4_000_000
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,7 +81,7 @@ class Pieces:
     """
 
     def __init__(self, make_many: Callable[[list[bytes]], list], cuts=byte_level_cuts, atoms: tuple[bytes, ...] = (),
-                 limit: int = 400_000):
+                 limit: int = 300_000):
         self.make_many, self.cuts, self.atoms, self.half = make_many, cuts, atoms, limit // 2
         self.young, self.old = {}, {}
 
@@ -160,32 +160,64 @@ def gather(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> tuple[
     return memoryview(taken.buffers()[2] or b""), at[bounds]
 
 
+class Library:
+    """Ids of pieces by the tokenizers library; ``plain`` takes added tokens' strings as ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
+        self.added = () if plain else tuple(sorted(t.content.encode() for t in self.tok.get_added_tokens_decoder().values()))
+        vocab = self.tok.get_vocab()
+        self.width = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
+        # A byte-level token has a character for every byte.
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]
+
+    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of every piece.
+
+        A blank, a word and the next blank are cut between word and blank
+        anyway, so such pieces go to the library end to end, a hundred in a text;
+        the bytes of the tokens tell where each piece ends.
+        """
+        out: list = [None] * len(pieces)
+        texts = [p.decode() for p in pieces]
+        joined = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace() and not t[1].isspace()]
+        parts = [joined[k:k + 100] for k in range(0, len(joined), 100)]
+        for k in range(0, len(parts), 100):
+            some = parts[k:k + 100]
+            got = self.tok.encode_batch_fast(["".join([texts[i] for i in part]) for part in some], add_special_tokens=False)
+            for part, one in zip(some, got, strict=True):
+                ids = np.array(one.ids, self.width)
+                ends = np.cumsum(self.bytes_of[ids])
+                at = 0
+                for i, to in zip(part, np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in part])).tolist(), strict=True):
+                    out[i] = ids[at:to + 1]
+                    at = to + 1
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.width)
+        return out
+
+
 @lru_cache(maxsize=2)
 def library_ids(path: str) -> tuple[Pieces, np.dtype]:
     """Pieces whose values are their ids by the tokenizers library, as the library's defaults give them.
 
     Added tokens are atoms: their strings in a text become their own ids.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    added = sorted(t.content.encode() for t in tok.get_added_tokens_decoder().values())
-    width = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
+    library = Library(path)
 
     def make_many(pieces):
-        """Many pieces in one call: each is a word of a text that is cut already."""
         out = []
-        for at in range(0, len(pieces), 1000):
-            part = [p.decode() for p in pieces[at:at + 1000]]
-            got = tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, width).tobytes()
-            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)) * width.itemsize
-            ends = np.cumsum(n).tolist()
-            out.extend(ids[e - k:e] for e, k in zip(ends, n.tolist(), strict=True))
+        for at in range(0, len(pieces), 20_000):
+            out.extend([x.tobytes() for x in library.encode(pieces[at:at + 20_000])])
         return out
 
-    return Pieces(make_many, byte_level_cuts, tuple(added)), width
+    return Pieces(make_many, byte_level_cuts, library.added), library.width
 
 
 def text_ids(path: str, texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
