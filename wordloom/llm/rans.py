@@ -21,11 +21,8 @@ the next code word.  A state is a 64-bit number in [2**31, 2**63).
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
-from array import array
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..session import checkpoint_dir
-from .common import Pieced, slices
+from .common import as_bytes, slices
+from .pieces import text_ids
 
 LOW = np.uint64(1 << 31)
 BLOCK_IDS, LANES, MARK_ROWS = 1 << 18, 512, 128
@@ -90,14 +88,16 @@ class Coder:
                           for row, left, s in reversed(marks))
         return lanes, packed, b"".join(w.tobytes() for w in reversed(words))
 
-    def decode(self, n: int, lanes: int, marks: bytes, words: bytes, mark: int = 0) -> np.ndarray:
-        """The block's ids from checkpoint ``mark`` on."""
+    def decode(self, n: int, lanes: int, marks: bytes, words: bytes, mark: int = 0, stop: int | None = None) -> np.ndarray:
+        """The block's ids from checkpoint ``mark`` on, up to checkpoint ``stop`` or the block's end."""
         if not n:
             return np.zeros(0, np.uint32)
         head = np.frombuffer(marks, "<u8").reshape(-1, 2 + lanes)[mark]
         start, at = int(head[0]), int(head[1])
         state, code = head[2:].astype(np.uint64), np.frombuffer(words, "<u4")
         rows = -(-n // lanes)
+        if stop is not None and stop < len(marks) // (8 * (2 + lanes)):
+            rows = int(np.frombuffer(marks, "<u8").reshape(-1, 2 + lanes)[stop][0])
         out = np.empty((rows - start) * lanes, np.uint32)
         mask, shift, half = np.uint64((1 << self.bits) - 1), np.uint64(self.bits), np.uint64(32)
         for row in range(start, rows):
@@ -114,44 +114,28 @@ class Coder:
         return out[:n - start * lanes]
 
 
-@lru_cache(maxsize=2)
-def _library_ids(path: str) -> tuple[Pieced, np.dtype]:
-    """Ids of texts by the tokenizers library, piece by piece through a bounded memo, and their width."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    width = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-    code = "H" if width.itemsize == 2 else "I"
-
-    def make_many(pieces):
-        return [array(code, tok.encode(p, add_special_tokens=False).ids).tobytes() for p in pieces]
-
-    return Pieced(make_many), width
-
-
 def tokenize(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, symbols, width``: ids of every text with ``end_id`` appended, and histograms.
 
-    ``ids`` are little-endian numbers of ``width`` bytes.  The special tokens'
-    strings count as ordinary text.  Words never share a match of the
-    pre-tokenizer, so word by word the ids are those of the whole text.  Each
-    task ends with a row whose ``symbols`` holds the counts of all ids it made
-    (little-endian u64 by id; bounded by the vocabulary) and no ids.
+    ``ids`` are little-endian numbers of ``width`` bytes, as the library gives
+    them for the whole text: the strings of added tokens become their own ids.
+    Each task ends with a row whose ``symbols`` holds the counts of all ids it
+    made (little-endian u64 by id; bounded by the vocabulary) and no ids.
     """
     def run(batches):
-        ids_of, width = _library_ids(path)
-        end = np.array([end_id], width).tobytes()
-        total = np.zeros(0, np.int64)
+        total, width = np.zeros(0, np.int64), None
         for b in slices(batches, 2048):
-            ids = [raw + end for raw in ids_of([t or "" for t in b.column(1).to_pylist()])]
-            one = np.bincount(np.frombuffer(b"".join(ids), width), minlength=len(total))
-            one[:len(total)] += total
-            total = one
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary()),
-                                              pa.array([width.itemsize] * n, pa.int32())], _TOKENS)
+            for at, ids, edges in text_ids(path, as_bytes(b.column(1))):
+                width = ids.dtype
+                end = np.array([end_id], width).tobytes()
+                raw = [ids[i:j].tobytes() + end for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                one = np.bincount(ids, minlength=max(len(total), end_id + 1))
+                one[:len(total)] += total
+                one[end_id] += len(raw)
+                total = one
+                n = len(raw)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(raw, pa.binary()), pa.nulls(n, pa.binary()),
+                                                  pa.array([width.itemsize] * n, pa.int32())], _TOKENS)
         if len(total):
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<u8").tobytes()], pa.binary()),
@@ -341,5 +325,38 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             .select("doc_id", "piece", (F.col("shard_start") + F.col("first")).alias("start"), "ids"))
 
 
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """``start, ids`` (little-endian u32) of the file's ids ``start`` to ``start + n``, in the order of ``start``'s values.
+
+    Only the blocks of that range are read, and each is cut at its checkpoints:
+    a row of work is the stretch between two of them, so that tasks share a
+    block.  The code words' checksum is verified; the ids' one is the whole
+    block's and is left to :func:`read_pieces`.
+    """
+    blocks, freq, bits = _blocks(spark, path)
+    size = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
+    here = (blocks.join(F.broadcast(shard_starts(spark, path)), "shard")
+                  .select((F.col("shard_start") + F.col("first")).alias("at"), size.alias("size"), "lanes", "marks", "words", "words_crc")
+                  .filter((F.col("at") < start + n) & (F.col("at") + F.col("size") > start)))
+    count = F.floor(F.length("marks") / (8 * (2 + F.col("lanes")))).cast("int")
+    work = here.withColumn("mark", F.explode(F.sequence(F.lit(0), count - 1)))
+    first = F.col("at") + F.col("mark").cast("long") * MARK_ROWS * F.col("lanes")
+    work = work.filter((first < start + n) & (first + F.col("lanes") * MARK_ROWS > start)).repartition("at", "mark")
+
+    def run(batches):
+        coder = Coder(freq, bits)
+        for b in slices(batches, 1):
+            r = b.to_pylist()[0]
+            if zlib.crc32(r["words"]) != r["words_crc"]:
+                raise ValueError(f"damaged code words in the block from id {r['at']}")
+            ids = coder.decode(r["size"], r["lanes"], r["marks"], r["words"], r["mark"], r["mark"] + 1).astype("<u4")
+            at = r["at"] + r["mark"] * MARK_ROWS * r["lanes"]
+            low, high = max(start - at, 0), min(start + n - at, len(ids))
+            if low < high:
+                yield pa.RecordBatch.from_arrays([pa.array([at + low]), pa.array([ids[low:high].tobytes()], pa.binary())], ["start", "ids"])
+
+    return work.mapInArrow(run, "start long, ids binary").orderBy("start")
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
