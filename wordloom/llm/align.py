@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def _pieces(a_path: str, b_path: str) -> Pieces:
     """Aligned pieces; every one begins with a blank, or with the start of its text's blank.
 
     A value is ``(n_a, n_b, n_groups, n_links, n_shared, links, groups)``: ``links`` has
-    the ids of every overlapping pair, ``a << 32 | b`` as little-endian u64,
+    the ids of every overlapping pair, ``a << 16 | b`` as little-endian u32,
     ``groups`` is ``a1,a2|b1;a3|b2;``.  A piece whose bytes one of the tokenizers
     does not give back has the value None.
     """
@@ -98,61 +99,82 @@ def _pieces(a_path: str, b_path: str) -> Pieces:
                for i in range(b.get_piece_size())]
     if any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in b_bytes):
         raise ValueError("the second vocabulary has pieces that cross a blank")
+    if max(len(a_bytes), len(b_bytes)) > 1 << 16:
+        raise ValueError("pairs of ids take 16 bits each")
     blank = b.piece_to_id("▁")
+    sides = Side(a_bytes, "|"), Side(b_bytes, ";")
 
     def some(pieces):
         """Values of pieces; B itself puts a blank before what it gets."""
-        y = [np.array(ids, np.int64) for ids in b.encode([p[1:].decode() for p in pieces], num_threads=1)]
-        y = [ids if p != b" " else np.array([blank]) for p, ids in zip(pieces, y, strict=True)]
-        x = [ids.astype(np.int64) for ids in library.encode(pieces)]
-        good = [i for i, p in enumerate(pieces) if p == b"".join([a_bytes[t] for t in x[i].tolist()])
-                == b"".join([b_bytes[t] for t in y[i].tolist()])]
+        order, x, x_n = library.encode(pieces)
+        pieces = [pieces[i] for i in order]
+        got = [ids if p != b" " else [blank] for p, ids in zip(pieces, b.encode([p[1:].decode() for p in pieces], num_threads=1), strict=True)]
+        y, y_n = np.array(list(chain.from_iterable(got)), np.int64), np.array([len(ids) for ids in got], np.int64)
+        x = x.astype(np.int64)
+        good = sides[0].gives_back(pieces, x, x_n) & sides[1].gives_back(pieces, y, y_n)
         out: list = [None] * len(pieces)
-        if good:
-            for i, value in zip(good, _aligned([x[i] for i in good], [y[i] for i in good], a_lengths, b_lengths), strict=True):
+        if good.any():
+            x, y = x[np.repeat(good, x_n)], y[np.repeat(good, y_n)]
+            kept = [order[k] for k in np.flatnonzero(good).tolist()]
+            for i, value in zip(kept, _aligned(x, x_n[good], y, y_n[good], *sides), strict=True):
                 out[i] = value
         return out
 
     def make_many(pieces):
-        return [value for at in range(0, len(pieces), 10_000) for value in some(pieces[at:at + 10_000])]
+        return [value for at in range(0, len(pieces), 20_000) for value in some(pieces[at:at + 20_000])]
 
-    a_lengths = np.array([len(t) for t in a_bytes])
-    b_lengths = np.array([len(t) for t in b_bytes])
     return Pieces(make_many, blank_cuts, limit=150_000)
 
 
-def _aligned(a_ids: list, b_ids: list, a_lengths: np.ndarray, b_lengths: np.ndarray) -> list[tuple]:
+class Side:
+    """Bytes of a tokenizer's tokens, and their ids as text before a comma or before ``last``."""
+
+    def __init__(self, token_bytes: list[bytes], last: str):
+        self.bytes = pa.array(token_bytes, pa.large_binary())
+        self.lengths = np.array([len(t) for t in token_bytes], np.int64)
+        n = range(len(token_bytes))
+        self.texts = pa.array([f"{i},".encode() for i in n] + [f"{i}{last}".encode() for i in n], pa.large_binary())
+
+    def gives_back(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which pieces the tokens' bytes make up."""
+        flat, at = gather(self.bytes, ids, np.concatenate([[0], np.cumsum(counts)]))
+        whole = b"".join(pieces)
+        ends = np.cumsum([len(p) for p in pieces])
+        if np.array_equal(at[1:], ends) and flat == whole:
+            return np.ones(len(pieces), bool)
+        return np.array([bytes(flat[i:j]) == p for p, i, j in zip(pieces, at[:-1], at[1:], strict=True)])
+
+
+def _aligned(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray, a_side: Side, b_side: Side) -> list[tuple]:
     """Values of pieces, all aligned by one product over their bytes end to end."""
-    a, b = np.concatenate(a_ids), np.concatenate(b_ids)
-    a_end, b_end = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
+    a_end, b_end = np.cumsum(a_side.lengths[a]), np.cumsum(b_side.lengths[b])
     a_row, b_row, _ = Csr.of_spans(a_end).times(Csr.of_spans(b_end).transposed())
     # A group ends where tokens of both end.
     ends = np.intersect1d(a_end, b_end, assume_unique=True)
     a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
     s_row, _, _ = Csr.of_labels(a_group, len(ends)).times(Csr.of_labels(b_group, len(ends)).transposed())
-    a_edge = np.concatenate([[0], np.cumsum([len(x) for x in a_ids])])
+    a_edge, b_edge = (np.concatenate([[0], np.cumsum(n)]) for n in (a_n, b_n))
     link_edge = np.searchsorted(a_row, a_edge)
-    group_edge = np.concatenate([[0], a_group[a_edge[1:] - 1] + 1])
+    groups_ = np.diff(np.concatenate([[0], a_group[a_edge[1:] - 1] + 1]))
     shared = np.diff(np.searchsorted(s_row, a_edge))
-    pairs = (a[a_row].astype("<u8") << np.uint64(32) | b[b_row].astype("<u8")).tobytes()
-    a_cut = np.flatnonzero(np.diff(a_group)) + 1
-    b_cut = np.flatnonzero(np.diff(b_group)) + 1
-    a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    texts = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])};"
-             for i, j, k, m in zip([0, *a_cut.tolist()], [*a_cut.tolist(), len(a)], [0, *b_cut.tolist()], [*b_cut.tolist(), len(b)],
-                                   strict=True)]
-    out = []
-    for i, (x, y) in enumerate(zip(a_ids, b_ids, strict=True)):
-        g, h = int(group_edge[i]), int(group_edge[i + 1])
-        p, q = int(link_edge[i]), int(link_edge[i + 1])
-        out.append((len(x), len(y), h - g, q - p, int(shared[i]), pairs[8 * p:8 * q], "".join(texts[g:h]).encode()))
-    return out
+    pairs = (a[a_row].astype("<u4") << np.uint32(16) | b[b_row].astype("<u4")).tobytes()
+    # Texts of the groups: A's ids, then B's, each group's last ones with their own marks.
+    place = np.empty(len(a) + len(b), np.int64)
+    a_last, b_last = np.append(np.diff(a_group) > 0, True), np.append(np.diff(b_group) > 0, True)
+    place[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + a_last * len(a_side.bytes)
+    place[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = (b + b_last * len(b_side.bytes)) + len(a_side.texts)
+    both = pa.concat_arrays([a_side.texts, b_side.texts])
+    text, at = gather(both, place, a_edge + b_edge)
+    text = bytes(text)
+    columns = (a_n.tolist(), b_n.tolist(), groups_.tolist(), np.diff(link_edge).tolist(), shared.tolist(),
+               (4 * link_edge[:-1]).tolist(), (4 * link_edge[1:]).tolist(), at[:-1].tolist(), at[1:].tolist())
+    return [(n, m, g, k, s, pairs[p:q], text[i:j]) for n, m, g, k, s, p, q, i, j in zip(*columns, strict=True)]
 
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
 #: One row for a group of documents: their digests, the codes of their pieces and the pieces' links.
 ALIGNED = ("doc_ids array<long>, sizes array<int>, counts array<array<long>>, groups_sha256 array<string>, "
-           "codes binary, links binary, link_ends binary")
+           "codes binary, links binary, link_counts binary")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,14 +184,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     the blank there itself.  A text that is null or empty, or that one of them
     does not give back byte by byte, has no tokens.  Rows with one doc_id are
     documents of their own.  ``codes`` (u32) name the pieces of the group's
-    documents, ``sizes`` how many each has; piece k's links end at
-    ``link_ends[k]`` in ``links`` (u64).
+    documents, ``sizes`` how many each has; piece k has ``link_counts[k]`` (u32)
+    of the pairs in ``links`` (u32).
     """
     def run(batches):
         pieces = _pieces(a_path, b_path)
         for b in slices(batches, 4096):
             texts = [b" " + t if t else b"" for t in as_bytes(b.column(1))]
-            for first, end in groups(texts):
+            for first, end in groups(texts, 3_000_000):
                 _, values, codes, bounds = pieces.group(texts[first:end])
                 lost = np.array([v is None for v in values], bool)
                 if lost.any():                 # documents with such a piece have no tokens
@@ -185,7 +207,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
                 row = {"doc_ids": b.column(0).slice(first, end - first).to_pylist(), "sizes": np.diff(bounds).tolist(),
                        "counts": [c.tolist() for c in counts], "groups_sha256": shas, "codes": codes.astype("<u4").tobytes(),
                        "links": b"".join(v[5] for v in values),
-                       "link_ends": np.cumsum([len(v[5]) // 8 for v in values]).astype("<i8").tobytes()}
+                       "link_counts": np.array([v[3] for v in values], np.int64).astype("<u4").tobytes()}
                 yield pa.RecordBatch.from_pylist([row], schema=_ALIGNED)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ALIGNED)
@@ -193,7 +215,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
 
 _ALIGNED = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
                       ("counts", pa.list_(pa.list_(pa.int64()))), ("groups_sha256", pa.list_(pa.string())),
-                      ("codes", pa.binary()), ("links", pa.binary()), ("link_ends", pa.binary())])
+                      ("codes", pa.binary()), ("links", pa.binary()), ("link_counts", pa.binary())])
 
 
 def _sums(values: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -204,8 +226,8 @@ def _sums(values: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarr
 
 def _row_arrays(batch: pa.RecordBatch, i: int):
     column = lambda name: batch.column(name)[i].as_buffer()
-    return (np.frombuffer(column("codes"), "<u4"), np.frombuffer(column("links"), "<u8"),
-            np.frombuffer(column("link_ends"), "<i8"))
+    return (np.frombuffer(column("codes"), "<u4"), np.frombuffer(column("links"), "<u4"),
+            np.frombuffer(column("link_counts"), "<u4").astype(np.int64))
 
 
 def _pair_counts(batches):
@@ -219,19 +241,19 @@ def _pair_counts(batches):
         return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
 
     def rows(keys, n):
-        return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int64)),
-                                           pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint32(16)).astype(np.int64)),
+                                           pa.array((keys & np.uint32(0xFFFF)).astype(np.int64)), pa.array(n)], ["a", "b", "n"])
 
     for batch in batches:
         for i in range(batch.num_rows):
-            codes, links, ends = _row_arrays(batch, i)
-            times = np.bincount(codes, minlength=len(ends))
-            held.append((links, np.repeat(times, np.diff(np.concatenate([[0], ends])))))
+            codes, links, counts = _row_arrays(batch, i)
+            times = np.bincount(codes, minlength=len(counts))
+            held.append((links, np.repeat(times, counts)))
             size += len(links)
-            if size > 4_000_000:
+            if size > 1_500_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 3_000_000:           # Spark adds up what does not fit
+                if size > 1_000_000:           # Spark adds up what does not fit
                     yield rows(*held[0])
                     held, size = [], 0
     if held:
@@ -240,7 +262,7 @@ def _pair_counts(batches):
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``a, b, n, best``: links of every id pair in the corpus; ``best`` if no pair of its B id has more."""
-    n = (aligned.select("codes", "links", "link_ends").mapInArrow(_pair_counts, "a long, b long, n long")
+    n = (aligned.select("codes", "links", "link_counts").mapInArrow(_pair_counts, "a long, b long, n long")
                 .groupBy("a", "b").agg(F.sum("n").alias("n")))
     n = materialize(n)
     most = n.groupBy("b").agg(F.max("n").alias("most"))
@@ -262,7 +284,7 @@ def score(aligned: DataFrame, pairs: DataFrame, max_pairs: int = BROADCAST_PAIRS
     spark = aligned.sparkSession
     size = pairs.count()
     parts = max(1, -(-size // max_pairs))
-    table = pairs.select((F.shiftleft("a", 32) + F.col("b")).alias("pair"), "n", "best")
+    table = pairs.select((F.shiftleft("a", 16) + F.col("b")).alias("pair"), "n", "best")
     if parts == 1:
         return _scored(aligned, _shared(spark, table), 0)
     table = table.withColumn("part", F.pmod(F.xxhash64("pair"), F.lit(parts)))
@@ -279,7 +301,7 @@ def _shared(spark, table: DataFrame):
     got = table.toArrow()
     keys, n, best = (got.column(i).to_numpy() for i in range(3))
     order = np.argsort(keys)
-    return spark.sparkContext.broadcast((keys[order].astype(np.uint64), n[order], best[order]))
+    return spark.sparkContext.broadcast((keys[order].astype(np.uint32), n[order], best[order]))
 
 
 def _scored(aligned: DataFrame, shared, part: int) -> DataFrame:
@@ -287,8 +309,8 @@ def _scored(aligned: DataFrame, shared, part: int) -> DataFrame:
         keys, n, best = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, links, ends = _row_arrays(batch, i)
-                n_best, sums = _link_sums(links, ends, keys, n, best)
+                codes, links, link_counts = _row_arrays(batch, i)
+                n_best, sums = _link_sums(links, np.cumsum(link_counts), keys, n, best)
                 sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 counts = batch.column("counts")[i].as_py()

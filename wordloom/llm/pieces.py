@@ -11,12 +11,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are cut and encoded together.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 6_000_000
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,7 +82,7 @@ class Pieces:
     """
 
     def __init__(self, make_many: Callable[[list[bytes]], list], cuts=byte_level_cuts, atoms: tuple[bytes, ...] = (),
-                 limit: int = 300_000):
+                 limit: int = 400_000):
         self.make_many, self.cuts, self.atoms, self.half = make_many, cuts, atoms, limit // 2
         self.young, self.old = {}, {}
 
@@ -151,11 +152,11 @@ def groups(texts: list, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def gather(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
+def gather(values: list[bytes] | pa.Array, codes: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """Values of all pieces end to end, and the byte where every text starts (and the end)."""
     if not len(codes):
         return memoryview(b""), np.zeros(len(bounds), np.int64)
-    taken = pa.array(values, pa.large_binary()).take(pa.array(codes))
+    taken = (values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())).take(pa.array(codes))
     at = np.frombuffer(taken.buffers()[1], np.int64, len(codes) + 1)
     return memoryview(taken.buffers()[2] or b""), at[bounds]
 
@@ -176,31 +177,29 @@ class Library:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]
 
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of every piece.
+    def encode(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, ids, counts): the k-th run of ``counts[k]`` ids belongs to ``pieces[order[k]]``.
 
-        A blank, a word and the next blank are cut between word and blank
-        anyway, so such pieces go to the library end to end, a hundred in a text;
+        A word's end and the next blank are cut apart anyway, so pieces of a
+        blank and a word go to the library end to end, a hundred in a text;
         the bytes of the tokens tell where each piece ends.
         """
-        out: list = [None] * len(pieces)
         texts = [p.decode() for p in pieces]
-        joined = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace() and not t[1].isspace()]
-        parts = [joined[k:k + 100] for k in range(0, len(joined), 100)]
-        for k in range(0, len(parts), 100):
-            some = parts[k:k + 100]
-            got = self.tok.encode_batch_fast(["".join([texts[i] for i in part]) for part in some], add_special_tokens=False)
-            for part, one in zip(some, got, strict=True):
-                ids = np.array(one.ids, self.width)
-                ends = np.cumsum(self.bytes_of[ids])
-                at = 0
-                for i, to in zip(part, np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in part])).tolist(), strict=True):
-                    out[i] = ids[at:to + 1]
-                    at = to + 1
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.width)
-        return out
+        joined = [i for i, t in enumerate(texts) if t[0] == " " and not (t[-1].isspace() or t[1].isspace())]
+        got = []
+        for k in range(0, len(joined), 10_000):
+            part = joined[k:k + 10_000]
+            some = ["".join([texts[i] for i in part[j:j + 100]]) for j in range(0, len(part), 100)]
+            got += [one.ids for one in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(got)), self.width)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(pieces[i]) for i in joined])) + 1
+        if len(joined) == len(pieces):
+            return joined, ids, np.diff(ends, prepend=0)
+        taken = set(joined)
+        rest = [i for i in range(len(pieces)) if i not in taken]
+        more = [self.tok.encode(texts[i], add_special_tokens=False).ids for i in rest]
+        return (joined + rest, np.concatenate([ids, np.array(list(chain.from_iterable(more)), self.width)]),
+                np.concatenate([np.diff(ends, prepend=0), [len(x) for x in more]]).astype(np.int64))
 
 
 @lru_cache(maxsize=2)
@@ -212,9 +211,13 @@ def library_ids(path: str) -> tuple[Pieces, np.dtype]:
     library = Library(path)
 
     def make_many(pieces):
-        out = []
-        for at in range(0, len(pieces), 20_000):
-            out.extend([x.tobytes() for x in library.encode(pieces[at:at + 20_000])])
+        out: list = [b""] * len(pieces)
+        order, ids, counts = library.encode(pieces)
+        raw = ids.tobytes()
+        at = 0
+        for i, to in zip(order, (np.cumsum(counts) * ids.itemsize).tolist(), strict=True):
+            out[i] = raw[at:to]
+            at = to
         return out
 
     return Pieces(make_many, byte_level_cuts, library.added), library.width
