@@ -156,7 +156,7 @@ def _set_map(parts: int):
                 classes.append(f)
                 sizes.append(n)
                 held += len(mine)
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield flush()
                     keys, owner, classes, sizes, held = [], [], [], [], 0
         if keys:

@@ -18,10 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import map_text, slices
+from .common import as_bytes, map_text, slices
 
 DIM = 4096
 #: Families of languages by ISO 639-1 code.
@@ -241,6 +242,20 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     return map_text(docs, None, {"lang_pred": "string", "score": "double"}, id_col=id_col, text_col=text_col, setup=setup)
 
 
+def languages(text_col: str, model: Model) -> Column:
+    """``lang_pred`` of :func:`identify` as a column: only the texts go to Python, only the languages come back."""
+    @F.arrow_udf(StringType())
+    def lang_pred(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = Reader(model)
+        for texts in arrays:
+            found = []
+            for at in range(0, len(texts), 1024):
+                found += [lang for lang, _ in read(as_bytes(texts.slice(at, 1024)))]
+            yield pa.array(found, pa.string())
+
+    return lang_pred(F.col(text_col).cast("string"))
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text leaves 1 by 3: such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

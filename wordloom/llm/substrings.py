@@ -41,7 +41,7 @@ from .exchange import by_part, pack, parts_for, runs, unpack, unpack_all
 WIN, GRAM = 50, 16
 REACH = WIN - GRAM                      # a window starts at most so far before its anchor
 SEGMENT, MARGIN = 1 << 20, 2 * WIN      # bytes hashed at once, and what is read around them
-CHUNK = 12 << 20                        # bytes of text whose anchors are combined in a map task
+CHUNK = 8 << 20                         # bytes of text whose anchors are combined in a map task
 HOT = 4096                              # contexts of one gram, beyond which windows are routed singly
 BLOCK = 8192                            # contexts sorted at once
 U = np.uint64
