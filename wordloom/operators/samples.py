@@ -55,6 +55,57 @@ def id_arrays(encoded: DataFrame, with_keep: bool = False) -> DataFrame:
     return s.select(*cols)
 
 
+#: Positions that a chunk of a document has of its own.
+CHUNK = 4096
+
+
+def id_chunks(encoded: DataFrame, before: int, after: int = 0, with_keep: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, chunk, first, ids[, keep])``: documents in chunks that overlap, for windows of bounded reach.
+
+    Chunk k owns the positions from ``k * chunk`` up to the next chunk's; ``ids``
+    also holds up to ``before`` ids ahead of them and ``after`` behind, ``first``
+    is the position of ``ids[0]``.  An id is copied only near a chunk's edge, and
+    no group is larger than ``chunk + before + after``, however long a document
+    is.  Positions of a document must be consecutive from 0.
+    """
+    if max(before, after) > chunk:
+        raise ValueError("a window may reach into the next chunk only")
+    fields = ["pos", "token_id"] + (["keep"] if with_keep else [])
+    own = F.floor(F.col("pos") / F.lit(chunk))
+    place = F.col("pos") - own * chunk
+    none = F.lit(None).cast("long")
+    to = F.array_compact(F.array(own, F.when(place >= chunk - before, own + 1).otherwise(none) if before else none,
+                                 F.when((place < after) & (own > 0), own - 1).otherwise(none) if after else none))
+    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = (encoded.select("doc_id", *fields, F.explode(to).alias("chunk")).repartition(n, "doc_id", "chunk")
+                .groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__s")))
+    # A document that ends at a chunk's edge leaves a chunk with nothing of its own behind it.
+    s = s.filter(F.col("__s")[F.size("__s") - 1]["pos"] >= F.col("chunk") * chunk)
+    cols = ["doc_id", "chunk", F.col("__s")[0]["pos"].alias("first"), F.lit(chunk).alias("size"),
+            F.transform("__s", lambda x: x["token_id"]).alias("ids")]
+    if with_keep:
+        cols.append(F.transform("__s", lambda x: x["keep"]).alias("keep"))
+    return s.select(*cols)
+
+
+def _own_range(arrays: DataFrame, before: int, after: int) -> tuple[Column, Column, Column]:
+    """(first position of ids[0], first and last position to sample) of whole documents or of chunks.
+
+    Only positions with ``before`` ids ahead and ``after`` behind are sampled.
+    """
+    n = F.size("ids").cast("long")
+    if "chunk" not in arrays.columns:
+        return F.lit(0).cast("long"), F.lit(before).cast("long"), n - 1 - after
+    start = F.col("chunk") * F.col("size")
+    return (F.col("first"), F.greatest(start, F.lit(before).cast("long")),
+            F.least(start + F.col("size") - 1, F.col("first") + n - 1 - after))
+
+
+def chunk_columns(arrays: DataFrame) -> list[str]:
+    """What :func:`chunk_blocks` reads of whole documents or of chunks."""
+    return ["doc_id", "ids"] + (["chunk", "first", "size"] if "chunk" in arrays.columns else [])
+
+
 def symmetric_windows(arrays: DataFrame, radius: int = 3, dynamic: bool = False,
                       seed: int = 42, epoch: int = 0) -> DataFrame:
     """``(doc_id, pos, target_id, left, right[, keep])``.
@@ -67,20 +118,21 @@ def symmetric_windows(arrays: DataFrame, radius: int = 3, dynamic: bool = False,
         raise ValueError("radius must be >= 1")
     R = radius
     has_keep = "keep" in arrays.columns
-    n = F.size("ids")
-    idx = F.when(n > 2 * R, F.sequence(F.lit(R), n - R - 1)).otherwise(F.array().cast("array<int>"))
+    first, low, high = _own_range(arrays, R, R)
+    idx = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     def sample(i):
+        at = (i - first).cast("int")
         if dynamic:
             u = seeded_uniform(seed, F.lit(epoch), F.lit("radius"), F.col("doc_id"), i)
             r = (F.floor(u * R) + 1).cast("int")
         else:
             r = F.lit(R)
-        fields = [i.cast("long").alias("pos"), F.get(F.col("ids"), i).alias("target_id"),
-                  F.slice("ids", i - r + 1, r).alias("left"),
-                  F.slice("ids", i + 2, r).alias("right")]
+        fields = [i.alias("pos"), F.get(F.col("ids"), at).alias("target_id"),
+                  F.slice("ids", at - r + 1, r).alias("left"),
+                  F.slice("ids", at + 2, r).alias("right")]
         if has_keep:
-            fields.append(F.get(F.col("keep"), i).alias("keep"))
+            fields.append(F.get(F.col("keep"), at).alias("keep"))
         return F.struct(*fields)
 
     return arrays.select("doc_id", F.inline(F.transform(idx, sample)))
@@ -133,15 +185,15 @@ def embedding_samples(arrays: DataFrame, radius: int = 3, dynamic: bool = True,
 def causal_windows(arrays: DataFrame, context_tokens: int = 16) -> DataFrame:
     """One sample per token: previous C ids, left-padded with id 0."""
     C = context_tokens
-    n = F.size("ids")
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    first, low, high = _own_range(arrays, 0, 0)
+    idx = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     def sample(i):
-        take = F.least(i, F.lit(C))
-        ctx = F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(C) - i, F.lit(0))),
-                       F.slice("ids", F.greatest(i - C + 1, F.lit(1)), take))
-        return F.struct(i.cast("long").alias("pos"), F.get(F.col("ids"), i).alias("target_id"),
-                        ctx.alias("context_ids"))
+        at = (i - first).cast("int")
+        take = F.least(at, F.lit(C))
+        ctx = F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(C) - i, F.lit(0)).cast("int")),
+                       F.slice("ids", F.greatest(at - C + 1, F.lit(1)), take))
+        return F.struct(i.alias("pos"), F.get(F.col("ids"), at).alias("target_id"), ctx.alias("context_ids"))
 
     return arrays.select("doc_id", F.inline(F.transform(idx, sample)))
 
@@ -186,13 +238,14 @@ def positional_table(max_position: int, dim: int, period: int, first: int = 0) -
 
 
 def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int, period: int,
-                    align_positions: bool = False, first: int = 0, last: int | None = None):
+                    align_positions: bool = False, first: int = 0, last: int | None = None, origin: int = 0):
     """Features of a document's positions ``first <= i < last`` (numpy; shared by W9 and L3).
 
+    ``ids[0]`` stands at position ``origin``.
     Returns (positions, target_ids, X (m, C*d), Y (m, d)) for the samples whose
     target and context tokens all have a vector (W10).
     """
-    n = len(ids) if last is None else min(last, len(ids))
+    n = origin + len(ids) if last is None else min(last, origin + len(ids))
     d = matrix.shape[1]
     if n <= first:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, C * d)), np.zeros((0, d)))
@@ -200,7 +253,7 @@ def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int
     slot = np.arange(C)[None, :]
     src = index - C + slot                       # source position of each slot
     pad = src < 0
-    ctx = np.where(pad, 0, ids[np.clip(src, 0, None)])
+    ctx = np.where(pad, 0, ids[np.clip(src - origin, 0, None)])
     if align_positions:
         pos = index + slot                       # generation numbering
     else:
@@ -210,7 +263,7 @@ def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int
     safe = lambda a: np.clip(a, 0, len(has) - 1)
     in_range = lambda a: (a >= 0) & (a < len(has))
     ctx_ok = pad | (in_range(ctx) & has[safe(ctx)])
-    own = ids[first:n]
+    own = ids[first - origin:n - origin]
     tgt_ok = in_range(own) & has[safe(own)]
     ok = tgt_ok & ctx_ok.all(axis=1)
     sel = np.nonzero(ok)[0]
@@ -225,14 +278,30 @@ def window_features(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int
 
 
 def window_blocks(ids: np.ndarray, matrix: np.ndarray, has: np.ndarray, C: int, period: int,
-                  align_positions: bool = False, rows: int = 1024):
-    """``window_features`` of a whole document, ``rows`` positions at a time; blocks without a sample are left out."""
-    for first in range(0, len(ids), rows):
-        block = window_features(ids, matrix, has, C, period, align_positions, first, first + rows)
+                  align_positions: bool = False, rows: int = 1024, low: int = 0, high: int | None = None, origin: int = 0):
+    """``window_features`` of the positions ``low <= i < high``, ``rows`` at a time; blocks without a sample are left out."""
+    high = origin + len(ids) if high is None else min(high, origin + len(ids))
+    for first in range(low, high, rows):
+        block = window_features(ids, matrix, has, C, period, align_positions, first, min(first + rows, high), origin)
         if len(block[0]):
             yield block
 
 
+def chunk_blocks(batches, matrix: np.ndarray, has: np.ndarray, C: int, period: int, align_positions: bool = False,
+                 rows: int = 1024):
+    """``(doc_id, positions, target_ids, X, Y)`` for Arrow batches of whole documents or of chunks."""
+    for batch in batches:
+        docs, ids = batch.column("doc_id").to_numpy(), id_lists(batch.column("ids"))
+        if "chunk" in batch.schema.names:
+            chunk, first, size = (batch.column(k).to_numpy() for k in ("chunk", "first", "size"))
+            ranges = zip((chunk * size).tolist(), ((chunk + 1) * size).tolist(), first.tolist(), strict=True)
+        else:
+            ranges = ((0, None, 0) for _ in docs)
+        for doc, one, (low, high, origin) in zip(docs, ids, ranges, strict=True):
+            for block in window_blocks(one, matrix, has, C, period, align_positions, rows, low, high, origin):
+                yield doc, *block
+
+
 def id_lists(column: pa.Array):
     """Each row's ids as a view of the column's values (empty for null)."""
     values, at = column.values.to_numpy(), column.offsets.to_numpy()
@@ -340,16 +409,13 @@ def next_token_features(arrays: DataFrame, vectors: DataFrame, context_tokens: i
     def run(batches):
         single_thread_blas()
         mat, hv = bc.value
-        for batch in batches:
-            docs = batch.column("doc_id").to_numpy()
-            for doc, ids in zip(docs, id_lists(batch.column("ids"))):
-                for pos, tgt, X, Y in window_blocks(ids, mat, hv, C, period, align_positions, chunk):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos),
-                         pa.array(tgt), _list_array(X), _list_array(Y)],
-                        schema=pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()),
-                                          ("target_id", pa.int64()),
-                                          ("features", pa.list_(pa.float64())),
-                                          ("target", pa.list_(pa.float64()))]))
-
-    return arrays.select("doc_id", "ids").mapInArrow(run, FEATURE_SCHEMA)
+        for doc, pos, tgt, X, Y in chunk_blocks(batches, mat, hv, C, period, align_positions, chunk):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos),
+                 pa.array(tgt), _list_array(X), _list_array(Y)],
+                schema=pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()),
+                                  ("target_id", pa.int64()),
+                                  ("features", pa.list_(pa.float64())),
+                                  ("target", pa.list_(pa.float64()))]))
+
+    return arrays.select(*chunk_columns(arrays)).mapInArrow(run, FEATURE_SCHEMA)

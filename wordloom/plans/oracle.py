@@ -259,3 +259,66 @@ SQL["embedding_export_rows"] = (
     f"{BASE}, {TOKEN_VECTORS} SELECT token, "
     + ", ".join(f"embedding[{i}]::DOUBLE AS embedding{i}" for i in range(1, 65))
     + " FROM tv WHERE regexp_matches(token, '" + EXPORT_FIRST.replace("'", "''") + "')")
+
+
+# dynamic contexts of the sampled targets; every distinct context token meets the target (CBOW)
+_DIMS = 16
+_PAIRS = ("dyn AS (SELECT w.*, " + _DYN_R.replace("doc_id", "w.doc_id").replace("pos::", "w.pos::") + " AS r FROM win w "
+          "JOIN sampled s ON s.doc_id = w.doc_id AND s.pos = w.pos), "
+          f"pairs AS (SELECT unnest(list_distinct({_ctx('r')})) AS token_id, target_id AS other FROM dyn), "
+          f"signed AS (SELECT token_id, md5('{SEED}|sign|0|' || other::VARCHAR) AS digits FROM pairs)")
+_SKETCH = ("sketch AS (SELECT token_id, count(*) AS n_pairs, "
+           + ", ".join(f"sum(CASE WHEN digits[{k}] >= '8' THEN 1 ELSE -1 END)::BIGINT AS d{k}" for k in range(1, _DIMS + 1))
+           + " FROM signed GROUP BY token_id)")
+_D = ", ".join(f"d{k}" for k in range(1, _DIMS + 1))
+SQL["fit_cooccurrence"] = f"{BASE}, {ARRAYS}, {WINDOWS}, {SAMPLED}, {_PAIRS}, {_SKETCH} SELECT token_id, n_pairs, {_D} FROM sketch"
+
+_GRAMS = ("SELECT token_id, token, unnest(list_distinct(list_transform(range(1, greatest(length(token) + 1, 2)), "
+          "lambda i: substr(chr(2) || token || chr(3), i, 3)))) AS gram")
+_SUM_D = ", ".join(f"sum(d{k})::BIGINT AS d{k}" for k in range(1, _DIMS + 1))
+_OWN = ", ".join(f"CASE WHEN md5('{SEED}|sign|0|' || token_id::VARCHAR)[{k}] >= '8' THEN 1 ELSE -1 END::BIGINT AS d{k}" for k in range(1, _DIMS + 1))
+SQL["embed_all_tokens"] = (
+    f"{BASE}, {ARRAYS}, {WINDOWS}, {SAMPLED}, {_PAIRS}, {_SKETCH}, "
+    f"lg AS (SELECT g.gram, {_SUM_D} FROM ({_GRAMS} FROM vocab) g JOIN sketch USING (token_id) GROUP BY g.gram), "
+    f"ug AS ({_GRAMS} FROM vocab ANTI JOIN sketch USING (token_id)), "
+    f"comp AS (SELECT token_id, token, {_SUM_D} FROM ug JOIN lg USING (gram) GROUP BY token_id, token), "
+    f"every AS (SELECT v.token_id, v.token, 'learned' AS source, {_D} FROM vocab v JOIN sketch USING (token_id) "
+    f"UNION ALL SELECT token_id, token, 'composed', {_D} FROM comp "
+    f"UNION ALL SELECT token_id, token, 'hashed', {_OWN} FROM (SELECT DISTINCT token_id, token FROM ug) ANTI JOIN comp USING (token_id)) "
+    f"SELECT *, CASE WHEN {' AND '.join(f'd{k} = 0' for k in range(1, _DIMS + 1))} THEN NULL ELSE 1.0::DOUBLE END AS squared_length FROM every")
+
+# samples of two context tokens with vectors of four elements: x1..x8 (older slot first), a one, y1..y4
+_SC, _SD = 2, 4
+
+
+def _pe(p: str, k: int) -> str:
+    return f"CASE WHEN {p} = 0 THEN 0.0 ELSE sin(2 * pi() * ({p}) / {PERIOD}.0 / {k}) END"
+
+
+def _slot(j: int, k: int) -> str:
+    back, pad = _SC - j, f"pos < {_SC - j}"
+    place = f"CASE WHEN {pad} THEN {j} ELSE pos + {j} - greatest({_SC} - pos, 0) END"
+    return f"coalesce(lag(e{k}, {back}) OVER w, 0.0) + {_pe(place, k)}"
+
+
+_XS = [f"x{i}" for i in range(_SC * _SD)] + ["1.0"] + [f"e{k}" for k in range(1, _SD + 1)]
+_SHORT = (f"{BASE}, {ARRAYS}, {TOKEN_VECTORS}, vals AS (SELECT e.doc_id, e.pos, "
+          + ", ".join(f"tv.embedding[{k}]::DOUBLE AS e{k}" for k in range(1, _SD + 1))
+          + " FROM enc e LEFT JOIN tv USING (token_id)), xs AS (SELECT *, "
+          + ", ".join(f"{_slot(j, k)} AS x{j * _SD + k - 1}" for j in range(_SC) for k in range(1, _SD + 1))
+          + f", coalesce(sum((e1 IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {_SC} PRECEDING AND 1 PRECEDING), 0) AS missing "
+          "FROM vals WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), "
+          "samples AS (SELECT * FROM xs WHERE missing = 0 AND e1 IS NOT NULL)")
+_CELLS = [(i, j) for i in range(_SC * _SD + 1) for j in range(i, len(_XS))]
+SQL["next_token_gram"] = (
+    f"{_SHORT}, g AS (SELECT [" + ", ".join(f"sum({_XS[i]} * {_XS[j]})" for i, j in _CELLS) + "] AS v FROM samples), "
+    f"cells AS (SELECT unnest([{', '.join(str(i) for i, _ in _CELLS)}])::BIGINT AS i, unnest([{', '.join(str(j) for _, j in _CELLS)}])::BIGINT AS j, "
+    "unnest(v) AS value FROM g) SELECT i, j, round(value, 3) AS value FROM cells WHERE value IS NOT NULL")
+SQL["validate_next_token_total"] = (
+    f"{_SHORT} SELECT count(*) AS n_samples, round(sum("
+    + " + ".join(f"(x{(_SC - 1) * _SD + k - 1} - e{k}) * (x{(_SC - 1) * _SD + k - 1} - e{k})" for k in range(1, _SD + 1)) + "), 3) AS loss FROM samples")
+
+SQL["similar_topn_indexed"], SQL["nearest_token_indexed"] = SQL["similar_topn"], SQL["nearest_token"]
+SQL["compare_by_token"] = (
+    f"WITH found AS ({SQL['similar_topn']}), asked AS (SELECT DISTINCT doc_id::VARCHAR AS query FROM documents) "
+    "SELECT a.query, f.query IS NOT NULL AS indexed, f.token, f.similarity, f.rank FROM asked a LEFT JOIN found f USING (query)")

@@ -7,11 +7,15 @@ strings or summarized, doubles that depend on summation order are rounded.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vx
+from ..operators import cooccurrence as co
+from ..operators import pivots as pv
 from ..operators import samples as sm
 from ..operators import similarity as sim
 from ..operators import vocab as vc
@@ -172,39 +176,40 @@ def prompt_index(spark, sf):
 
 # ---- training samples (W1-W13, P7) ----
 
-def _arrays(spark, sf, with_keep=False):
-    occ = tb.occurrences(spark, sf)
-    vocab = tb.vocabulary(spark, sf)
-    enc = sm.encode_with_stats(occ, vocab)
-    if with_keep:
-        enc = sm.with_sampling_flag(enc, tb.MIN_OCCURRENCES, tb.SUBSAMPLE, tb.SEED)
-    return sm.id_arrays(enc, with_keep=with_keep)
+def _encoded(spark, sf, with_keep=False, vocab=None):
+    enc = sm.encode_with_stats(tb.occurrences(spark, sf), tb.vocabulary(spark, sf) if vocab is None else vocab)
+    return sm.with_sampling_flag(enc, tb.MIN_OCCURRENCES, tb.SUBSAMPLE, tb.SEED) if with_keep else enc
+
+
+def _around(spark, sf, with_keep=False):
+    """Chunks that hold every context of CONTEXT_RADIUS ids to both sides."""
+    return sm.id_chunks(_encoded(spark, sf, with_keep), tb.CONTEXT_RADIUS, tb.CONTEXT_RADIUS, with_keep)
 
 
 def context_windows(spark, sf):
-    w = sm.symmetric_windows(_arrays(spark, sf), tb.CONTEXT_RADIUS)
+    w = sm.symmetric_windows(_around(spark, sf), tb.CONTEXT_RADIUS)
     return w.select("doc_id", "pos", "target_id", _ids_text(F.concat("left", "right")).alias("context"))
 
 
 def context_windows_dynamic(spark, sf):
-    w = sm.symmetric_windows(_arrays(spark, sf), tb.CONTEXT_RADIUS, dynamic=True, seed=tb.SEED)
+    w = sm.symmetric_windows(_around(spark, sf), tb.CONTEXT_RADIUS, dynamic=True, seed=tb.SEED)
     return w.select("doc_id", "pos", "target_id", _ids_text(F.concat("left", "right")).alias("context"))
 
 
 def cbow_pairs(spark, sf):
-    w = sm.symmetric_windows(_arrays(spark, sf), tb.CONTEXT_RADIUS)
+    w = sm.symmetric_windows(_around(spark, sf), tb.CONTEXT_RADIUS)
     p = sm.cbow_pairs(w)
     return p.select("doc_id", "pos", _ids_text("inputs").alias("inputs"), _ids_text("outputs").alias("outputs"))
 
 
 def skipgram_pairs(spark, sf):
-    w = sm.symmetric_windows(_arrays(spark, sf), tb.CONTEXT_RADIUS)
+    w = sm.symmetric_windows(_around(spark, sf), tb.CONTEXT_RADIUS)
     p = sm.skipgram_pairs(w)
     return p.select("doc_id", "pos", _ids_text("inputs").alias("inputs"), _ids_text("outputs").alias("outputs"))
 
 
 def multi_hot(spark, sf):
-    a = _arrays(spark, sf)
+    a = sm.id_arrays(_encoded(spark, sf))
     idx = sm.multi_hot("ids")
     return a.select("doc_id", F.size(idx).cast("long").alias("n_indices"), _ids_text(idx).alias("indices"))
 
@@ -215,7 +220,7 @@ def keep_probability(spark, sf):
 
 
 def sample_targets(spark, sf):
-    w = sm.symmetric_windows(_arrays(spark, sf, with_keep=True), tb.CONTEXT_RADIUS)
+    w = sm.symmetric_windows(_around(spark, sf, with_keep=True), tb.CONTEXT_RADIUS)
     return w.filter(F.col("keep")).select("doc_id", "pos", "target_id")
 
 
@@ -225,22 +230,80 @@ def train_validation_split(spark, sf):
 
 
 def causal_windows(spark, sf):
-    w = sm.causal_windows(_arrays(spark, sf), tb.CONTEXT_TOKENS)
+    w = sm.causal_windows(sm.id_chunks(_encoded(spark, sf), tb.CONTEXT_TOKENS), tb.CONTEXT_TOKENS)
     return w.select("doc_id", "pos", "target_id", _ids_text("context_ids").alias("context"))
 
 
+def _checksums(values: pd.Series) -> pd.DataFrame:
+    """Plain sums, and sums weighted by place, which tell swapped slots and elements apart."""
+    m = np.stack(values.to_numpy()) if len(values) else np.zeros((0, 0))
+    return pd.DataFrame({"plain": m.sum(axis=1), "weighted": m @ np.arange(1.0, m.shape[1] + 1)})
+
+
 def next_token_features(spark, sf):
     vocab = tb.vocabulary(spark, sf)
     occ = tb.occurrences(spark, sf)
-    arrays = sm.id_arrays(vc.encode_tokens(occ, vocab))
+    arrays = sm.id_chunks(vc.encode_tokens(occ, vocab), tb.CONTEXT_TOKENS)
     f = sm.next_token_features(arrays, materialize(tb.token_vectors(spark, sf, vocab)), tb.CONTEXT_TOKENS, tb.PERIOD)
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    weighted = lambda c: F.transform(c, lambda x, i: x * (i + 1))    # tells swapped slots and elements apart
+    checksums = F.pandas_udf(_checksums, "plain double, weighted double")
     return f.select("doc_id", "pos", "target_id", F.size("features").cast("long").alias("n_features"),
-                    F.round(total(F.col("features")), 6).alias("feature_sum"),
-                    F.round(total(weighted("features")), 3).alias("feature_weighted"),
-                    F.round(total(F.col("target")), 6).alias("target_sum"),
-                    F.round(total(weighted("target")), 3).alias("target_weighted"))
+                    checksums("features").alias("f"), checksums("target").alias("t")).select(
+        "doc_id", "pos", "target_id", "n_features",
+        F.round("f.plain", 6).alias("feature_sum"), F.round("f.weighted", 3).alias("feature_weighted"),
+        F.round("t.plain", 6).alias("target_sum"), F.round("t.weighted", 3).alias("target_weighted"))
+
+
+# ---- embeddings from samples (L1, L2) ----
+
+def _sketch(spark, sf, vocab):
+    chunks = sm.id_chunks(_encoded(spark, sf, True, vocab), tb.CONTEXT_RADIUS, tb.CONTEXT_RADIUS, with_keep=True)
+    samples = sm.embedding_samples(chunks, tb.CONTEXT_RADIUS, dynamic=True, method="cbow", seed=tb.SEED)
+    return co.cooccurrence_sketch(samples, tb.SKETCH_DIMS, tb.SEED)
+
+
+def _sums(sketch):
+    return [F.col("sums")[k].alias(f"d{k + 1}") for k in range(tb.SKETCH_DIMS)]
+
+
+def fit_cooccurrence(spark, sf):
+    """L1: the sums behind the embeddings of every sampled context token."""
+    sketch = _sketch(spark, sf, tb.vocabulary(spark, sf))
+    return sketch.select("token_id", "n_pairs", *_sums(sketch))
+
+
+def embed_all_tokens(spark, sf):
+    """L2: sums and source of every vocabulary token's vector."""
+    vocab = tb.vocabulary(spark, sf)
+    rows = co.embed_all_tokens(vocab, materialize(_sketch(spark, sf, vocab)), seed=tb.SEED)
+    norm = F.aggregate(rows["embedding"], F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select("token_id", "token", "source", *_sums(rows), F.round(norm, 3).alias("squared_length"))
+
+
+# ---- sums and losses of the next-token model (L3, L4), for vectors short enough to compare each number ----
+
+def _short_model(spark, sf):
+    vocab = tb.vocabulary(spark, sf)
+    chunks = sm.id_chunks(vc.encode_tokens(tb.occurrences(spark, sf), vocab), tb.SHORT_CONTEXT)
+    vectors = tb.token_vectors(spark, sf, vocab).withColumn("embedding", F.slice("embedding", 1, tb.SHORT_DIMS))
+    return chunks, materialize(vectors)
+
+
+def next_token_gram(spark, sf):
+    """L3: every number of X'X, X'1 and X'Y over all samples."""
+    from ..operators import models as md
+    gram = md.next_token_gram(*_short_model(spark, sf), tb.SHORT_CONTEXT, tb.PERIOD)
+    entries = md.gram_entries(gram, tb.SHORT_CONTEXT * tb.SHORT_DIMS + 1, tb.SHORT_DIMS)
+    return entries.select("i", "j", F.round("value", 3).alias("value"))
+
+
+def validate_next_token_total(spark, sf):
+    """L4: the total loss of the model that foretells the last context token, over all samples."""
+    from ..operators import models as md
+    C, d = tb.SHORT_CONTEXT, tb.SHORT_DIMS
+    weights = spark.createDataFrame([(i, [float(i == (C - 1) * d + k) for k in range(d)]) for i in range(C * d + 1)],
+                                    "row long, weights array<double>")
+    scored = md.score_next_token(*_short_model(spark, sf), weights, C, tb.PERIOD)
+    return md.total_loss(scored).select("n_samples", F.round("loss", 3).alias("loss"))
 
 
 # ---- vectors (E1-E5, S9, S10) ----
@@ -283,6 +346,31 @@ def nearest_token(spark, sf):
     return r.select("query", "token", F.round("similarity", 6).alias("similarity"))
 
 
+def _pivot_index(spark, sf):
+    return pv.build_pivot_index(tb.vector_table(spark, sf).select("token", "embedding"))
+
+
+def similar_topn_indexed(spark, sf):
+    """E2 through the pivot index; the rows of similar_topn."""
+    v = tb.vector_table(spark, sf).select(F.col("token").alias("query"), "embedding")
+    r, _ = pv.search_pivot_index(_pivot_index(spark, sf), v, tb.TOP_N)
+    return r.select("query", "token", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def nearest_token_indexed(spark, sf):
+    """E3 through the pivot index; the rows of nearest_token."""
+    c = _centroids(spark, sf).select(F.col("label").cast("string").alias("query"), F.col("centroid").alias("embedding"))
+    r, _ = pv.search_pivot_index(_pivot_index(spark, sf), c, 1)
+    return r.select("query", "token", F.round("similarity", 6).alias("similarity"))
+
+
+def compare_by_token(spark, sf):
+    """E2 by token: document ids as tokens, of which some have a vector."""
+    asked = tb.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("query"))
+    r = sim.compare_tokens(asked, tb.vector_table(spark, sf).select("token", "embedding"), tb.TOP_N)
+    return r.select("query", "indexed", "token", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def position_encoding(spark, sf):
     emb = tb.table(spark, sf, "embeddings")
     enc = emb.select("vec_id", vx.position_encoding("embedding", F.col("vec_id"), tb.PERIOD).alias("v"))
@@ -340,10 +428,17 @@ QUERIES = {
     "train_validation_split": train_validation_split,
     "causal_windows": causal_windows,
     "next_token_features": next_token_features,
+    "next_token_gram": next_token_gram,
+    "validate_next_token_total": validate_next_token_total,
+    "fit_cooccurrence": fit_cooccurrence,
+    "embed_all_tokens": embed_all_tokens,
     "cosine_pairs": cosine_pairs,
     "squared_error": squared_error,
     "similar_topn": similar_topn,
     "nearest_token": nearest_token,
+    "similar_topn_indexed": similar_topn_indexed,
+    "nearest_token_indexed": nearest_token_indexed,
+    "compare_by_token": compare_by_token,
     "position_encoding": position_encoding,
     "embedding_upsert": embedding_upsert,
     "embedding_export_rows": embedding_export_rows,

@@ -25,6 +25,8 @@ PERIOD = 5000
 TOP_N = 10
 SEED = 42
 LAST_N = 3
+SKETCH_DIMS = 16
+SHORT_CONTEXT, SHORT_DIMS = 2, 4
 SERVER = "corpus"
 
 
