@@ -89,5 +89,23 @@ def test_chat_corrupt_files_kept_aside(spark):
         json.dump(CHAT, f)
     with open(os.path.join(d, "bad.json"), "w") as f:
         f.write("{not json")
-    msgs = ch.read_chat_exports(spark, d, corrupt_col="_corrupt")
-    assert msgs.count() == 3
+    with open(os.path.join(d, "none.json"), "w") as f:
+        f.write('{"guild": {"name": "g"}}')
+    with open(os.path.join(d, "empty.json"), "w") as f:
+        f.write('{"messages": []}')
+    assert ch.read_chat_exports(spark, d).count() == 3
+    rows = ch.read_chat_exports(spark, d, corrupt_col="_corrupt").collect()
+    assert sorted(r._corrupt for r in rows if r._corrupt) == ['{"guild": {"name": "g"}}', "{not json"]
+    assert sum(r._corrupt is None and r.content is not None for r in rows) == 3
+    failed = {os.path.basename(r.path): (r.reason, r.text) for r in ch.read_chat_failures(spark, d).collect()}
+    assert failed == {"bad.json": ("malformed", "{not json"), "none.json": ("no messages", '{"guild": {"name": "g"}}')}
+
+
+def test_chat_files_become_documents_to_append(spark):
+    d = tempfile.mkdtemp(prefix="wl-chat-")
+    with open(os.path.join(d, "c.json"), "w") as f:
+        json.dump(CHAT, f)
+    store = dc.build_documents(spark.createDataFrame([(7, "old")], "doc_id long, text string"), output="text")
+    new = ch.merge_documents(ch.read_chat_exports(spark, d))
+    added = dc.append_documents(store, new, ["chat_id"]).collect()
+    assert [r.doc_id for r in added] == [8] and added[0].output.count("<message>@") == 3

@@ -99,11 +99,13 @@ def _probes(index: PivotIndex, n: int, known: bool):
     cell = table["cell"].to_numpy(np.int64)
     with_pivot = cell >= 0
     size, radius = table["n"].to_numpy(np.int64), table["radius"].to_numpy(np.float64)
-    total, pivots = int(size.sum()), index.pivots
+    total, pivots = int(size.sum()), index.pivots     # an index of nothing has nothing to read
 
     def run(batches):
         single_thread_blas()
         for b in batches:
+            if not total:
+                continue
             m = _padded(matrix(b.column("qvec").to_pylist()), pivots.shape[1])
             blank = ~(m != 0).any(axis=1)
             angle = np.zeros((len(m), len(cell)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize_document
 from ..session import materialize
 from .ids import dense_ids
-from .joins import salted_lookup
+from .joins import heavy_hitters, salted_lookup
 
 # First appearance is (doc_id, pos) ordered lexicographically.  It is packed
 # into one DECIMAL(38,0) = doc_id * 2^31 + pos (pos < 2^31: Spark arrays are
@@ -70,6 +70,27 @@ def build_vocabulary(occ: DataFrame, keep_first_seen: bool = False) -> DataFrame
     return vocab.select(*cols)
 
 
+def token_sketch(occ: DataFrame, lg_k: int = 12) -> DataFrame:
+    """V4, mergeable: one row ``sketch`` of the distinct tokens, to be stored with the vocabulary.
+
+    A relative standard error of about ``1 / sqrt(2 ** lg_k)``.
+    """
+    return occ.agg(F.hll_sketch_agg("token", lg_k).alias("sketch"))
+
+
+def merge_token_sketches(*sketches: DataFrame) -> DataFrame:
+    """The sketch of all rows together, from those of parts of them."""
+    every = sketches[0]
+    for s in sketches[1:]:
+        every = every.unionByName(s)
+    return every.agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_estimate(sketch: DataFrame) -> DataFrame:
+    """V4: the number of distinct tokens that a sketch stands for (one row)."""
+    return sketch.select(F.hll_sketch_estimate("sketch").alias("n_distinct"))
+
+
 def distinct_token_count(occ: DataFrame, approximate: bool = False) -> DataFrame:
     """V4: number of distinct tokens (one row)."""
     agg = F.approx_count_distinct("token") if approximate else F.count_distinct("token")
@@ -87,7 +108,8 @@ def merge_vocabulary(vocab: DataFrame, delta_occ: DataFrame) -> DataFrame:
     first appearance inside the delta; every frequency is recomputed.
     """
     delta = count_tokens(delta_occ).withColumnRenamed("occurrences", "delta_occ")
-    joined = vocab.select("token_id", "token", "occurrences").join(delta, "token", "full")
+    # Known and new tokens and the total read the stored join: the delta is counted once.
+    joined = materialize(vocab.select("token_id", "token", "occurrences").join(delta, "token", "full"))
     known = (joined.filter(F.col("token_id").isNotNull())
                    .select("token_id", "token",
                            (F.col("occurrences") + F.coalesce(F.col("delta_occ"), F.lit(0))).alias("occurrences")))
@@ -104,8 +126,9 @@ def extend_vocabulary(vocab: DataFrame, occ: DataFrame) -> DataFrame:
     Known tokens keep their counts (encoding looks them up, it does not count
     them); ids of new tokens follow first appearance; frequencies recomputed.
     """
-    unknown = (occ.join(vocab.select("token"), "token", "left_anti")
-                  .groupBy("token").agg(F.min(first_seen_key()).alias("first_seen")))
+    # One row per token before the join, so that only distinct tokens are shuffled to it.
+    unknown = (occ.groupBy("token").agg(F.min(first_seen_key()).alias("first_seen"))
+                  .join(vocab.select("token"), "token", "left_anti"))
     fresh = dense_ids(unknown, ["first_seen"], id_col="token_id", start=_max_id(vocab) + 1)
     merged = vocab.select("token_id", "token", "occurrences").unionByName(
         fresh.select("token_id", "token", F.lit(1).cast("long").alias("occurrences")))
@@ -122,9 +145,16 @@ def encode_tokens(occ: DataFrame, vocab: DataFrame, how: str = "inner",
 
 
 def decode_ids(ids: DataFrame, vocab: DataFrame, id_col: str = "token_id", how: str = "left") -> DataFrame:
-    """Token id -> token (null when absent)."""
-    dim = vocab.select(F.col("token_id").alias(id_col), "token")
-    return ids.join(dim, id_col, how)
+    """Token id -> token (null when absent).
+
+    Ids that many rows have are looked up map-side; the vocabulary's counts tell
+    which, or a sketch of the rows where it has none.
+    """
+    known = "occurrences" in vocab.columns
+    dim = vocab.select(F.col("token_id").alias(id_col), "token", *(["occurrences"] if known else []))
+    out = salted_lookup(ids, dim, id_col, weight_col="occurrences" if known else None, how=how, hot_share=1e-3,
+                        hot=None if known else heavy_hitters(ids, id_col))
+    return out.drop("occurrences") if known else out
 
 
 def token_by_value(vocab: DataFrame, token: str) -> DataFrame:
@@ -137,17 +167,6 @@ def token_by_id(vocab: DataFrame, token_id: int) -> DataFrame:
     return vocab.filter(F.col("token_id") == F.lit(token_id).cast("long"))
 
 
-def document_id_arrays(encoded: DataFrame) -> DataFrame:
-    """Per document, token ids in position order: ``(doc_id, ids ARRAY<LONG>)``.
-
-    A document is already one row upstream, so the group is bounded by the
-    size of one document.
-    """
-    return (encoded.groupBy("doc_id")
-                   .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("__s"))
-                   .select("doc_id", F.transform("__s", lambda s: s["token_id"]).alias("ids")))
-
-
 def write_vocabulary(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store a vocabulary table (Parquet); write a new path and swap for atomic updates."""
     vocab.select("token_id", "token", "occurrences", "frequency").write.mode(mode).parquet(path)

@@ -178,7 +178,8 @@ SQL["encode_extend"] = (
 SQL["attach_embeddings"] = (
     f"{BASE}, {TOKEN_VECTORS}, {BENCH_OCC} "
     "SELECT b.doc_id AS item_id, b.pos, b.token, tv.embedding IS NOT NULL AS has_vector, "
-    "round(list_sum(list_transform(tv.embedding, lambda x: x::DOUBLE)), 6) AS vector_sum "
+    "round(list_sum(list_transform(tv.embedding, lambda x: x::DOUBLE)), 6) AS vector_sum, "
+    "round(list_sum(list_transform(tv.embedding, lambda x, i: x::DOUBLE * i)), 4) AS vector_weighted "
     "FROM bocc b LEFT JOIN tv USING (token)")
 
 SQL["prompt_tokens"] = f"WITH {PROMPTS} SELECT conv_id, turn, pos, token FROM pocc"
@@ -251,9 +252,10 @@ SQL["position_encoding"] = (
     f"WITH {CENTROIDS} SELECT vec_id, k::BIGINT AS k, round(CASE WHEN vec_id = 0 THEN x ELSE "
     f"x + sin(2 * pi() * vec_id / {PERIOD}.0 / k) END, 6) AS value FROM ex")
 SQL["embedding_upsert"] = (
-    f"WITH {CENTROIDS}, upd AS (SELECT label::VARCHAR AS token, count(*) AS n, sum(x::FLOAT::DOUBLE) AS s FROM cen GROUP BY label), "
-    "st AS (SELECT vec_id::VARCHAR AS token, len(embedding) AS n, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings) "
-    "SELECT token, n::BIGINT AS n, round(s, 6) AS vector_sum FROM (SELECT * FROM st ANTI JOIN upd USING (token) "
+    f"WITH {CENTROIDS}, upd AS (SELECT label::VARCHAR AS token, count(*) AS n, sum(x::FLOAT::DOUBLE) AS s, sum(x::FLOAT::DOUBLE * k) AS t FROM cen GROUP BY label), "
+    "st AS (SELECT vec_id::VARCHAR AS token, len(embedding) AS n, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, "
+    "list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)) AS t FROM embeddings) "
+    "SELECT token, n::BIGINT AS n, round(s, 6) AS vector_sum, round(t, 4) AS vector_weighted FROM (SELECT * FROM st ANTI JOIN upd USING (token) "
     "UNION ALL SELECT * FROM upd)")
 SQL["embedding_export_rows"] = (
     f"{BASE}, {TOKEN_VECTORS} SELECT token, "
@@ -322,3 +324,11 @@ SQL["similar_topn_indexed"], SQL["nearest_token_indexed"] = SQL["similar_topn"],
 SQL["compare_by_token"] = (
     f"WITH found AS ({SQL['similar_topn']}), asked AS (SELECT DISTINCT doc_id::VARCHAR AS query FROM documents) "
     "SELECT a.query, f.query IS NOT NULL AS indexed, f.token, f.similarity, f.rank FROM asked a LEFT JOIN found f USING (query)")
+
+SQL["chat_parse"] = (
+    f"WITH {CHAT} SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY turn) - 1 AS turn, server, channel, author, content, "
+    "NULL::VARCHAR AS failure FROM msgs WHERE chat_id % 7 <> 0 "
+    "UNION ALL SELECT DISTINCT chat_id, NULL, NULL, NULL, NULL, NULL, 'malformed' FROM msgs WHERE chat_id % 7 = 0")
+SQL["documents_patch"] = "SELECT doc_id, coalesce(lang, '') AS input, coalesce(source, '') AS context, text AS output FROM documents"
+SQL["shuffle_order"] = (f"{BASE}, {ARRAYS}, {WINDOWS}, {SAMPLED} SELECT doc_id, pos, target_id, "
+                        + uniform(f"'{SEED}'", "'shuffle'", "doc_id::VARCHAR", "pos::VARCHAR") + " AS shuffle_key FROM sampled")

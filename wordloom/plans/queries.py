@@ -41,6 +41,13 @@ def documents_lowercase(spark, sf):
                               lowercase=True)
 
 
+def documents_patch(spark, sf):
+    """A document table whose input and context are replaced."""
+    docs = tb.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    built = dc.build_documents(docs, output="text").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    return dc.with_context(dc.with_input(built, "lang"), "source").select("doc_id", "input", "context", "output")
+
+
 def document_lookup(spark, sf):
     ids = tb.table(spark, sf, "labels").select("doc_id")
     return dc.lookup_documents(tb.corpus(spark, sf), ids)
@@ -70,6 +77,22 @@ def chat_merge(spark, sf):
     return ch.merge_documents(tb.chat_messages(spark, sf))
 
 
+def chat_parse(spark, sf):
+    """Exports of all conversations as JSON text, each seventh cut off at its end; messages and failures."""
+    conv = tb.table(spark, sf, "conversations")
+    message = F.struct(F.struct(F.col("role").alias("name")).alias("author"), F.col("text").alias("content"))
+    exports = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("s"))
+    whole = F.to_json(F.struct(F.struct(F.lit(tb.SERVER).alias("name")).alias("guild"),
+                               F.struct(F.concat(F.lit("chat"), F.col("conv_id").cast("string")).alias("name")).alias("channel"),
+                               F.transform("s", lambda x: x["m"]).alias("messages")))
+    files = exports.select("conv_id", whole.alias("w")).select(
+        "conv_id", F.col("conv_id").cast("string").alias("path"),
+        F.when(F.col("conv_id") % 7 == 0, F.expr("left(w, length(w) - 2)")).otherwise(F.col("w")).alias("value"))
+    messages, failures = ch.parse_chat_exports(files, chat_id="conv_id")
+    return messages.select("chat_id", "turn", "server", "channel", "author", "content", F.lit(None).cast("string").alias("failure")).unionByName(
+        failures.select(F.col("path").cast("long").alias("chat_id"), F.col("reason").alias("failure")), allowMissingColumns=True)
+
+
 # ---- tokenizer (T1-T5) ----
 
 def normalize_text(spark, sf):
@@ -144,6 +167,12 @@ def decode_ids(spark, sf):
     return vc.decode_ids(ids, vocab)
 
 
+def _weighted(c):
+    """Elements times their places, added up: tells swapped elements apart."""
+    products = F.transform(vx.to_double_array(c), lambda x, i: x * (i + 1))
+    return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+
 def attach_embeddings(spark, sf):
     tv = tb.token_vectors(spark, sf)
     occ = _benchmark_occ(spark, sf)
@@ -151,8 +180,8 @@ def attach_embeddings(spark, sf):
     return joined.select(
         F.col("doc_id").alias("item_id"), "pos", "token",
         F.col("embedding").isNotNull().alias("has_vector"),
-        F.round(F.aggregate(vx.to_double_array("embedding"), F.lit(0.0), lambda a, x: a + x), 6)
-         .alias("vector_sum"))
+        F.round(F.aggregate(vx.to_double_array("embedding"), F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"),
+        F.round(_weighted("embedding"), 4).alias("vector_weighted"))
 
 
 def _prompt_docs(spark, sf):
@@ -229,6 +258,11 @@ def train_validation_split(spark, sf):
     return sm.train_validation_split(s, seed=tb.SEED).select("doc_id", "pos", "target_id", "validation")
 
 
+def shuffle_order(spark, sf):
+    """The sort key of the seeded shuffle of all samples."""
+    return sm.shuffle_order(sample_targets(spark, sf), tb.SEED).select("doc_id", "pos", "target_id", "shuffle_key")
+
+
 def causal_windows(spark, sf):
     w = sm.causal_windows(sm.id_chunks(_encoded(spark, sf), tb.CONTEXT_TOKENS), tb.CONTEXT_TOKENS)
     return w.select("doc_id", "pos", "target_id", _ids_text("context_ids").alias("context"))
@@ -384,8 +418,8 @@ def embedding_upsert(spark, sf):
                                            F.col("centroid").alias("embedding"))
     out = vs.upsert_vectors(store, updates)
     return out.select("token", F.size("embedding").cast("long").alias("n"),
-                      F.round(F.aggregate(vx.to_double_array("embedding"), F.lit(0.0), lambda a, x: a + x), 6)
-                       .alias("vector_sum"))
+                      F.round(F.aggregate(vx.to_double_array("embedding"), F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"),
+                      F.round(_weighted("embedding"), 4).alias("vector_weighted"))
 
 
 def embedding_export_rows(spark, sf):
@@ -397,12 +431,14 @@ def embedding_export_rows(spark, sf):
 QUERIES = {
     "documents_from_text": documents_from_text,
     "documents_lowercase": documents_lowercase,
+    "documents_patch": documents_patch,
     "document_lookup": document_lookup,
     "document_count": document_count,
     "documents_append": documents_append,
     "chat_last_n": chat_last_n,
     "chat_split": chat_split,
     "chat_merge": chat_merge,
+    "chat_parse": chat_parse,
     "normalize_text": normalize_text,
     "tokenize_text": tokenize_text,
     "tokenize_keep_ws": tokenize_keep_ws,
@@ -426,6 +462,7 @@ QUERIES = {
     "keep_probability": keep_probability,
     "sample_targets": sample_targets,
     "train_validation_split": train_validation_split,
+    "shuffle_order": shuffle_order,
     "causal_windows": causal_windows,
     "next_token_features": next_token_features,
     "next_token_gram": next_token_gram,

@@ -24,38 +24,59 @@ AUTHOR_OPEN, AUTHOR_CLOSE = "<author>@", "</author>"
 MESSAGE_OPEN, MESSAGE_SEP, MESSAGE_CLOSE = "<message>@", ": ", "</message>"
 
 
+def parse_chat_exports(files: DataFrame, path_col: str = "path", text_col: str = "value",
+                       chat_id: str | None = None, lowercase: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(messages, failures) of chat exports, each a row with its path and its whole text.
+
+    The schema is explicit (never inferred); unknown fields are ignored.  Every
+    file lands in exactly one channel: ``messages`` has a row per message,
+    ``failures`` a row ``path, reason, text`` per file whose text is no JSON
+    (``malformed``) or has no message list of that schema (``no messages``).
+    ``chat_id`` is a 64-bit hash of the path, so a chat keeps its id whatever the
+    partitioning, or a column of ``files``.
+    """
+    text = F.lower(text_col) if lowercase else F.col(text_col)   # the whole export is lowercased, so names and topic too
+    parsed = files.select(F.col(path_col).alias("__path"), F.col(text_col).alias("__text"),
+                          (F.xxhash64(path_col) if chat_id is None else F.col(chat_id)).alias("chat_id"),
+                          F.from_json(text, CHAT_EXPORT).alias("x"))
+    # A corrupt-record column would not do: the optimizer prunes the schema beside it, and then good records count as corrupt.
+    reason = F.when(F.try_parse_json("__text").isNull(), "malformed").when(F.col("x.messages").isNull(), "no messages")
+    failures = parsed.select(F.col("__path").alias("path"), reason.alias("reason"), F.col("__text").alias("text")).filter(
+        F.col("reason").isNotNull())
+    messages = parsed.filter(reason.isNull()).select(
+        "chat_id",
+        F.col("x.guild.name").alias("server"),
+        F.col("x.channel.name").alias("channel"),
+        F.col("x.channel.topic").alias("topic"),
+        F.posexplode("x.messages").alias("turn", "m"),
+    ).select("chat_id", F.col("turn").cast("long").alias("turn"), "server", "channel", "topic",
+             F.col("m.author.name").alias("author"), F.col("m.content").alias("content"))
+    return messages, failures
+
+
+def chat_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, value``: the whole text of every file (one chat each)."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+
 def read_chat_exports(spark: SparkSession, path: str, lowercase: bool = False,
                       corrupt_col: str | None = None) -> DataFrame:
     """Read chat-export JSON files (one chat per file) into message rows.
 
-    The schema is explicit (never inferred); unknown fields are ignored.
-    ``chat_id`` is a 64-bit hash of the file path, so a chat keeps its id
-    whatever the partitioning.  Malformed files are kept
-    in ``corrupt_col`` when given (PERMISSIVE) and otherwise dropped.
+    See :func:`parse_chat_exports`.  With ``corrupt_col`` a file that can't be
+    read is one row that has its chat's id and its text in that column, and
+    nothing else; without it such files are left to :func:`read_chat_failures`.
     """
-    reader = spark.read.schema(
-        CHAT_EXPORT if corrupt_col is None else StructType([*CHAT_EXPORT.fields, StructField(corrupt_col, StringType())])
-    ).option("multiLine", True).option("mode", "PERMISSIVE")
-    if corrupt_col is not None:
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
-    raw = reader.json(path).withColumn("__path", F.input_file_name())
+    messages, failures = parse_chat_exports(chat_files(spark, path), lowercase=lowercase)
     if corrupt_col is None:
-        raw = raw.filter(F.col("messages").isNotNull())
-    else:
-        raw = raw.filter(F.col(corrupt_col).isNull())
-    msgs = raw.select(
-        F.xxhash64("__path").alias("chat_id"),
-        F.col("guild.name").alias("server"),
-        F.col("channel.name").alias("channel"),
-        F.col("channel.topic").alias("topic"),
-        F.posexplode("messages").alias("turn", "m"),
-    ).select("chat_id", F.col("turn").cast("long").alias("turn"), "server", "channel", "topic",
-             F.col("m.author.name").alias("author"), F.col("m.content").alias("content"))
-    if lowercase:
-        # The reference lowercases the raw JSON, so names and topic too.
-        for c in ("server", "channel", "topic", "author", "content"):
-            msgs = msgs.withColumn(c, F.lower(c))
-    return msgs
+        return messages
+    return messages.withColumn(corrupt_col, F.lit(None).cast("string")).unionByName(
+        failures.select(F.xxhash64("path").alias("chat_id"), F.col("text").alias(corrupt_col)), allowMissingColumns=True)
+
+
+def read_chat_failures(spark: SparkSession, path: str) -> DataFrame:
+    """``path, reason, text`` of the files that :func:`read_chat_exports` can't read."""
+    return parse_chat_exports(chat_files(spark, path))[1]
 
 
 def chat_header(server="server", channel="channel", topic="topic") -> Column:
