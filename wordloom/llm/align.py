@@ -121,9 +121,9 @@ def _pieces(a_path: str, b_path: str) -> Pieces:
         return out
 
     def make_many(pieces):
-        return [value for at in range(0, len(pieces), 20_000) for value in some(pieces[at:at + 20_000])]
+        return [value for at in range(0, len(pieces), 10_000) for value in some(pieces[at:at + 10_000])]
 
-    return Pieces(make_many, blank_cuts, limit=150_000)
+    return Pieces(make_many, blank_cuts, limit=120_000)
 
 
 class Side:
@@ -189,9 +189,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     """
     def run(batches):
         pieces = _pieces(a_path, b_path)
-        for b in slices(batches, 4096):
+        for b in slices(batches, 512):
             texts = [b" " + t if t else b"" for t in as_bytes(b.column(1))]
-            for first, end in groups(texts, 3_000_000):
+            for first, end in groups(texts, 2_000_000):
                 _, values, codes, bounds = pieces.group(texts[first:end])
                 lost = np.array([v is None for v in values], bool)
                 if lost.any():                 # documents with such a piece have no tokens
