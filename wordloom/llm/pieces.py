@@ -220,7 +220,7 @@ def library_ids(path: str) -> tuple[Pieces, np.dtype]:
             at = to
         return out
 
-    return Pieces(make_many, byte_level_cuts, library.added), library.width
+    return Pieces(make_many, byte_level_cuts, library.added, limit=700_000), library.width
 
 
 def text_ids(path: str, texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -37,7 +37,7 @@ from .common import as_bytes, slices
 from .pieces import text_ids
 
 LOW = np.uint64(1 << 31)
-BLOCK_IDS, LANES, MARK_ROWS = 1 << 18, 512, 128
+BLOCK_IDS, LANES, MARK_ROWS = 1 << 18, 1024, 64
 BLOCKS = ("shard int, block int, first long, doc_ids array<long>, ords array<long>, pieces array<int>, "
           "lens array<int>, lanes int, marks binary, words binary, words_crc long, ids_crc long")
 
