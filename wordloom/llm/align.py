@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import as_bytes, slices
+from .common import as_bytes, releasing, slices
 from .exchange import runs
 from .pieces import Library, Pieces, blank_cuts, gather, groups
 
@@ -210,7 +210,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
                        "link_counts": np.array([v[3] for v in values], np.int64).astype("<u4").tobytes()}
                 yield pa.RecordBatch.from_pylist([row], schema=_ALIGNED)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ALIGNED)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), ALIGNED)
 
 
 _ALIGNED = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
@@ -262,7 +262,7 @@ def _pair_counts(batches):
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``a, b, n, best``: links of every id pair in the corpus; ``best`` if no pair of its B id has more."""
-    n = (aligned.select("codes", "links", "link_counts").mapInArrow(_pair_counts, "a long, b long, n long")
+    n = (aligned.select("codes", "links", "link_counts").mapInArrow(releasing(_pair_counts), "a long, b long, n long")
                 .groupBy("a", "b").agg(F.sum("n").alias("n")))
     n = materialize(n)
     most = n.groupBy("b").agg(F.max("n").alias("most"))
@@ -322,7 +322,7 @@ def _scored(aligned: DataFrame, shared, part: int) -> DataFrame:
                     ["place", "doc_id", *_COUNTS, "groups_sha256", "n_best", "count_sum"])
 
     schema = f"place string, doc_id long, {', '.join(f'{c} long' for c in _COUNTS)}, groups_sha256 string, n_best long, count_sum long"
-    return aligned.mapInArrow(run, schema)
+    return aligned.mapInArrow(releasing(run), schema)
 
 
 def _link_sums(links, ends, keys, n, best) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +94,24 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, giving the memory that it has freed back to the system when a task ends.
+
+    Workers outlive their tasks; what the allocators keep would otherwise count
+    beside the JVM's memory while other stages run.
+    """
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # the GNU C library has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that a task holds few texts as Python objects."""
     for batch in batches:

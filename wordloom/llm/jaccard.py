@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import salted_lookup
 from ..session import materialize
-from .common import as_bytes, slices, space_words
+from .common import as_bytes, releasing, slices, space_words
 from .exchange import pack, parts_for, runs, unpack
 
 U = np.uint64
@@ -47,7 +47,7 @@ class Words(dict):
     """Hashes of words, forgotten all at once when there are many."""
 
     def __missing__(self, word):
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -237,7 +237,7 @@ def _unpacked(rows: DataFrame, kind: str, names: list[str]) -> DataFrame:
             for raw in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in unpack(raw.as_py())], names)
 
-    return rows.filter(F.col("kind") == kind).select("data").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.filter(F.col("kind") == kind).select("data").mapInArrow(releasing(run), ", ".join(f"{n} long" for n in names))
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -285,8 +285,8 @@ def _linked(batches):
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are similar: first by sketches, then by whole sets."""
-    close = _both(materialize(pairs), sets, {"n": "n", "s": "sketch"}).mapInArrow(_close, "a long, b long")
-    return _both(materialize(close), sets, {"h": "hashes"}).mapInArrow(_linked, "a long, b long")
+    close = _both(materialize(pairs), sets, {"n": "n", "s": "sketch"}).mapInArrow(releasing(_close), "a long, b long")
+    return _both(materialize(close), sets, {"h": "hashes"}).mapInArrow(releasing(_linked), "a long, b long")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -453,7 +453,7 @@ def cross_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, small: in
                  .join(sets.select("cls", "sketch"), "cls")
                  .select("lead", "i", "j", "bucket", "cls", "n", "comp", "salt", "sketch")
                  .repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "bucket")
-                 .mapInArrow(_bucket_pairs, "a long, b long"))
+                 .mapInArrow(releasing(_bucket_pairs), "a long, b long"))
     return some.union(tiles).distinct()
 
 
@@ -480,9 +480,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     parts = parts_for(docs)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(base.mapInArrow(_set_map(parts), _ROUTED_SQL)
+    found = materialize(base.mapInArrow(releasing(_set_map(parts)), _ROUTED_SQL)
                             .repartition(parts, F.coalesce("part", F.pmod(F.xxhash64("data"), F.lit(parts)).cast("int")))
-                            .mapInArrow(_bucket_reduce, "kind string, data binary"))
+                            .mapInArrow(releasing(_bucket_reduce), "kind string, data binary"))
     rows = _unpacked(found, "docs", ["doc", "n", "cls"])
     classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
     buckets = _unpacked(found, "buckets", ["bucket", "cls", "n", "g"])
@@ -491,7 +491,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = base.filter(F.col("doc").isNotNull())
     texts = texts.join(F.broadcast(needed) if own.count() <= BROADCAST_CLASSES else needed, "doc")
     sets = materialize(texts.select("cls", "text")
-                            .mapInArrow(_class_sets, "cls long, n long, sketch binary, hashes binary"))
+                            .mapInArrow(releasing(_class_sets), "cls long, n long, sketch binary, hashes binary"))
     votes = _unpacked(found, "votes", ["a", "b", "votes"]).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     comps = merge(own, verify(elected(votes), sets))
     left = materialize(open_buckets(buckets, comps))

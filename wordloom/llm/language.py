@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import as_bytes, map_text, slices
+from .common import as_bytes, map_text, releasing, slices
 
 DIM = 4096
 #: Families of languages by ISO 639-1 code.
@@ -149,7 +149,7 @@ class Reader:
     characters leave the memo with their group.
     """
 
-    def __init__(self, model: Model, limit: int = 100_000, group: int = 1_000_000):
+    def __init__(self, model: Model, limit: int = 60_000, group: int = 500_000):
         self.model, self.limit, self.group = model, limit, group
         self.columns = np.ascontiguousarray(model.weights.T)
         self.forget()
@@ -246,6 +246,9 @@ def languages(text_col: str, model: Model) -> Column:
     """``lang_pred`` of :func:`identify` as a column: only the texts go to Python, only the languages come back."""
     @F.arrow_udf(StringType())
     def lang_pred(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(run)(arrays)
+
+    def run(arrays):
         read = Reader(model)
         for texts in arrays:
             found = []

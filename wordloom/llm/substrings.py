@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import materialize
-from .common import as_bytes
+from .common import as_bytes, releasing
 from .exchange import by_part, pack, parts_for, runs, unpack, unpack_all
 
 WIN, GRAM = 50, 16
@@ -378,15 +378,15 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """Covered places per document: ``doc, mark, kinds, blobs`` (internal form, for :func:`dedup` and :func:`report`)."""
     parts = parts_for(docs)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(base.mapInArrow(_anchor_map(parts), _ROUTED_SQL)
+    found = materialize(base.mapInArrow(releasing(_anchor_map(parts)), _ROUTED_SQL)
                             .repartition(parts, F.coalesce("part", F.pmod(F.hash("doc"), F.lit(parts))))
-                            .mapInArrow(_anchor_reduce, _ROUTED_SQL))
+                            .mapInArrow(releasing(_anchor_reduce), _ROUTED_SQL))
     asked = (found.filter(F.col("kind") == "asked").groupBy("doc", "mark").agg(F.collect_list("data").alias("asked")))
     texts = base.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= WIN)).select(F.lit(0).alias("row"), "doc", "text")
-    texts = texts.mapInArrow(_pack_texts, "row int, doc long, mark int, z binary")
-    windows = (texts.join(asked, ["doc", "mark"]).select("doc", "mark", "z", "asked").mapInArrow(_context_map(parts), _ROUTED_SQL)
+    texts = texts.mapInArrow(releasing(_pack_texts), "row int, doc long, mark int, z binary")
+    windows = (texts.join(asked, ["doc", "mark"]).select("doc", "mark", "z", "asked").mapInArrow(releasing(_context_map(parts)), _ROUTED_SQL)
                     .repartition(parts, F.coalesce("part", F.pmod(F.hash("doc"), F.lit(parts))))
-                    .mapInArrow(_context_reduce, _ROUTED_SQL))
+                    .mapInArrow(releasing(_context_reduce), _ROUTED_SQL))
     return (found.filter(F.col("kind") == "covered").unionByName(windows).groupBy("doc", "mark")
                  .agg(F.collect_list(F.struct("kind", "data")).alias("places")))
 
@@ -396,7 +396,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("__null"))
     texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["row"].dataType.simpleString()
-    packed = texts.mapInArrow(_pack_texts, f"row {kind}, doc long, mark int, z binary")
+    packed = texts.mapInArrow(releasing(_pack_texts), f"row {kind}, doc long, mark int, z binary")
     return packed.join(spans(docs, id_col=id_col, text_col=text_col), ["doc", "mark"], "left")
 
 
@@ -434,7 +434,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     got = _with_spans(docs.select(id_col, text_col), id_col, text_col)
     id_type = dict(docs.dtypes)[id_col]
     return (got.select(F.col(f"row.`{id_col}`").alias("id"), "z", "places")
-               .mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+               .mapInArrow(releasing(run), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                 "spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col))
 
 
