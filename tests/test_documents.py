@@ -109,3 +109,22 @@ def test_chat_files_become_documents_to_append(spark):
     new = ch.merge_documents(ch.read_chat_exports(spark, d))
     added = dc.append_documents(store, new, ["chat_id"]).collect()
     assert [r.doc_id for r in added] == [8] and added[0].output.count("<message>@") == 3
+
+
+def test_neighbours_over_partition_edges(spark):
+    """A chat over many partitions and batches, small chats, a null chat, null contents: against a plain count."""
+    sizes = {1: 3, 2: 400, 3: 1, None: 5, 7: 60}
+    rows = [(c, t, None if t % 11 == 3 else f"{c}-{t}") for c, n in sizes.items() for t in range(0, 2 * n, 2)]
+    msgs = spark.createDataFrame(rows[::-1], "chat_id long, turn long, content string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("1", "7", old):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {(r.chat_id, r.turn): (r.content, r["__later"], r["__prev"]) for r in ch.with_neighbours(msgs).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        texts = {(c, t): x for c, t, x in rows}
+        assert got == {(c, t): (x, sizes[c] - 1 - t // 2, texts.get((c, t - 2))) for c, t, x in rows}
+    last = ch.last_messages(msgs, 4).collect()
+    assert sorted((r.chat_id or 0, r.turn) for r in last) == sorted((c or 0, t) for c, t, _ in rows if t // 2 >= sizes[c] - 4)
+    assert ch.with_neighbours(msgs.limit(0)).count() == 0

@@ -45,6 +45,26 @@ def test_split_sizes(spark):
     assert sm.train_validation_split(s, seed=3, holdout=True).count() == 850
 
 
+def test_split_is_the_first_k_of_the_shuffle(spark):
+    s = spark.range(3000).select((F.col("id") % 7).alias("doc_id"), F.col("id").alias("pos"))
+    shuffled = [(r.doc_id, r.pos) for r in s.orderBy(sm.seeded_uniform(5, F.lit("validation"), "doc_id", "pos"), "doc_id", "pos").collect()]
+    for share, cap in ((0.15, 10000), (0.5, 7), (1.0, 10000), (0.0, 5), (0.0004, 5)):
+        k = min(int(3000 * share), cap)
+        got = {(r.doc_id, r.pos) for r in sm.train_validation_split(s, seed=5, share=share, cap=cap).filter("validation").collect()}
+        assert got == set(shuffled[:k])
+    empty = sm.train_validation_split(s.limit(0), seed=5)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "pos", "validation"]
+
+
+def test_split_finds_the_edge_inside_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sm, "KEY_BUCKETS", 1)
+    s = spark.range(1000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("pos"))
+    out = sm.train_validation_split(s, seed=3)
+    first = s.orderBy(sm.seeded_uniform(3, F.lit("validation"), "doc_id", "pos")).limit(150).collect()
+    assert {r.pos for r in out.filter("validation").collect()} == {r.pos for r in first}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_window_features_numpy():
     mat = np.arange(12, dtype=float).reshape(6, 2)
     has = np.array([False, True, True, True, False, True])

@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from ..functions.blas import single_thread_blas
 from ..functions.vector import keep_probability, seeded_uniform
-from ..session import materialize
 from .joins import salted_lookup
 
 
@@ -203,27 +202,53 @@ def shuffle_order(samples: DataFrame, seed: int = 42, keys=("doc_id", "pos")) ->
     return samples.withColumn("shuffle_key", seeded_uniform(seed, F.lit("shuffle"), *keys))
 
 
+#: Buckets to a factor of two of the shuffle key; the k-th smallest key's bucket then holds about k / 23,600 rows.
+KEY_BUCKETS = 1 << 14
+
+
+def _key_bucket(u: Column) -> Column:
+    """A number that never falls as ``u`` grows: the scaled logarithm, so that small keys are told apart as well as large ones."""
+    return F.coalesce(F.floor(F.log2(F.when(u > 0, u)) * F.lit(KEY_BUCKETS)), F.lit(-64 * KEY_BUCKETS)).cast("long")
+
+
+def _smallest(samples: DataFrame, u: Column, keys, share: float, cap: int) -> Column:
+    """Whether a row is among the first min(floor(share * n), cap) by (u, keys), by radix selection.
+
+    One pass counts rows by bucket of ``u``; the driver sees at most 64 x
+    ``KEY_BUCKETS`` counts, whatever the number of rows.  Only if the k-th row
+    lies inside a bucket are that bucket's first rows fetched to find it.
+    """
+    bucket = _key_bucket(u)
+    counts = sorted(samples.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator())
+    k = int(min(int(Decimal(sum(n for _, n in counts)) * Decimal(str(share))), cap))
+    for b, n in counts:
+        if k < n:
+            break
+        k -= n
+    else:
+        return F.lit(True) if counts else F.lit(False)
+    if not k:
+        return bucket < b
+    order = [u.alias("__u"), *[F.col(c) for c in keys]]
+    last = samples.filter(bucket == b).select(*order).orderBy("__u", *keys).limit(k).collect()[-1]
+    row, edge = F.struct(u, *[F.col(c) for c in keys]), F.struct(*[F.lit(x).cast(t) for x, (_, t) in zip(
+        last, samples.select(*order).dtypes, strict=True)])
+    return (bucket < b) | ((bucket == b) & (row <= edge))
+
+
 def train_validation_split(samples: DataFrame, seed: int = 42, share: float = 0.15,
                            cap: int = 10000, keys=("doc_id", "pos"), holdout: bool = False) -> DataFrame:
     """Flag the first min(floor(share * n), cap) rows of a second seeded shuffle.
 
-    The validation set is an exact-size top-k (``orderBy().limit(k)``: each
-    task keeps k rows, k <= cap), joined back with a broadcast of at most cap
-    rows.  By default validation rows stay in training, as in the reference;
-    ``holdout=True`` removes them.
+    The k-th row of the shuffle is found by :func:`_smallest`, rows are flagged
+    by comparing with it: no table is written, nothing is joined, and
+    ``samples`` is evaluated once more than without the flag.  ``keys`` name
+    the rows; rows that share them share the flag.  By default validation rows
+    stay in training, as in the reference; ``holdout=True`` removes them.
     """
-    # Written once: the count, the top-k and the join-back read the same table.
-    keyed = materialize(samples.withColumn("__v", seeded_uniform(seed, F.lit("validation"), *keys)))
-    n = keyed.count()
-    k = int(min(int(Decimal(n) * Decimal(str(share))), cap))
-    chosen = (keyed.orderBy("__v", *keys).limit(k).select(*keys)
-                   .withColumn("validation", F.lit(True)))
-    out = (keyed.join(F.broadcast(chosen), list(keys), "left")
-                .withColumn("validation", F.coalesce("validation", F.lit(False)))
-                .drop("__v"))
-    if holdout:
-        out = out.filter(~F.col("validation"))
-    return out
+    chosen = _smallest(samples, seeded_uniform(seed, F.lit("validation"), *keys), keys, share, cap)
+    out = samples.withColumn("validation", chosen)
+    return out.filter(~F.col("validation")) if holdout else out
 
 
 # ---- W8-W10: next-token feature rows, built per document in Arrow batches ----

@@ -8,13 +8,15 @@ table (e.g. a conversations log) can feed them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.ids import dense_ids
-from ..operators.joins import salted_lookup
 from ..schemas import CHAT_EXPORT
+from ..session import materialize
 
 # Header and message markup of chat documents.
 SERVER_OPEN, SERVER_CLOSE = "<server>", "</server>"
@@ -88,33 +90,88 @@ def chat_header(server="server", channel="channel", topic="topic") -> Column:
                     F.lit(TOPIC_OPEN), F.coalesce(c(topic), F.lit("")), F.lit(TOPIC_CLOSE))
 
 
-def rank_messages(msgs: DataFrame) -> DataFrame:
-    """Add ``__g`` (global rank by chat, turn), ``__r`` (rank inside the chat) and ``__n`` (chat size).
+def _neighbours(batches):
+    """Of sorted rows (latest message of a chat first): later messages of the chat in this partition, and the message before.
 
-    No window partitioned by chat: a chat holding a large share of all
-    messages would be one task.  The global rank comes from the range-
-    partitioned dense-id operator; chat start and size are a map-side
-    combined aggregate joined back through the hot-key lookup.
+    ``__prev`` is the next row's content if that row is of the same chat; the
+    last row of each batch waits for the next batch.
     """
-    ranked = dense_ids(msgs, ["chat_id", "turn"], id_col="__g", start=0)
-    stats = ranked.groupBy("chat_id").agg(F.min("__g").alias("__g0"), F.count(F.lit(1)).alias("__n"))
-    joined = salted_lookup(ranked, stats, "chat_id", weight_col="__n", how="inner",
-                           salt_cols=["__g"])
-    return joined.withColumn("__r", F.col("__g") - F.col("__g0")).drop("__g0")
-
-
-def _kept(msgs: DataFrame, n: int) -> DataFrame:
-    ranked = rank_messages(msgs)
-    if n <= 0:
-        return ranked
-    return ranked.filter(F.col("__r") >= F.col("__n") - F.lit(n))
+    held, chat, seen = None, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        held = rows.slice(rows.num_rows - 1)
+        yield from _numbered(rows, rows.num_rows - 1, chat, seen)
+        same = _same_as_before(rows.column("chat_id"))
+        start = np.flatnonzero(~same)
+        first = int(start[-1]) if len(start) else 0
+        joins = first == 0 and chat is not None and rows.column("chat_id")[0].as_py() == chat[0]
+        seen = rows.num_rows - 1 - first + (seen if joins else 0)
+        chat = (held.column("chat_id")[0].as_py(),)
+    if held is not None:
+        yield from _numbered(held, 1, chat, seen)
+
+
+def _same_as_before(chats: pa.Array) -> np.ndarray:
+    """Whether each value equals the one before it; nulls are equal."""
+    codes = pc.fill_null(chats.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    return np.concatenate([[False], codes[1:] == codes[:-1]])
+
+
+def _numbered(rows: pa.RecordBatch, n: int, chat, seen: int):
+    """The first ``n`` rows with ``__later`` and ``__prev``; ``seen`` rows of ``chat`` came before the first one."""
+    if not n:
+        return
+    same = _same_as_before(rows.column("chat_id"))
+    at = np.arange(len(same))
+    start = np.maximum.accumulate(np.where(same, 0, at))
+    later = at - start
+    if chat is not None and rows.column("chat_id")[0].as_py() == chat[0]:
+        later[start == 0] += seen
+    text = rows.column("content")
+    follows = pa.array(np.append(same[1:], False))
+    prev = pc.if_else(follows, pa.concat_arrays([text.slice(1), pa.nulls(1, text.type)]), pa.nulls(len(text), text.type))
+    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(later, pa.int64()), prev],
+                                     [*rows.schema.names, "__later", "__prev"]).slice(0, n)
+
+
+def with_neighbours(msgs: DataFrame) -> DataFrame:
+    """Add ``__later`` (messages of the chat behind this one) and ``__prev`` (the content of the one before, null at the start).
+
+    Messages are range-partitioned and sorted once, so that a chat of any size
+    spreads over partitions, and numbered inside each partition.  A chat that
+    lies in several partitions gets its rest from a table of the partitions'
+    edges: at most two rows for each partition, whatever the number of
+    messages.  (chat_id, turn) names a message; a null chat_id is a chat too.
+    """
+    cols = msgs.columns
+    sql = ", ".join(f"`{n}` {t}" for n, t in [*msgs.dtypes, ("__later", "bigint"), ("__prev", "string")])
+    order = [F.col("chat_id"), F.col("turn").desc()]
+    parts = int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = materialize(msgs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                            .mapInArrow(_neighbours, sql).withColumn("__pid", F.spark_partition_id()))
+    ends = table.groupBy("__pid").agg(F.min(F.struct("chat_id")).alias("a"),
+                                      F.max(F.struct("chat_id")).alias("z"))
+    edge = (table.join(F.broadcast(ends), "__pid")
+                 .filter(F.struct("chat_id").eqNullSafe(F.col("a")) | F.struct("chat_id").eqNullSafe(F.col("z")))
+                 .groupBy("__pid", "chat_id").agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct("content"), "turn").alias("__top")))
+    chat = Window.partitionBy("chat_id").orderBy("__pid")
+    carry = edge.select(F.col("__pid").alias("__p"), F.col("chat_id").alias("__c"),
+                        (F.sum("__n").over(chat) - F.col("__n")).alias("__ahead"), "__n",
+                        F.lead("__top").over(chat).alias("__next"))
+    rows = table.join(F.broadcast(carry), (F.col("__pid") == F.col("__p")) & F.col("chat_id").eqNullSafe(F.col("__c")), "left")
+    last_here = F.col("__later") + 1 == F.col("__n")
+    return rows.select(*[F.col(f"`{c}`") for c in cols],
+                       (F.col("__later") + F.coalesce("__ahead", F.lit(0))).alias("__later"),
+                       F.when(last_here, F.col("__next.content")).otherwise(F.col("__prev")).alias("__prev"))
 
 
 def last_messages(msgs: DataFrame, n: int) -> DataFrame:
     """Keep the last ``n`` messages of each chat (0 or n >= size -> all)."""
     if n <= 0:
         return msgs
-    return _kept(msgs, n).drop("__g", "__r", "__n")
+    return with_neighbours(msgs).filter(F.col("__later") < n).drop("__later", "__prev")
 
 
 def split_documents(msgs: DataFrame, last_n: int = 0) -> DataFrame:
@@ -122,14 +179,15 @@ def split_documents(msgs: DataFrame, last_n: int = 0) -> DataFrame:
 
     input = previous kept message ('' for the first), context = header +
     author tag, output = the message.  Returns ``chat_id, turn`` + D1 texts.
-    The previous message is an equi-join on the unique global rank, so the
-    work spreads evenly whatever the chat sizes.
     """
-    kept = _kept(msgs, last_n)
-    prev = kept.select("chat_id", (F.col("__g") + 1).alias("__g"), F.col("content").alias("__prev"))
-    return kept.join(prev, ["chat_id", "__g"], "left").select(
+    rows = with_neighbours(msgs)
+    prev = F.col("__prev")
+    if last_n > 0:
+        rows = rows.filter(F.col("__later") < last_n)
+        prev = F.when(F.col("__later") + 1 < last_n, prev)
+    return rows.select(
         "chat_id", "turn",
-        F.coalesce(F.col("__prev"), F.lit("")).alias("input"),
+        F.coalesce(prev, F.lit("")).alias("input"),
         F.concat(chat_header(), F.lit(AUTHOR_OPEN), F.coalesce("author", F.lit("")),
                  F.lit(AUTHOR_CLOSE)).alias("context"),
         F.coalesce("content", F.lit("")).alias("output"),
