@@ -241,9 +241,10 @@ def train_validation_split(samples: DataFrame, seed: int = 42, share: float = 0.
     """Flag the first min(floor(share * n), cap) rows of a second seeded shuffle.
 
     The k-th row of the shuffle is found by :func:`_smallest`, rows are flagged
-    by comparing with it: no table is written, nothing is joined, and
-    ``samples`` is evaluated once more than without the flag.  ``keys`` name
-    the rows; rows that share them share the flag.  By default validation rows
+    by comparing with it: no table is written and nothing is joined.
+    ``samples`` is evaluated twice, so what is costly before it is better
+    stored by the caller.  ``keys`` name the rows; rows that share them share
+    the flag.  By default validation rows
     stay in training, as in the reference; ``holdout=True`` removes them.
     """
     chosen = _smallest(samples, seeded_uniform(seed, F.lit("validation"), *keys), keys, share, cap)

@@ -254,7 +254,9 @@ def sample_targets(spark, sf):
 
 
 def train_validation_split(spark, sf):
-    s = sample_targets(spark, sf)
+    """W13 on the sampled targets; the stored chunks of ids are read by both passes."""
+    arrays = materialize(_around(spark, sf, with_keep=True))
+    s = sm.symmetric_windows(arrays, tb.CONTEXT_RADIUS).filter(F.col("keep")).select("doc_id", "pos", "target_id")
     return sm.train_validation_split(s, seed=tb.SEED).select("doc_id", "pos", "target_id", "validation")
 
 
