@@ -7,13 +7,15 @@ transform of the runs in a wavelet matrix; all windows are searched backwards
 at once, and their places come from sampled suffix positions by LF steps.
 
 The benchmark goes to the tasks in blocks of bounded size (``block_words``);
-texts are passed through once for each block, without a shuffle.
+texts are passed through once for each block, without a shuffle, and written
+between blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import alnum_words, as_bytes, slices
 
 WINDOW = 10
@@ -133,7 +136,9 @@ class Benchmark:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in alnum_words(text)]
             k = min(window, len(ids))
             for i in range(len(ids) - k + 1 if ids else 0):
-                by_length.setdefault(k, {}).setdefault(tuple(ids[i:i + k]), set()).add(item)
+                holders = by_length.setdefault(k, {}).setdefault(tuple(ids[i:i + k]), set())
+                if item is not None:  # its windows count as hits, but it has no id to report
+                    holders.add(item)
         self.windows = {k: (np.array(list(v), np.int64), [sorted(x) for x in v.values()]) for k, v in by_length.items()}
         self.least = min(self.windows, default=0)
 
@@ -187,14 +192,17 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
-    """The benchmark in blocks; the number of blocks follows its measured size."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> tuple[int, Iterator[Benchmark]]:
+    """How many blocks the benchmark's measured size makes, and the blocks, each fetched when it is asked for."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(size // (2 * block_words)) + 1  # a word and its separator: two characters at least
-    for k in range(n):
+
+    def block(k: int) -> Benchmark:
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield Benchmark([(r[0], r[1].encode() if r[1] is not None else None) for r in part.toLocalIterator()], window)
+        return Benchmark([(r[0], r[1].encode() if r[1] is not None else None) for r in part.toLocalIterator()], window)
+
+    return n, map(block, range(n))
 
 
 def _shards(batches, rows: int, size: int = 8 << 20):
@@ -219,18 +227,19 @@ def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
     ``id, n_words, spans, items[, text]``: merged spans of words (first, last
     inclusive) and the sorted ids of the items with an occurring window.  An
     item of fewer than ``window`` words, but not none, is one window.  Null
-    texts have no words, null items none either; repeated rows repeat results.
+    texts have no words, null items none either; an item without an id hits
+    words but is not among the items.  Repeated rows repeat results.
     With ``cut_text`` the text comes without its spans.
     """
     id_type = dict(docs.dtypes)[id_col]
     cur = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"),
                       F.array().cast("array<struct<first:int,last:int>>").alias("spans"),
                       F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col, window, block_words))
+    n_blocks, blocks = _blocks(benchmark, item_col, item_text_col, window, block_words)
     struct = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for k, block in enumerate(blocks):
-        cutting = cut_text and k + 1 == len(blocks)
-        text_out = keep_text or cut_text or k + 1 < len(blocks)
+        cutting = cut_text and k + 1 == n_blocks
+        text_out = keep_text or cut_text or k + 1 < n_blocks
 
         def run(batches, block=block, text_out=text_out, cutting=cutting):
             for b in _shards(batches, shard_rows):
@@ -254,6 +263,8 @@ def search(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(cols + [kept] * text_out, names + ["__text"] * text_out)
 
         cur = cur.mapInArrow(run, f"__id {id_type}, n_words long, {_SPANS}" + ", __text string" * text_out)
+        if k + 1 < n_blocks:  # a task and the driver hold one block at a time
+            cur = materialize(cur)
     extra = [F.col("__text").alias("text")] if keep_text or cut_text else []
     return cur.select(F.col("__id").alias(id_col), "n_words", "spans", "items", *extra)
 

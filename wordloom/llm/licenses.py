@@ -54,7 +54,48 @@ TEMPLATES = {
         that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain
         the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>>
         Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
-        disclaimer in the documentation and/or other materials provided with the distribution.""",
+        disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain
+        the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>>
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.
+        <<beginOptional>>3.<<endOptional>> Neither the name of <<var;max=12>> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at <<one;http|https>>://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+        later version.""",
+    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+    "LGPL-2.1": "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU Lesser General Public License version 2.1"
+                " <<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
+    "LGPL-3.0": "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU Lesser General Public License version 3"
+                " <<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at <<one;http|https>>://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
 }
 
 _MARK = re.compile(r"<<(.*?)>>", re.S)
@@ -142,10 +183,11 @@ def base_places(joined: bytes) -> list[tuple[int, int, str]]:
     out = []
     for phrase, label in BASE:
         p = b" " + phrase.encode() + b" "
-        at = joined.find(p)
+        at, before, words = joined.find(p), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), phrase.count(" ") + 1, label))
-            at = joined.find(p, at + 1)
+            words += joined.count(b" ", before, at)  # from the last place on, so that long texts stay linear
+            out.append((words, phrase.count(" ") + 1, label))
+            at, before = joined.find(p, at + 1), at
     return out
 
 
