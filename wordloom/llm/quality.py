@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule is a share that is high in bad texts.  Its cutoffs are tested per
-stratum on the labelled documents, from the most lenient one on: a cutoff is
-certified while the exact binomial test rejects "more than ``risk`` of the good
-documents fall" at its level, and testing stops at the first failure (fixed
-sequence, so a sequence needs no further correction).  The level is divided by
-the number of rules and strata (Bonferroni).  All certified cutoffs hold
+Every rule is a share that is high in bad texts.  A stratum's candidate
+cutoffs form one sequence for all rules together: from no rejection on, each
+step gives up one more bin of one rule, those first whose documents are most
+often labelled bad.  The order comes from all documents and the bad labels
+alone, so the good labels stay a holdout for it.  A step is certified while the
+exact binomial test rejects "more than ``risk`` of the stratum's good documents
+fall to any of its rules" at its level, and testing stops at the first failure
+(fixed sequence, so the steps need no further correction).  The level is
+divided by the number of strata (Bonferroni).  All certified steps hold
 together with probability 1 - ``delta``; the one that parts good from bad best
 is taken, so the choice itself costs nothing.
 """
@@ -78,22 +81,38 @@ def binomial_at_most(x: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(v - top) for v in logs))
 
 
-def choose(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int | None:
-    """The cutoff c (reject bins above c) for one rule and stratum, from counts by bin; None: none certified or useful."""
+def sequence(every: dict[str, np.ndarray], bad: dict[str, np.ndarray]) -> list[tuple[str, int]]:
+    """(rule, bin) in the order in which they are given up, from counts of all and of bad documents by rule and bin.
+
+    A rule's bins go from the top down, in blocks of the highest share of bad
+    ones; blocks of all rules are merged by that share, and those without any are left out.
+    """
+    steps = []
+    for number, rule in enumerate(RULES):
+        n, m = (np.concatenate([[0], np.cumsum(x[rule][:0:-1])]) for x in (every, bad))
+        at = 0
+        while at < BINS and m[at] < m[-1]:
+            ratio = (m[at + 1:] - m[at]) / np.maximum(1, n[at + 1:] - n[at])
+            end = at + 1 + int(np.argmax(ratio))
+            steps += [(-float(ratio.max()), number, k) for k in range(at, end)]
+            at = end
+    return [(RULES[number], BINS - k) for _, number, k in sorted(steps)]
+
+
+def choose(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int:
+    """How many steps to take; ``good[t]`` documents fall at step t first, the last entry never.  0: none certified or useful."""
     n, m = int(good.sum()), int(bad.sum())
-    certified = []
-    for c in range(BINS - 1, -1, -1):
-        fell = int(good[c + 1:].sum())
+    best, at = 0.0, []
+    for t in range(len(good)):
+        fell = int(good[:t].sum())
         if not n or fell > risk * n or binomial_at_most(fell, n, risk) > level:
             break
-        certified.append((10 * fell / n - bad[c + 1:].sum() / max(1, m), c))
-    if not certified:
-        return None
-    best = min(v for v, _ in certified)
-    if best >= 0:
-        return None
-    same = [c for v, c in certified if v == best]
-    return same[len(same) // 2]
+        value = 10 * fell / n - bad[:t].sum() / max(1, m)
+        if value < best:
+            best, at = value, []
+        if value == best < 0:
+            at.append(t)
+    return at[len(at) // 2] if at else 0
 
 
 def fit(scored: DataFrame, labels: DataFrame, *, stratum_col: str, risk: float, delta: float,
@@ -101,19 +120,40 @@ def fit(scored: DataFrame, labels: DataFrame, *, stratum_col: str, risk: float,
     """Cutoffs by (stratum, rule).  Counts are summed in the executors; the driver sees strata x rules x bins.
 
     Labels with a null id or quality are left out; an id labelled both ways
-    counts as good.  A stratum with too few labels gets no cutoff.
+    counts as good, and rows of one id and stratum as one document that falls
+    with the first of them.  A stratum with too few good labels gets no
+    cutoff: without any fall it takes ln(strata / delta) / -ln(1 - risk) of them.
     """
-    marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("__good"))
-    long = (scored.join(marks, F.col(id_col) == F.col("__id"))
-                  .select(F.col(stratum_col).alias("s"), "__good",
-                          F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r_{r}").alias("bin")) for r in RULES])).alias("x")))
-    counts = long.groupBy("s", "x.rule", "x.bin", "__good").count().toPandas()
-    tables: dict = {}
-    for s, rule, b, good, n in counts.itertuples(index=False):
-        tables.setdefault((s, rule), np.zeros((2, BINS + 1), np.int64))[int(good > 0), int(b)] += n
-    level = delta / max(1, len(tables))
-    found = {k: choose(t[1], t[0], risk, level) for k, t in tables.items()}
-    return {k: c for k, c in found.items() if c is not None}
+    marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max("quality") > 0).alias("__good"))
+    bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r_{r}").alias("bin")) for r in RULES])).alias("x")
+    every = scored.select(F.col(stratum_col).alias("s"), bins).groupBy("s", "x.rule", "x.bin").count()
+    marked = (scored.join(marks, F.col(id_col) == F.col("__id"))
+                    .select(F.col(stratum_col).alias("s"), "__id", "__good", bins).select("s", "__id", "__good", "x.*"))
+
+    def tables(counts: DataFrame) -> dict:
+        out: dict = {}
+        for s, rule, b, n in counts.toLocalIterator():
+            out.setdefault(s, {r: np.zeros(BINS + 1, np.int64) for r in RULES})[rule][b] += n
+        return out
+
+    bad = tables(marked.filter(~F.col("__good")).groupBy("s", "rule", "bin").agg(F.countDistinct("__id").alias("n")))
+    if not bad:
+        return {}
+    all_docs = tables(every)
+    order = {s: sequence(all_docs[s], t) for s, t in bad.items()}
+    steps = scored.sparkSession.createDataFrame([(s, r, b, t) for s, o in order.items() for t, (r, b) in enumerate(o)],
+                                                "s string, rule string, bin int, step int")
+    fallen = (marked.join(F.broadcast(steps), ["s", "rule", "bin"], "left").groupBy("s", "__id", "__good").agg(F.min("step").alias("step"))
+                    .groupBy("s", "__good", "step").count())
+    falls = {s: np.zeros((2, len(o) + 1), np.int64) for s, o in order.items()}
+    for s, good, step, n in fallen.toLocalIterator():
+        if s in falls:
+            falls[s][int(good), -1 if step is None else step] += n
+    found: dict = {}
+    for s, (no, yes) in falls.items():
+        for rule, b in order[s][:choose(yes, no, risk, delta / len(all_docs))]:
+            found[s, rule] = min(found.get((s, rule), BINS), b - 1)
+    return found
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
@@ -124,8 +164,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     half of them in repeated 3-word windows), else whether no certified rule
     of the row's stratum rejects it; ``rejected_by`` names the rules.  Strata:
     values of ``stratum_col``, null as ``und``.  Null and empty texts have no
-    words and fail.  At most ``risk`` of a stratum's good documents fall to one
-    rule, with probability 1 - ``delta`` for all rules and strata at once.
+    words and fail.  At most ``risk`` of a stratum's good documents fall to any
+    of its rules, with probability 1 - ``delta`` for all strata at once.
     """
     text = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("und")).alias("s")).alias("__k"),
                        F.col(text_col).alias("__t"))
