@@ -68,3 +68,18 @@ def test_tiles_do_not_change_the_best(monkeypatch):
     monkeypatch.setattr(sim, "TILE_BYTES", 8 * 50 * 3)
     assert [x.tolist() for x in sim.topn_side(m, side, 4)][:2] == whole[:2]
     assert all(whole[0].count(i) == 4 for i in range(50))
+
+
+def test_a_query_goes_to_a_shelf_once_and_in_small_batches(spark):
+    """Where no cell can be ruled out a query was copied with its vector for each cell, all copies of a batch at once."""
+    m = np.random.default_rng(5).normal(size=(3000, 24))
+    v = vectors(spark, m)
+    index = pv.build_pivot_index(v, 64, part_rows=1000)
+    shelves = index.cells.select("shelf").distinct().count()
+    assert index.cells.groupBy("shelf").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= 1000 and 3 <= shelves <= 6
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pylist([{"query": str(i), "qid": i, "qvec": [float(x) for x in row], "worst": None, "found": 0} for i, row in enumerate(m)])
+    probed = list(pv._probes(index, 10, True)([batch]))
+    assert max(b.num_rows for b in probed) <= pv.PROBED
+    rows = [(q, s) for b in probed for q, s in zip(b.column("qid").to_pylist(), b.column("shelf").to_pylist())]
+    assert len(rows) == len(set(rows)) <= 3000 * shelves

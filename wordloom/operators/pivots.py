@@ -32,7 +32,7 @@ NO_CELL = -1
 
 @dataclass
 class PivotIndex:
-    """``members``: cell, part, token, embedding; ``cells``: cell, n, parts, radius; pivots' unit vectors by cell."""
+    """``members``: cell, shelf, part, token, embedding; ``cells``: cell, n, radius, parts, shelf; pivots' unit vectors by cell."""
 
     members: DataFrame
     cells: DataFrame
@@ -48,6 +48,26 @@ def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_unit(_padded(m, pivots.shape[1])) @ pivots.T, -1.0, 1.0))
 
 
+def _column(column) -> np.ndarray:
+    """A column of vectors as rows."""
+    lengths = np.diff(column.offsets.to_numpy()) if isinstance(column, pa.ListArray) else None
+    if lengths is None or not len(lengths) or column.null_count or (lengths != lengths[0]).any() or column.flatten().null_count:
+        return matrix(column.to_pylist())
+    return column.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _shelves(cells, part_rows: int):
+    """The table of cells, with the shelf of each: neighbouring cells of at most ``part_rows`` members together, a larger one alone."""
+    cells = cells.sort_values("cell").reset_index(drop=True)
+    shelf, held, shelves = -1, part_rows, []
+    for n in cells["n"]:
+        if held + n > part_rows:
+            shelf, held = shelf + 1, 0
+        held += n
+        shelves.append(shelf)
+    return cells.assign(shelf=np.array(shelves, np.int32))
+
+
 def _padded(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
@@ -56,7 +76,9 @@ def build_pivot_index(vectors: DataFrame, n_pivots: int = 256, part_rows: int =
     """Index ``(token, embedding)``; every vector gets a cell, those without direction the cell -1.
 
     The pivots, ``n_pivots`` rows at most, are all that the driver holds.  A cell
-    of more than ``part_rows`` members is cut into parts by a hash of the token.
+    of more than ``part_rows`` members is cut into parts by a hash of the token;
+    smaller ones share a shelf, so that a query goes to a shelf once, not to each
+    of its cells.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("token").cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -71,7 +93,7 @@ def build_pivot_index(vectors: DataFrame, n_pivots: int = 256, part_rows: int =
         single_thread_blas()
         p = shared.value
         for b in batches:
-            m = _padded(matrix(b.column("embedding").to_pylist()), p.shape[1])
+            m = _padded(_column(b.column("embedding")), p.shape[1])
             cell, angle = np.full(len(m), NO_CELL, np.int32), np.zeros(len(m))
             has = (m != 0).any(axis=1)
             if has.any():
@@ -82,15 +104,21 @@ def build_pivot_index(vectors: DataFrame, n_pivots: int = 256, part_rows: int =
 
     placed = materialize(v.mapInArrow(assign, "cell int, angle double, token string, embedding array<double>"))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
-    cells = materialize(cells.withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")))
     # A row for each pivot at most: small at any number of vectors.
-    members = materialize(placed.join(F.broadcast(cells.select("cell", "parts")), "cell").select(
-        "cell", F.pmod(F.xxhash64("token"), F.col("parts")).cast("int").alias("part"), "token", "embedding"))
+    table = _shelves(cells.withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")).toPandas(), part_rows)
+    cells = spark.createDataFrame([tuple(r) for r in table[["cell", "n", "radius", "parts", "shelf"]].astype(object).to_numpy()],
+                                  "cell int, n long, radius double, parts int, shelf int")
+    members = materialize(placed.join(F.broadcast(cells.select("cell", "parts", "shelf")), "cell").select(
+        "cell", "shelf", F.pmod(F.xxhash64("token"), F.col("parts")).cast("int").alias("part"), "token", "embedding"))
     return PivotIndex(members, cells, pivots)
 
 
+#: Queries whose cells are chosen together.
+PROBED = 512
+
+
 def _probes(index: PivotIndex, n: int, known: bool):
-    """Cells that a query reads: ``query, qid, qvec, cell, rank`` rows.
+    """Cells that a query reads: a row ``query, qid, qvec, shelf, cells`` for each shelf that has some.
 
     Without ``known`` n-th best similarities (column ``worst``) the nearest cells
     until they hold n members; with them all further ones that the bound leaves.
@@ -100,13 +128,14 @@ def _probes(index: PivotIndex, n: int, known: bool):
     with_pivot = cell >= 0
     size, radius = table["n"].to_numpy(np.int64), table["radius"].to_numpy(np.float64)
     total, pivots = int(size.sum()), index.pivots     # an index of nothing has nothing to read
+    shelf = table["shelf"].to_numpy(np.int64)
 
     def run(batches):
         single_thread_blas()
-        for b in batches:
+        for b in (batch.slice(at, PROBED) for batch in batches for at in range(0, batch.num_rows, PROBED)):
             if not total:
                 continue
-            m = _padded(matrix(b.column("qvec").to_pylist()), pivots.shape[1])
+            m = _padded(_column(b.column("qvec")), pivots.shape[1])
             blank = ~(m != 0).any(axis=1)
             angle = np.zeros((len(m), len(cell)))
             angle[:, with_pivot] = _angles(m, pivots)[:, cell[with_pivot]]
@@ -124,32 +153,61 @@ def _probes(index: PivotIndex, n: int, known: bool):
                 bound = np.take_along_axis(angle - radius, order, axis=1)
                 first = ~first & (bound <= limit[:, None] + SLACK)
             q, k = np.nonzero(first)
-            at = pa.array(q)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("query", "qid", "qvec")] + [pa.array(cell[order[q, k]].astype(np.int32))],
-                                             ["query", "qid", "qvec", "cell"])
+            k = order[q, k]
+            by = np.lexsort((k, shelf[k], q))
+            q, k = q[by], k[by]
+            if not len(q):
+                continue
+            starts = np.nonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(shelf[k]) != 0)]))[0]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.array(cell[k].astype(np.int32)))
+            # A query is repeated for its shelves: few rows at a time.
+            for s in range(0, len(starts), PROBED):
+                own = starts[s:s + PROBED]
+                at = pa.array(q[own])
+                yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("query", "qid", "qvec")]
+                                                 + [pa.array(shelf[k[own]].astype(np.int32)), lists.slice(s, len(own))],
+                                                 ["query", "qid", "qvec", "shelf", "cells"])
 
     return run
 
 
 def _read(index: PivotIndex, probes: DataFrame, n: int, query_rows: int) -> DataFrame:
-    """Top n of every probed cell's part for every query: ``query, qid, token, similarity``."""
-    # Queries of a cell are cut into blocks; a member goes to each of them.
-    asked = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    sides = index.cells.join(asked, "cell").select("cell", "parts", F.ceil(F.col("asked") / query_rows).cast("int").alias("blocks"))
+    """Top n of the probed cells of every shelf's part for every query: ``query, qid, token, similarity``."""
+    # Queries of a shelf are cut into blocks; a member goes to each of them.
+    asked = probes.groupBy("shelf").agg(F.count(F.lit(1)).alias("asked"))
+    parts = index.cells.groupBy("shelf").agg(F.max("parts").alias("parts"))
+    sides = parts.join(asked, "shelf").select("shelf", "parts", F.ceil(F.col("asked") / query_rows).cast("int").alias("blocks"))
     sides = F.broadcast(materialize(sides))   # a row for each pivot at most
-    q = (probes.join(sides, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    q = (probes.join(sides, "shelf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                .withColumn("block", F.pmod(F.xxhash64("query", "qid"), F.col("blocks")).cast("int"))
-               .select("cell", "part", "block", "query", "qid", "qvec"))
-    v = (index.members.join(sides.drop("parts"), "cell")
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "part", "block", "token", "embedding"))
-    keys = ["cell", "part", "block"]
+               .select("shelf", "part", "block", "query", "qid", "qvec", "cells"))
+    v = (index.members.join(sides.drop("parts"), "shelf")
+              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shelf", "part", "block", "cell", "token", "embedding"))
+    keys = ["shelf", "part", "block"]
 
     def block(queries: pa.Table, members: pa.Table) -> pa.Table:
         single_thread_blas()
         if not queries.num_rows or not members.num_rows:
             return _FOUND.empty_table()
-        side = Side(np.array(members.column("token").to_pylist(), dtype=object), matrix(members.column("embedding").to_pylist()))
-        row, token, similarity = topn_side(matrix(queries.column("qvec").to_pylist()), side, n)
+        tokens, cell = np.array(members.column("token").to_pylist(), dtype=object), members.column("cell").to_numpy()
+        M, Q = (_column(t.column(c).combine_chunks()) for t, c in ((members, "embedding"), (queries, "qvec")))
+        lists = queries.column("cells").combine_chunks()
+        wanted, by = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        row, token, similarity = [], [], []
+        for c in np.unique(cell).tolist():
+            asking, own = by[wanted == c], np.nonzero(cell == c)[0]
+            for r in range(0, len(asking), 4096):
+                here, found, s = topn_side(Q[asking[r:r + 4096]], Side(tokens[own], M[own]), n)
+                row.append(asking[r:r + 4096][here])
+                token.append(found)
+                similarity.append(s)
+        row, token, similarity = (np.concatenate(x) if x else np.zeros(0, t) for x, t in
+                                  ((row, np.int64), (token, object), (similarity, np.float64)))
+        # Of its cells' best each query keeps the best n.
+        order = np.lexsort((np.unique(token, return_inverse=True)[1], -similarity, row))
+        row, token, similarity = row[order], token[order], similarity[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < n
+        row, token, similarity = row[best], token[best], similarity[best]
         at = pa.array(row)
         return pa.table([queries.column("query").take(at), queries.column("qid").take(at), pa.array(token, pa.string()),
                          pa.array(similarity, pa.float64(), from_pandas=True)], schema=_FOUND)
@@ -168,7 +226,7 @@ def search_pivot_index(index: PivotIndex, queries: DataFrame, top_n: int = 10, q
     """
     q = materialize(queries.select(F.col(query_col).cast("string").alias("query"), F.col(query_vec).cast("array<double>").alias("qvec"))
                            .dropDuplicates().withColumn("qid", F.xxhash64("qvec")))
-    schema = "query string, qid long, qvec array<double>, cell int"
+    schema = "query string, qid long, qvec array<double>, shelf int, cells array<int>"
     first = materialize(q.mapInArrow(_probes(index, top_n, False), schema))
     found = materialize(_read(index, first, top_n, query_rows))
     best = Window.partitionBy("query", "qid").orderBy(F.col("similarity").desc_nulls_last(), "token")
@@ -179,7 +237,7 @@ def search_pivot_index(index: PivotIndex, queries: DataFrame, top_n: int = 10, q
     every = found.unionByName(_read(index, second, top_n, query_rows))
     out = (every.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top_n)
                 .select("query", "token", "similarity", "rank"))
-    read = first.select("cell").unionByName(second.select("cell")).join(F.broadcast(index.cells), "cell")
+    read = first.unionByName(second).select(F.explode("cells").alias("cell")).join(F.broadcast(index.cells), "cell")
     whole = q.select(F.count(F.lit(1))).scalar() * index.cells.select(F.sum("n")).scalar()
     share = read.agg(F.count(F.lit(1)).alias("cells_read"), (F.sum("n") / whole).alias("share"))
     return out, share
