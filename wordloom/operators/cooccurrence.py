@@ -14,9 +14,15 @@ independent of partitioning.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import NO_ID
 from .joins import salted_lookup
 
 #: Signs that one md5 has.
@@ -39,14 +45,66 @@ def sample_pairs(samples: DataFrame) -> DataFrame:
 def cooccurrence_sketch(samples: DataFrame, dims: int = 16, seed: int = 42) -> DataFrame:
     """L1: ``token_id, n_pairs, sums ARRAY<LONG>`` of every token that is an input of a sample.
 
-    ``sums[k]`` adds the k-th sign of every output the token met.  One hash
-    aggregate: tasks send at most one row for each token they saw.
+    ``sums[k]`` adds the k-th sign of every output the token met.  A task adds up
+    the signs of about ``2**24 / dims`` pairs at a time in NumPy, drawing the signs
+    of an output once; a hash aggregate adds up those rows.
     """
-    signed = sample_pairs(samples).select("token_id", sign_digits("other", dims, seed).alias("digits"))
-    # (digit >= '8') counts the positive signs; the sum of signs is twice that less all.
-    positive = [F.sum((F.substring("digits", k + 1, 1) >= "8").cast("long")).alias(f"p{k}") for k in range(dims)]
-    counts = signed.groupBy("token_id").agg(F.count(F.lit(1)).alias("n_pairs"), *positive)
-    return counts.select("token_id", "n_pairs", F.array(*[2 * F.col(f"p{k}") - F.col("n_pairs") for k in range(dims)]).alias("sums"))
+    kind = samples.schema["inputs"].dataType.elementType
+    names = [f"p{k}" for k in range(dims)]
+    most = max(1 << 14, (1 << 24) // dims)
+
+    def run(batches):
+        kept, n = [], 0
+        for b in batches:
+            for start in range(0, b.num_rows, PAIR_SAMPLES):
+                kept.append(_pair_ids(b.slice(start, PAIR_SAMPLES)))
+                n += len(kept[-1][0])
+                if n >= most:
+                    yield from _positive_signs(kept, dims, seed, names)
+                    kept, n = [], 0
+        yield from _positive_signs(kept, dims, seed, names)
+
+    counted = samples.select("inputs", "outputs").mapInArrow(
+        run, f"token_id {kind.simpleString()}, n_pairs long" + "".join(f", {c} long" for c in names))
+    counts = counted.groupBy("token_id").agg(F.sum("n_pairs").alias("n_pairs"), *[F.sum(c).alias(c) for c in names])
+    # A digit from 8 on is a positive sign; the sum of signs is twice their number less all.
+    return counts.select("token_id", "n_pairs", F.array(*[2 * F.col(c) - F.col("n_pairs") for c in names]).alias("sums"))
+
+
+#: Samples whose pairs are listed together.
+PAIR_SAMPLES = 1 << 14
+
+
+def _pair_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.DataType]:
+    """:func:`sample_pairs` of a batch: inputs, outputs (``NO_ID`` for null), the inputs' type."""
+    lists = [batch.column("inputs"), batch.column("outputs")]
+    n, m = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+    ids, others = (pc.fill_null(x.flatten().cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False) for x in lists)
+    each = n * m
+    row = np.repeat(np.arange(len(each)), each)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    return ids[(np.cumsum(n) - n)[row] + k // m[row]], others[(np.cumsum(m) - m)[row] + k % m[row]], lists[0].type.value_type
+
+
+def _positive_signs(kept: list, dims: int, seed: int, names: list):
+    """A batch with a row for each different input: how many pairs it has, and how many positive signs in each dimension."""
+    if not sum(len(x[0]) for x in kept):
+        return
+    ids, others = (np.concatenate([x[i] for x in kept]) for i in (0, 1))
+    known, place = np.unique(others, return_inverse=True)
+    blocks = -(-dims // DIGITS)
+    # concat_ws leaves a null id out.
+    digest = b"".join(hashlib.md5(b"%s|sign|%d" % (str(seed).encode(), k) + (b"" if i == NO_ID else b"|%d" % i)).digest()
+                      for i in known.tolist() for k in range(blocks))
+    # The first bit of each hex digit.
+    signs = np.unpackbits(np.frombuffer(digest, np.uint8).reshape(len(known), -1), axis=1)[:, ::4][:, :dims]
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.concatenate([[0], np.nonzero(np.diff(ids))[0] + 1])
+    positive = np.add.reduceat(signs[place[order]].astype(np.int32), first, axis=0).astype(np.int64)
+    tokens = ids[first]
+    columns = [pa.array(tokens, mask=tokens == NO_ID).cast(kept[0][2]), pa.array(np.diff(first, append=len(ids)).astype(np.int64))]
+    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(c)) for c in positive.T]], ["token_id", "n_pairs", *names])
 
 
 def merge_sketches(*sketches: DataFrame) -> DataFrame:
