@@ -1,10 +1,14 @@
 """The pipeline's rows against its stages done by brute force."""
 
 import hashlib
+import random
+import tracemalloc
 
 import corpus_pipeline
 import public_tokenizers
-from wordloom.llm import bpe, decontam
+import pyarrow as pa
+from pyspark.sql import functions as F
+from wordloom.llm import bpe, decontam, jaccard, substrings
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +59,54 @@ def test_unlabelled_documents_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = corpus_pipeline.language_id(spark, docs, SF)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 4, 6}
+
+
+def _held(fn, batches):
+    """MB that a map task holds at most beside its input, and its largest output batch."""
+    tracemalloc.start()
+    largest = max(b.nbytes for b in fn(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6, largest / 1e6
+
+
+def test_map_tasks_hold_little():
+    """What a task holds follows neither its input nor its batches."""
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(words, k=300)) for _ in range(5000)]
+    batches = [pa.RecordBatch.from_pydict({"doc": pa.array(range(at, at + 500), pa.int64()), "text": texts[at:at + 500]})
+               for at in range(0, 5000, 500)]
+    peak, largest = _held(substrings._anchor_map(8), batches)
+    assert peak < 40 and largest < 5
+    peak, largest = _held(jaccard._set_map(8), batches)
+    assert peak < 21 and largest < 3
+
+
+def test_stages_send_small_batches(spark):
+    """Whole texts go to Python in batches of BATCH_ROWS rows; a smaller setting of the session stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"),
+                                             F.lit(None).cast("string").alias("lang"))
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(rows, "10000")
+            stage(spark, docs, SF)
+            sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+            assert max(r.n for r in sizes.collect()) <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(rows, "100")
+        corpus_pipeline.encode(spark, docs, SF)
+        assert spark.conf.get(rows) == "100"
+    finally:
+        spark.conf.set(rows, before)
+
+
+def test_an_encoding_task_leaves_no_encoder_behind(monkeypatch):
+    monkeypatch.setattr(bpe, "map_text", lambda *args, setup, **options: setup)
+    bpe.encoder.cache_clear()
+    bpe.load_ranks.cache_clear()
+    many = bpe.encode(None, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)()
+    (ids,), (none,) = many([b"two words", None])
+    assert len(ids) and not len(none)
+    assert bpe.encoder.cache_info().currsize == bpe.load_ranks.cache_info().currsize == 0

@@ -107,12 +107,14 @@ class Ranks:
                 j -= 1
 
 
-@lru_cache(maxsize=4)
-def load_ranks(path: str) -> Ranks:
+def read_ranks(path: str) -> Ranks:
     with open(path, "rb") as f:
         return Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+load_ranks = lru_cache(maxsize=4)(read_ranks)
+
+
 class PrefixTable:
     """Last tokens (as ids) of all prefixes of one byte string, open to appends and edits."""
 
@@ -231,10 +233,11 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """Ids of every text: ``id, ids array<int>``; a null or empty text has no ids.
 
     Rows are independent: repeated rows give repeated results, and null ids
-    are kept.  No row leaves its task, so hot keys do not matter.
+    are kept.  No row leaves its task, so hot keys do not matter.  A task has
+    an encoder of its own, which goes with it (workers outlive their tasks).
     """
     def setup():
-        enc = encoder(path, pattern)
+        enc = Encoder(read_ranks(path), pattern)
         return lambda texts: ((ids.astype(np.int32),) for ids in enc.encode_many([(t or b"").decode() for t in texts]))
 
     return map_text(docs, None, {"ids": "array<int>"}, id_col=id_col, text_col=text_col, setup=setup)

@@ -140,7 +140,7 @@ def map_text(docs: DataFrame, fn: Callable[[bytes | None], tuple] | None, schema
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, out)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(releasing(run), out)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),

@@ -34,6 +34,7 @@ from .exchange import pack, parts_for, runs, unpack
 U = np.uint64
 SHINGLE, NUM, DEN = 5, 80, 100          # words of a shingle; the similarity as a fraction
 SEEDS = 4
+FLUSH = 250_000                         # parity words that a map task holds before it routes them
 _P = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -156,7 +157,7 @@ def _set_map(parts: int):
                 classes.append(f)
                 sizes.append(n)
                 held += len(mine)
-                if held > 1_000_000:
+                if held > FLUSH:
                     yield flush()
                     keys, owner, classes, sizes, held = [], [], [], [], 0
         if keys:

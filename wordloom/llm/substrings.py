@@ -40,8 +40,8 @@ from .exchange import by_part, pack, parts_for, runs, unpack, unpack_all
 
 WIN, GRAM = 50, 16
 REACH = WIN - GRAM                      # a window starts at most so far before its anchor
-SEGMENT, MARGIN = 1 << 20, 2 * WIN      # bytes hashed at once, and what is read around them
-CHUNK = 8 << 20                         # bytes of text whose anchors are combined in a map task
+SEGMENT, MARGIN = 1 << 18, 2 * WIN      # bytes hashed at once, and what is read around them
+CHUNK = 2 << 20                         # bytes of text whose anchors are combined in a map task
 HOT = 4096                              # contexts of one gram, beyond which windows are routed singly
 BLOCK = 8192                            # contexts sorted at once
 U = np.uint64
@@ -131,8 +131,8 @@ def _chunks(batches):
     """(ids, texts) of at most about CHUNK bytes; rows without id or with short texts left out."""
     ids, texts, size = [], [], 0
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
+        for at in range(0, b.num_rows, 128):
+            part = b.slice(at, 128)
             for i, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
                 if i is not None and t is not None and len(t) >= WIN:
                     ids.append(i)
