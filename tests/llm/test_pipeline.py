@@ -81,6 +81,9 @@ def test_map_tasks_hold_little():
     assert peak < 40 and largest < 5
     peak, largest = _held(jaccard._set_map(8), batches)
     assert peak < 21 and largest < 3
+    routed = [b.filter(pa.array([k == "anchors" for k in b.column("kind").to_pylist()])) for b in substrings._anchor_map(1)(iter(batches))]
+    peak, _ = _held(substrings._anchor_reduce, routed)
+    assert peak < 3.2 * sum(b.nbytes for b in routed) / 1e6
 
 
 def test_stages_send_small_batches(spark):

@@ -194,9 +194,9 @@ class PrefixTable:
 class Encoder:
     """Texts to ids and back; pieces met before come from a bounded memo."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
+    def __init__(self, ranks: Ranks, pattern: str, memo: int = 500_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.text_ids = Pieced(self._parts)
+        self.text_ids = Pieced(self._parts, memo)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of sorted parts; a match goes on from the entries of the prefix it shares with the one before."""
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     an encoder of its own, which goes with it (workers outlive their tasks).
     """
     def setup():
-        enc = Encoder(read_ranks(path), pattern)
+        enc = Encoder(read_ranks(path), pattern, memo=100_000)
         return lambda texts: ((ids.astype(np.int32),) for ids in enc.encode_many([(t or b"").decode() for t in texts]))
 
     return map_text(docs, None, {"ids": "array<int>"}, id_col=id_col, text_col=text_col, setup=setup)

@@ -24,6 +24,7 @@ Contexts are compared by two 64-bit hashes (gram and context).
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,8 @@ REACH = WIN - GRAM                      # a window starts at most so far before
 SEGMENT, MARGIN = 1 << 18, 2 * WIN      # bytes hashed at once, and what is read around them
 CHUNK = 2 << 20                         # bytes of text whose anchors are combined in a map task
 HOT = 4096                              # contexts of one gram, beyond which windows are routed singly
-BLOCK = 8192                            # contexts sorted at once
+BLOCK = 2048                            # contexts sorted at once
+PASSES = 4                              # parts of a task's grams that are unpacked one after the other
 U = np.uint64
 
 
@@ -202,19 +204,13 @@ def _pass_on(batches, kinds: tuple[str, ...], keep: list):
             yield b.filter(rest)
 
 
-def _anchor_reduce(batches):
-    got: list = []
-    yield from _pass_on(batches, ("anchors",), got)
-    if not got:
-        return
-    gram, context, doc, place = unpack_all(got)
-    del got
+def _settled(gram, context, doc, place):
+    """Columns (doc, mark, place) of the covered anchors, and (doc, mark, place, gram, hot) of those to ask for."""
     doc = doc.view(np.int64)
     order, start, first = _groups(gram, context, doc)
     g, d = gram[order], doc[order]
     pos, mark = (place[order] & U((1 << 40) - 1)).view(np.int64), (place[order] >> U(40)).view(np.int64)
     later = d > first
-    rows = list(_per_doc(d[later], mark[later], "covered", [pos[later]]))
     # Grams with several contexts, not all of them first seen in one document.
     by_gram = runs(g[start])
     contexts = np.diff(np.append(by_gram, len(start)))
@@ -223,9 +219,33 @@ def _anchor_reduce(batches):
     size = np.diff(np.append(start, len(g)))
     asked = np.repeat(np.repeat(mixed, contexts), size) & ~later
     hot = np.repeat(np.repeat(contexts > HOT, contexts), size)
-    rows += _per_doc(d[asked], mark[asked], "asked", [pos[asked], g[asked], hot[asked].astype(np.int64)])
-    for at in range(0, len(rows), 2000):
-        yield _rows(rows[at:at + 2000])
+    return ((d[later], mark[later], pos[later]),
+            (d[asked], mark[asked], pos[asked], g[asked], hot[asked].astype(np.int64)))
+
+
+def _anchor_reduce(batches):
+    got: list = []
+    yield from _pass_on(batches, ("anchors",), got)
+    # A part of the grams at a time: only the packed records are held whole.
+    covered, asked = [], []
+    for k in range(PASSES):
+        some = []
+        for blob in got:
+            columns = unpack(blob)
+            mine = columns[0] % U(PASSES) == k
+            if mine.any():
+                some.append([c[mine] for c in columns])
+        if some:
+            a, b = _settled(*[np.concatenate(c) for c in zip(*some, strict=True)])
+            covered.append(a)
+            asked.append(b)
+    del got
+    for kind, found in (("covered", covered), ("asked", asked)):
+        if found:
+            doc, mark, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
+            rows = _per_doc(doc, mark, kind, columns)
+            while some := list(islice(rows, 2000)):
+                yield _rows(some)
 
 
 def _context_map(parts: int):
