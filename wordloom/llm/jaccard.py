@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import salted_lookup
-from ..session import materialize
+from ..session import materialize, tasks_for, temporary_tables
 from .common import as_bytes, releasing, slices, space_words
 from .exchange import pack, parts_for, runs, unpack
 
@@ -284,9 +284,9 @@ def _linked(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: first by sketches, then by whole sets."""
-    close = _both(materialize(pairs), sets, {"n": "n", "s": "sketch"}).mapInArrow(releasing(_close), "a long, b long")
+def verify(pairs: DataFrame, sets: DataFrame, most: int | None = None) -> DataFrame:
+    """The pairs (a, b) of classes (at most ``most``, if known) that are similar: first by sketches, then by whole sets."""
+    close = _both(materialize(pairs, rows=most), sets, {"n": "n", "s": "sketch"}).mapInArrow(releasing(_close), "a long, b long")
     return _both(materialize(close), sets, {"h": "hashes"}).mapInArrow(releasing(_linked), "a long, b long")
 
 
@@ -299,22 +299,29 @@ def _both(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFra
     def side(x: str) -> DataFrame:
         return sets.select(F.col("cls").alias(x), *[F.col(v).alias(k + x) for k, v in columns.items()])
 
-    few = pairs.count() <= BROADCAST_CLASSES
-    sent = F.broadcast if few else (lambda df: df)
+    n = pairs.count()
+    sent = F.broadcast if n <= BROADCAST_CLASSES else (lambda df: df)
     second = side("b").join(sent(pairs.select("b").distinct()), "b", "left_semi")
-    return side("a").join(sent(pairs), "a").join(second, "b").select("a", "b", *[k + x for k in columns for x in "ab"])
+    both = side("a").join(sent(pairs), "a").join(second, "b").select("a", "b", *[k + x for k in columns for x in "ab"])
+    return both.coalesce(tasks_for(n, PAIRS_PER_TASK))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """Connected components of (a, b) edges: ``node, root``, the root being the smallest node.
 
     Large-star and small-star rounds, each a grouping with partial minima and
     a join; every round is written to the shared folder.  Nodes without an
-    edge do not appear.
+    edge do not appear.  ``most``: a bound of the number of edges, if known.
+    Partitions follow the number of edges, so that a small graph's rounds are
+    few tasks.
     """
+    def both_ways(e: DataFrame, second) -> DataFrame:
+        ways = F.explode(F.array(F.struct("a", "b"), second))
+        return e.select(ways.alias("e")).select("e.a", "e.b")
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
-            e = e.union(e.select(F.col("b"), F.col("a")))
+            e = both_ways(e, F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
             least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
             moved = e.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -323,20 +330,25 @@ def components(edges: DataFrame) -> DataFrame:
                       .union(least.select("a", F.col("m").alias("b"))))
         return moved.filter(F.col("a") != F.col("b")).distinct()
 
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    before = None
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), rows=most)
+    before, n = None, most
     while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before or state[0] == 0:
-            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+        few = edges if n is None else edges.coalesce(tasks_for(n))
+        state = tuple(few.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        n = state[0]
+        edges = edges.coalesce(tasks_for(n))
+        if state == before or n == 0:
+            return both_ways(edges, F.struct(F.col("b").alias("a"), "b")).distinct().toDF("node", "root")
         before = state
-        edges = materialize(star(materialize(star(edges, True)), False))
+        edges = materialize(star(materialize(star(edges, True), rows=n).coalesce(tasks_for(n)), False), rows=2 * n)
+        n *= 2
 
 
 TILE = 4096
 #: Classes that share a key, up to which their ids (16 bytes each) go to all tasks; beyond, texts are shuffled to them.
 BROADCAST_CLASSES = 1_000_000
+#: Pairs that a task compares at least.
+PAIRS_PER_TASK = 4096
 
 
 def _bucket_pairs(batches):
@@ -419,24 +431,32 @@ def elected(votes: DataFrame) -> DataFrame:
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
-def merge(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after links between classes: ``cls, comp``."""
+def merge(comps: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """Components after links between classes: ``cls, comp``, of ``n`` rows as before."""
     def name(x: str) -> DataFrame:
         return comps.select(F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
 
-    joined = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return materialize(comps.join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left")
-                            .select("cls", F.coalesce("root", "comp").alias("comp")))
+    with temporary_tables(comps.sparkSession):
+        links = materialize(links)
+        many = links.count()
+        if not many:
+            return comps
+        sent = F.broadcast if many <= BROADCAST_CLASSES else (lambda df: df)
+        edges = name("b").join(sent(name("a").join(sent(links), "a")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(edges, many)
+        return materialize(comps.join(sent(joined.withColumnRenamed("node", "comp")), "comp", "left")
+                                .select("cls", F.coalesce("root", "comp").alias("comp")), rows=n, keep=True)
 
 
-def cross_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, small: int = 8) -> DataFrame:
+def cross_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, small: int = 8, most: int | None = None) -> DataFrame:
     """Pairs of classes that share a bucket but no component, without those that sizes or sketches rule out.
 
     Buckets of up to ``small`` classes give their pairs by a self-join; larger
     ones are cut into tiles of at most about ``TILE`` classes a side, in which
-    sketches are compared before a pair is given out.
+    sketches are compared before a pair is given out.  ``most``: a bound of the
+    buckets' rows, if known.
     """
-    rows = materialize(open_buckets(buckets, comps))
+    rows = materialize(open_buckets(buckets, comps), rows=most)
     few = rows.filter(F.col("g") <= small)
 
     def side(x: str) -> DataFrame:
@@ -472,6 +492,32 @@ def _class_sets(batches):
                 ["cls", "n", "sketch", "hashes"])
 
 
+def _class_components(base: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``cls, component_id, copies``: each class of equal sets with the smallest id of its component."""
+    classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
+    most = classes.count()
+    buckets = _unpacked(found, "buckets", ["bucket", "cls", "n", "g"])
+    own = materialize(buckets.select("cls").distinct().select("cls", F.col("cls").alias("comp")), rows=most)
+    n = own.count()
+    needed = classes.join(own, "cls").select("cls", F.col("rep").alias("doc"))
+    texts = base.filter(F.col("doc").isNotNull())
+    texts = texts.join(F.broadcast(needed) if n <= BROADCAST_CLASSES else needed, "doc")
+    sets = materialize(texts.select("cls", "text")
+                            .mapInArrow(releasing(_class_sets), "cls long, n long, sketch binary, hashes binary"))
+    votes = _unpacked(found, "votes", ["a", "b", "votes"]).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    comps = merge(own, verify(elected(votes), sets, n), n)
+    left = materialize(open_buckets(buckets, comps))
+    many = left.count()
+    company = materialize(left.groupBy("cls").agg(F.sum("g").alias("company")), rows=n)
+    comps = merge(comps, verify(star_pairs(left.join(_small(company), "cls"), F.col("company")), sets, n), n)
+    left = materialize(open_buckets(left.drop("comp", "lead"), comps), rows=many)
+    comps = merge(comps, verify(star_pairs(left, F.xxhash64("cls")), sets, n), n)
+    comps = merge(comps, verify(cross_pairs(left.drop("comp", "lead"), comps, sets, most=many), sets), n)
+    named = classes.join(comps, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    return materialize(named.join(least, "comp").select("cls", "component_id", "copies"), rows=most, keep=True)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` per row: the smallest id reachable by links, itself included.
 
@@ -485,25 +531,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                             .repartition(parts, F.coalesce("part", F.pmod(F.xxhash64("data"), F.lit(parts)).cast("int")))
                             .mapInArrow(releasing(_bucket_reduce), "kind string, data binary"))
     rows = _unpacked(found, "docs", ["doc", "n", "cls"])
-    classes = materialize(rows.filter("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    buckets = _unpacked(found, "buckets", ["bucket", "cls", "n", "g"])
-    own = materialize(buckets.select("cls").distinct().select("cls", F.col("cls").alias("comp")))
-    needed = classes.join(own, "cls").select("cls", F.col("rep").alias("doc"))
-    texts = base.filter(F.col("doc").isNotNull())
-    texts = texts.join(F.broadcast(needed) if own.count() <= BROADCAST_CLASSES else needed, "doc")
-    sets = materialize(texts.select("cls", "text")
-                            .mapInArrow(releasing(_class_sets), "cls long, n long, sketch binary, hashes binary"))
-    votes = _unpacked(found, "votes", ["a", "b", "votes"]).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    comps = merge(own, verify(elected(votes), sets))
-    left = materialize(open_buckets(buckets, comps))
-    company = materialize(left.groupBy("cls").agg(F.sum("g").alias("company")))
-    comps = merge(comps, verify(star_pairs(left.join(_small(company), "cls"), F.col("company")), sets))
-    left = materialize(open_buckets(left.drop("comp", "lead"), comps))
-    comps = merge(comps, verify(star_pairs(left, F.xxhash64("cls")), sets))
-    comps = merge(comps, verify(cross_pairs(left.drop("comp", "lead"), comps, sets), sets))
-    named = classes.join(comps, "cls", "left").select("cls", "rep", "copies", F.coalesce("comp", "cls").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    dim = materialize(named.join(least, "comp").select("cls", "component_id", "copies"))
+    with temporary_tables(docs.sparkSession):
+        dim = _class_components(base, found, rows)
     linked = salted_lookup(rows, dim, "cls", weight_col="copies", how="left", salt_cols=["doc"])
     return linked.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
                          F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
@@ -516,7 +545,9 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id.  The ids to drop go to all tasks up to ``BROADCAST_CLASSES``;
     beyond, rows are shuffled to them.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    drop = materialize(near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct())
+    with temporary_tables(docs.sparkSession):
+        near = near_duplicates(docs, id_col=id_col, text_col=text_col)
+        drop = near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct()
+        drop = materialize(drop, keep=True)
     side = F.broadcast(drop) if drop.count() <= BROADCAST_CLASSES else drop
     return docs.join(side, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
