@@ -18,7 +18,8 @@ built, nor common prefixes or longest previous factors beyond ``WIN`` bytes:
    their own content, so that no group grows with the corpus.
 4. The covered stretches are merged per document and cut out.
 
-Contexts are compared by two 64-bit hashes (gram and context).
+Contexts are compared by 104 bits of hashes (40 of the gram, 64 of the context,
+which holds the gram's bytes).  Grams that agree in 40 bits only cost a comparison.
 """
 
 from __future__ import annotations
@@ -27,17 +28,16 @@ import hashlib
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import materialize
 from .common import as_bytes, releasing
-from .exchange import by_part, pack, parts_for, runs, unpack, unpack_all
+from .exchange import pack, parts_for, runs, unpack, unpack_all
 
 WIN, GRAM = 50, 16
 REACH = WIN - GRAM                      # a window starts at most so far before its anchor
@@ -46,6 +46,7 @@ CHUNK = 2 << 20                         # bytes of text whose anchors are combin
 HOT = 4096                              # contexts of one gram, beyond which windows are routed singly
 BLOCK = 2048                            # contexts sorted at once
 PASSES = 4                              # parts of a task's grams that are unpacked one after the other
+KEY = (1 << 40) - 1                     # bits of a gram's hash that are sent
 U = np.uint64
 
 
@@ -174,20 +175,39 @@ def _per_doc(doc: np.ndarray, mark: np.ndarray, kind: str, columns: list[np.ndar
         yield (None, int(doc[i[0]]), int(mark[i[0]]), kind, pack([c[i] for c in columns]))
 
 
+def _pack_anchors(gram, context, text, pos, ids, marks) -> bytes:
+    """Records in the order of their texts: ids and marks once for a text, then whether a record begins one."""
+    used, index = np.unique(text, return_inverse=True)
+    head = pack([ids[used], marks[used]])
+    return len(head).to_bytes(8, "little") + head + pack([gram, context, np.diff(index, prepend=0), pos])
+
+
+def _unpack_anchors(blob: bytes) -> list[np.ndarray]:
+    """gram, context, doc, mark, place of :func:`_pack_anchors`."""
+    k = int.from_bytes(blob[:8], "little")
+    ids, marks = (c.view(np.int64) for c in unpack(blob[8:8 + k]))
+    gram, context, step, pos = unpack(blob[8 + k:])
+    index = np.cumsum(step.view(np.int64))
+    return [gram, context, ids[index], marks[index], pos.view(np.int64)]
+
+
 def _anchor_map(parts: int):
     def run(batches):
         for ids, texts in _chunks(batches):
             doc_ids, marks = np.array(ids, np.int64), np.array([_mark(t) for t in texts], np.int64)
             buf = np.frombuffer(b"".join(texts), np.uint8)
             text, pos, gram, context = text_anchors(buf, np.array([len(t) for t in texts], np.int64))
+            gram &= U(KEY)
             doc, mark = doc_ids[text], marks[text]
             order, _, first = _groups(gram, context, doc)
             later = np.zeros(len(doc), bool)
             later[order] = doc[order] > first
             rows = list(_per_doc(doc[later], mark[later], "covered", [pos[later]]))
-            k = ~later
-            rows += [(p, None, None, "anchors", data) for p, data in
-                     by_part(gram[k] >> U(8), parts, [gram[k], context[k], doc[k], (pos | mark << 40)[k]])]
+            k = np.flatnonzero(~later)
+            part = ((gram[k] >> U(8)) % U(parts)).astype(np.int64)
+            k, edges = k[np.argsort(part, kind="stable")], np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+            rows += [(p, None, None, "anchors", _pack_anchors(gram[i], context[i], text[i], pos[i], doc_ids, marks))
+                     for p in range(parts) if len(i := k[edges[p]:edges[p + 1]])]
             for at in range(0, len(rows), 2000):
                 yield _rows(rows[at:at + 2000])
     return run
@@ -204,12 +224,11 @@ def _pass_on(batches, kinds: tuple[str, ...], keep: list):
             yield b.filter(rest)
 
 
-def _settled(gram, context, doc, place):
+def _settled(gram, context, doc, mark, pos):
     """Columns (doc, mark, place) of the covered anchors, and (doc, mark, place, gram, hot) of those to ask for."""
-    doc = doc.view(np.int64)
     order, start, first = _groups(gram, context, doc)
     g, d = gram[order], doc[order]
-    pos, mark = (place[order] & U((1 << 40) - 1)).view(np.int64), (place[order] >> U(40)).view(np.int64)
+    pos, mark = pos[order], mark[order]
     later = d > first
     # Grams with several contexts, not all of them first seen in one document.
     by_gram = runs(g[start])
@@ -231,7 +250,7 @@ def _anchor_reduce(batches):
     for k in range(PASSES):
         some = []
         for blob in got:
-            columns = unpack(blob)
+            columns = _unpack_anchors(blob)
             mine = columns[0] % U(PASSES) == k
             if mine.any():
                 some.append([c[mine] for c in columns])
@@ -251,6 +270,7 @@ def _anchor_reduce(batches):
 def _context_map(parts: int):
     """Contexts (or, of hot grams, windows) of the asked anchors, routed by gram (by content)."""
     def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             cols = [[], [], [], [], [], []]  # gram, doc, mark, start, length, which text
             texts, single = [], []
@@ -290,7 +310,7 @@ def _context_map(parts: int):
                 if len(at):
                     data = b"".join(texts[t][s:s + n] for t, s, n in zip(which[at].tolist(), start[at].tolist(), length[at].tolist(), strict=True))
                     head = pack([gram[at], doc[at], mark[at], start[at], length[at]])
-                    rows.append((p, None, None, "contexts", len(head).to_bytes(8, "little") + head + data))
+                    rows.append((p, None, None, "contexts", len(head).to_bytes(8, "little") + head + press.compress(data)))
             for at in range(0, len(rows), 500):
                 yield _rows(rows[at:at + 500])
     return run
@@ -338,7 +358,7 @@ def _context_reduce(batches):
     for blob in got:
         k = int.from_bytes(blob[:8], "little")
         heads.append(blob[8:8 + k])
-        texts.append(np.frombuffer(blob, np.uint8, offset=8 + k))
+        texts.append(np.frombuffer(zstandard.decompress(blob[8 + k:]), np.uint8))
     del got
     gram, doc, mark, place, length = (c.view(np.int64) for c in unpack_all(heads))
     data = np.concatenate(texts)
@@ -389,35 +409,37 @@ def _pack_texts(batches):
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
             texts = [t or b"" for t in as_bytes(part.column("text"))]
+            ids = part.column("doc").to_pylist()
+            # A row without id gets a mark that no other row has a record for.
+            marks = [_mark(t) if i is not None else -1 - _mark(t) for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc"), pa.array([_mark(t) for t in texts], pa.int32()),
+                [part.column("row"), part.column("doc").fill_null(0), pa.array(marks, pa.int32()),
                  pa.array([press.compress(t) for t in texts], pa.binary())], ["row", "doc", "mark", "z"])
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Covered places per document: ``doc, mark, kinds, blobs`` (internal form, for :func:`dedup` and :func:`report`)."""
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns but the text), packed text ``z`` (null for a null text) and covered ``places`` (kind, data).
+
+    Both joins read the same packed texts by the same keys, so that Spark shuffles them once.  Nothing may
+    filter or prune one of the two: the keys are never null, and ``row`` goes along.
+    """
     parts = parts_for(docs)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = materialize(base.mapInArrow(releasing(_anchor_map(parts)), _ROUTED_SQL)
                             .repartition(parts, F.coalesce("part", F.pmod(F.hash("doc"), F.lit(parts))))
                             .mapInArrow(releasing(_anchor_reduce), _ROUTED_SQL))
     asked = (found.filter(F.col("kind") == "asked").groupBy("doc", "mark").agg(F.collect_list("data").alias("asked")))
-    texts = base.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= WIN)).select(F.lit(0).alias("row"), "doc", "text")
-    texts = texts.mapInArrow(releasing(_pack_texts), "row int, doc long, mark int, z binary")
-    windows = (texts.join(asked, ["doc", "mark"]).select("doc", "mark", "z", "asked").mapInArrow(releasing(_context_map(parts)), _ROUTED_SQL)
-                    .repartition(parts, F.coalesce("part", F.pmod(F.hash("doc"), F.lit(parts))))
-                    .mapInArrow(releasing(_context_reduce), _ROUTED_SQL))
-    return (found.filter(F.col("kind") == "covered").unionByName(windows).groupBy("doc", "mark")
-                 .agg(F.collect_list(F.struct("kind", "data")).alias("places")))
-
-
-def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row`` (all columns but the text), packed text ``z`` (null for a null text) and ``places``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("__null"))
     texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["row"].dataType.simpleString()
-    packed = texts.mapInArrow(releasing(_pack_texts), f"row {kind}, doc long, mark int, z binary")
-    return packed.join(spans(docs, id_col=id_col, text_col=text_col), ["doc", "mark"], "left")
+    packed = texts.mapInArrow(releasing(_pack_texts), f"row {kind}, doc long not null, mark int not null, z binary")
+    windows = (packed.join(asked, ["doc", "mark"]).select("row", "doc", "mark", "z", "asked")
+                     .mapInArrow(releasing(_context_map(parts)), _ROUTED_SQL)
+                     .repartition(parts, F.coalesce("part", F.pmod(F.hash("doc"), F.lit(parts))))
+                     .mapInArrow(releasing(_context_reduce), _ROUTED_SQL))
+    places = (found.filter(F.col("kind") == "covered").unionByName(windows).groupBy("doc", "mark")
+                   .agg(F.collect_list(F.struct("kind", "data")).alias("places")))
+    return packed.join(places, ["doc", "mark"], "left")
 
 
 def _finish(batches, out):
@@ -447,36 +469,32 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b, rows in _finish(batches, digest):
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, t) for c, t in zip(
+            yield pa.RecordBatch.from_arrays([b.column("row").flatten()[0], *[pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), struct), strict=True)]],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     got = _with_spans(docs.select(id_col, text_col), id_col, text_col)
     id_type = dict(docs.dtypes)[id_col]
-    return (got.select(F.col(f"row.`{id_col}`").alias("id"), "z", "places")
+    return (got.select("row", "z", "places")
                .mapInArrow(releasing(run), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                 "spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col))
 
 
-@F.pandas_udf(StringType())
-def _kept_text(z: pd.Series, places: pd.Series) -> pd.Series:
-    def one(raw, found):
-        text = zstandard.decompress(raw)
-        found = [] if found is None else found
-        kept = cut(text, _spans([p["kind"] for p in found], [p["data"] for p in found], len(text)))
-        return kept.decode(errors="ignore")
-    return pd.Series([one(a, b) for a, b in zip(z, places, strict=True)])
-
-
-#: Kept from being evaluated once more for a filter on the text.
-_kept_text = _kept_text.asNondeterministic()
-
-
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of long strings cut from the texts, same rows and columns.
 
     A cut may leave part of a character's bytes; such bytes are dropped from the text.
     """
-    got = _with_spans(docs, id_col, text_col)
-    text = F.when(~F.col("row.__null"), _kept_text("z", "places"))
-    return got.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    def kept(text, found):
+        return (cut(text, found).decode(errors="ignore"),)
+
+    def run(batches):
+        for b, rows in _finish(batches, kept):
+            *fields, null = b.column("row").flatten()
+            text = pa.array([None if n else t for (t,), n in zip(rows, null.to_pylist(), strict=True)], pa.string())
+            fields = iter(fields)
+            yield pa.RecordBatch.from_arrays([text if c == text_col else next(fields) for c in docs_columns], docs_columns)
+
+    docs_columns = docs.columns
+    schema = StructType([StructField(c.name, StringType() if c.name == text_col else c.dataType) for c in docs.schema])
+    return _with_spans(docs, id_col, text_col).select("row", "z", "places").mapInArrow(releasing(run), schema)
