@@ -183,12 +183,12 @@ def _pack_anchors(gram, context, text, pos, ids, marks) -> bytes:
 
 
 def _unpack_anchors(blob: bytes) -> list[np.ndarray]:
-    """gram, context, doc, mark, place of :func:`_pack_anchors`."""
+    """gram, context, doc, and place with the mark above 40 bits, of :func:`_pack_anchors`."""
     k = int.from_bytes(blob[:8], "little")
     ids, marks = (c.view(np.int64) for c in unpack(blob[8:8 + k]))
     gram, context, step, pos = unpack(blob[8 + k:])
     index = np.cumsum(step.view(np.int64))
-    return [gram, context, ids[index], marks[index], pos.view(np.int64)]
+    return [gram, context, ids[index], pos | marks.view(U)[index] << U(40)]
 
 
 def _anchor_map(parts: int):
@@ -224,11 +224,12 @@ def _pass_on(batches, kinds: tuple[str, ...], keep: list):
             yield b.filter(rest)
 
 
-def _settled(gram, context, doc, mark, pos):
+def _settled(gram, context, doc, place):
     """Columns (doc, mark, place) of the covered anchors, and (doc, mark, place, gram, hot) of those to ask for."""
     order, start, first = _groups(gram, context, doc)
     g, d = gram[order], doc[order]
-    pos, mark = pos[order], mark[order]
+    place = place[order]
+    pos, mark = (place & U((1 << 40) - 1)).view(np.int64), (place >> U(40)).view(np.int64)
     later = d > first
     # Grams with several contexts, not all of them first seen in one document.
     by_gram = runs(g[start])
@@ -255,7 +256,9 @@ def _anchor_reduce(batches):
             if mine.any():
                 some.append([c[mine] for c in columns])
         if some:
-            a, b = _settled(*[np.concatenate(c) for c in zip(*some, strict=True)])
+            columns = [np.concatenate(c) for c in zip(*some, strict=True)]
+            some.clear()
+            a, b = _settled(*columns)
             covered.append(a)
             asked.append(b)
     del got
