@@ -11,11 +11,15 @@ built, nor common prefixes or longest previous factors beyond ``WIN`` bytes:
    one context the smallest id stays, the context is covered in all others.
    Map tasks do this among their own anchors first, so a group of copies sends
    one record per task.
-3. *Different contexts of one gram* (edges of copies, edits).  The contexts are
-   fetched from their first documents and cut into their windows, which are
+3. *Different contexts of one gram* (edges of copies, edits).  Two contexts
+   share a window only if the bytes that they share before the gram and behind
+   it are ``REACH`` together, so on one side they share half of that.  Hashes of
+   these halves tell which contexts have such a partner; grams that agree by
+   chance, of which a growing corpus has ever more, go no further.  The others'
+   contexts are fetched from their first documents and cut into their windows, which are
    sorted as strings of ``WIN`` bytes; a window is covered if a smaller document
-   is in its group of equal ones.  Windows of a gram with very many contexts are first routed by
-   their own content, so that no group grows with the corpus.
+   is in its group of equal ones.  Of a gram with very many contexts, stretches
+   of a few windows are routed by the bytes that all of these hold.
 4. The covered stretches are merged per document and cut out.
 
 Contexts are compared by 104 bits of hashes (40 of the gram, 64 of the context,
@@ -41,10 +45,13 @@ from .exchange import pack, parts_for, runs, unpack, unpack_all
 
 WIN, GRAM = 50, 16
 REACH = WIN - GRAM                      # a window starts at most so far before its anchor
+HALF = REACH // 2                       # two contexts with a common window share so many bytes before or behind the gram
 SEGMENT, MARGIN = 1 << 18, 2 * WIN      # bytes hashed at once, and what is read around them
 CHUNK = 2 << 20                         # bytes of text whose anchors are combined in a map task
-HOT = 4096                              # contexts of one gram, beyond which windows are routed singly
+HOT = 4096                              # contexts of one gram, beyond which they are routed in stretches
+STRETCHES = ((0, 8), (9, HALF), (HALF + 1, 26), (27, REACH))  # windows that go together then, by how many bytes before the gram they start
 BLOCK = 2048                            # contexts sorted at once
+ROWS = 1 << 18                          # windows of one group sorted at once
 PASSES = 4                              # parts of a task's grams that are unpacked one after the other
 KEY = (1 << 40) - 1                     # bits of a gram's hash that are sent
 U = np.uint64
@@ -99,6 +106,24 @@ def context_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c
 
 
+def half_hashes(buf: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ``HALF`` bytes before each gram (low 16 bits) and behind it (the 16 above), 0 where the text ends before.
+
+    ``begin`` and ``end`` are those of the anchors' texts.
+    """
+    v = _loads(buf)
+    out = np.zeros(len(at), U)
+    for low, full, first in ((0, at - HALF >= begin, -HALF), (16, at + GRAM + HALF <= end, GRAM)):
+        place = at[full] + first
+        h = np.zeros(len(place), U)
+        for shift in (*range(0, HALF - 8, 8), HALF - 8):
+            h ^= v[place + shift]
+            h *= U(0x9FB21C651E98DF25)
+            h ^= h >> U(31)
+        out[full] |= np.maximum(h >> U(48), U(1)) << U(low)
+    return out
+
+
 def text_anchors(buf: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place, gram hash, context hash) for texts end to end in ``buf``.
 
@@ -175,20 +200,20 @@ def _per_doc(doc: np.ndarray, mark: np.ndarray, kind: str, columns: list[np.ndar
         yield (None, int(doc[i[0]]), int(mark[i[0]]), kind, pack([c[i] for c in columns]))
 
 
-def _pack_anchors(gram, context, text, pos, ids, marks) -> bytes:
+def _pack_anchors(gram, context, text, pos, ids, marks, *halves) -> bytes:
     """Records in the order of their texts: ids and marks once for a text, then whether a record begins one."""
     used, index = np.unique(text, return_inverse=True)
     head = pack([ids[used], marks[used]])
-    return len(head).to_bytes(8, "little") + head + pack([gram, context, np.diff(index, prepend=0), pos])
+    return len(head).to_bytes(8, "little") + head + pack([gram, context, np.diff(index, prepend=0), pos, *halves])
 
 
 def _unpack_anchors(blob: bytes) -> list[np.ndarray]:
-    """gram, context, doc, and place with the mark above 40 bits, of :func:`_pack_anchors`."""
+    """gram, context, doc[, halves], and place with the mark above 40 bits, of :func:`_pack_anchors`."""
     k = int.from_bytes(blob[:8], "little")
     ids, marks = (c.view(np.int64) for c in unpack(blob[8:8 + k]))
-    gram, context, step, pos = unpack(blob[8 + k:])
+    gram, context, step, pos, *halves = unpack(blob[8 + k:])
     index = np.cumsum(step.view(np.int64))
-    return [gram, context, ids[index], pos | marks.view(U)[index] << U(40)]
+    return [gram, context, ids[index], *halves, pos | marks.view(U)[index] << U(40)]
 
 
 def _anchor_map(parts: int):
@@ -196,7 +221,8 @@ def _anchor_map(parts: int):
         for ids, texts in _chunks(batches):
             doc_ids, marks = np.array(ids, np.int64), np.array([_mark(t) for t in texts], np.int64)
             buf = np.frombuffer(b"".join(texts), np.uint8)
-            text, pos, gram, context = text_anchors(buf, np.array([len(t) for t in texts], np.int64))
+            lens = np.array([len(t) for t in texts], np.int64)
+            text, pos, gram, context = text_anchors(buf, lens)
             gram &= U(KEY)
             doc, mark = doc_ids[text], marks[text]
             order, _, first = _groups(gram, context, doc)
@@ -206,7 +232,11 @@ def _anchor_map(parts: int):
             k = np.flatnonzero(~later)
             part = ((gram[k] >> U(8)) % U(parts)).astype(np.int64)
             k, edges = k[np.argsort(part, kind="stable")], np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
-            rows += [(p, None, None, "anchors", _pack_anchors(gram[i], context[i], text[i], pos[i], doc_ids, marks))
+            ends = np.cumsum(lens)
+            begins = ends - lens
+            halves = np.zeros(len(gram), U)
+            halves[k] = half_hashes(buf, begins[text[k]] + pos[k], begins[text[k]], ends[text[k]])
+            rows += [(p, None, None, "anchors", _pack_anchors(gram[i], context[i], text[i], pos[i], doc_ids, marks, halves[i]))
                      for p in range(parts) if len(i := k[edges[p]:edges[p + 1]])]
             for at in range(0, len(rows), 2000):
                 yield _rows(rows[at:at + 2000])
@@ -224,8 +254,25 @@ def _pass_on(batches, kinds: tuple[str, ...], keep: list):
             yield b.filter(rest)
 
 
-def _settled(gram, context, doc, place):
-    """Columns (doc, mark, place) of the covered anchors, and (doc, mark, place, gram, hot) of those to ask for."""
+def _partnered(gram: np.ndarray, halves: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """On which sides (1 before, 2 behind) a context shares its gram's half with one that another document has first."""
+    out = np.zeros(len(gram), np.int64)
+    for side, low in ((1, 0), (2, 16)):
+        half = halves >> U(low) & U(0xFFFF)
+        k = np.flatnonzero(half)
+        k = k[np.lexsort((half[k], gram[k]))]
+        if len(k):
+            start = runs(gram[k], half[k])
+            several = np.minimum.reduceat(head[k], start) != np.maximum.reduceat(head[k], start)
+            out[k] |= np.repeat(np.where(several, side, 0), np.diff(np.append(start, len(k))))
+    return out
+
+
+def _settled(gram, context, doc, halves, place):
+    """Columns (doc, mark, place) of the covered anchors, and (doc, mark, place, gram, sides) of those to ask for.
+
+    ``sides``: those with a partner, and 4 for a gram with very many such contexts.
+    """
     order, start, first = _groups(gram, context, doc)
     g, d = gram[order], doc[order]
     place = place[order]
@@ -235,12 +282,15 @@ def _settled(gram, context, doc, place):
     by_gram = runs(g[start])
     contexts = np.diff(np.append(by_gram, len(start)))
     heads = d[start]
-    mixed = (contexts > 1) & (np.minimum.reduceat(heads, by_gram) != np.maximum.reduceat(heads, by_gram))
-    size = np.diff(np.append(start, len(g)))
-    asked = np.repeat(np.repeat(mixed, contexts), size) & ~later
-    hot = np.repeat(np.repeat(contexts > HOT, contexts), size)
+    mixed = np.repeat((contexts > 1) & (np.minimum.reduceat(heads, by_gram) != np.maximum.reduceat(heads, by_gram)), contexts)
+    sides = np.zeros(len(start), np.int64)
+    sides[mixed] = _partnered(g[start[mixed]], halves[order[start[mixed]]], heads[mixed])
+    hot = np.repeat(np.add.reduceat((sides > 0).astype(np.int64), by_gram) > HOT, contexts)
+    sides[hot & (sides > 0)] |= 4
+    sides = np.repeat(sides, np.diff(np.append(start, len(g))))
+    asked = (sides > 0) & ~later
     return ((d[later], mark[later], pos[later]),
-            (d[asked], mark[asked], pos[asked], g[asked], hot[asked].astype(np.int64)))
+            (d[asked], mark[asked], pos[asked], g[asked], sides[asked]))
 
 
 def _anchor_reduce(batches):
@@ -262,6 +312,9 @@ def _anchor_reduce(batches):
             covered.append(a)
             asked.append(b)
     del got
+    if not any(len(c[0]) for c in covered + asked):
+        yield pa.RecordBatch.from_pylist([], _ROUTED)
+        return
     for kind, found in (("covered", covered), ("asked", asked)):
         if found:
             doc, mark, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -270,38 +323,53 @@ def _anchor_reduce(batches):
                 yield _rows(some)
 
 
+def _stretches(text: bytes, pos: np.ndarray, gram: np.ndarray, sides: np.ndarray):
+    """(key, start, length, hash) of what is routed for a text's anchors; the hash is 0 for contexts of a gram's own key.
+
+    A window that starts ``o`` bytes before the gram has a partner only if the
+    contexts share ``o`` bytes before the gram and ``REACH - o`` behind it.
+    """
+    low = np.maximum(np.where(sides & 2, 0, HALF + 1), pos + WIN - len(text))
+    high = np.minimum(np.where(sides & 1, REACH, HALF), pos)
+    cool = (sides < 4) & (low <= high)
+    out = [(gram[cool], pos[cool] - high[cool], WIN + high[cool] - low[cool], np.zeros(cool.sum(), U))]
+    for k, (a, b) in enumerate(STRETCHES):
+        some = (sides >= 4) & (np.maximum(low, a) <= np.minimum(high, b))
+        if some.any():
+            p, start, length = pos[some], pos[some] - np.minimum(high[some], b), WIN + np.minimum(high[some], b) - np.maximum(low[some], a)
+            # every window of the stretch holds these bytes, whichever of them a text has
+            key = [xxhash.xxh64_intdigest(text[x - a:x - b + WIN], k) for x in p.tolist()]
+            whole = [xxhash.xxh64_intdigest(text[x:x + n], n << 8 | k) or 1 for x, n in zip(start.tolist(), length.tolist(), strict=True)]
+            out.append((np.array(key, U), start, length, np.array(whole, U)))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 def _context_map(parts: int):
-    """Contexts (or, of hot grams, windows) of the asked anchors, routed by gram (by content)."""
+    """Contexts (or, of hot grams, stretches of them) of the asked anchors, routed by gram (by content)."""
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            cols = [[], [], [], [], [], []]  # gram, doc, mark, start, length, which text
-            texts, single = [], []
+            cols = [[], [], [], [], [], [], []]  # key, doc, mark, start, length, hash, which text
+            texts = []
             for doc, mark, z, asked in zip(*(b.column(c).to_pylist() for c in ("doc", "mark", "z", "asked")), strict=True):
                 text = zstandard.decompress(z)
-                pos, gram, hot = unpack_all(asked)
-                pos = pos.view(np.int64)
-                start, end = np.maximum(0, pos - REACH), np.minimum(len(text), pos + WIN)
-                h = hot > 0
-                if h.any():
-                    # every window of a hot gram's contexts, keyed by its content
-                    s = np.unique(np.concatenate([np.arange(x, y - WIN + 1) for x, y in zip(start[h], end[h], strict=True)]))
-                    w = np.array([xxhash.xxh64_intdigest(text[x:x + WIN]) for x in s.tolist()], U)
-                    gram, start, end = np.concatenate([gram[~h], w]), np.concatenate([start[~h], s]), np.concatenate([end[~h], s + WIN])
-                single.append(np.arange(len(gram)) >= (~h).sum())
-                for c, v in zip(cols, (gram, np.full(len(gram), doc), np.full(len(gram), mark), start, end - start,
-                                       np.full(len(gram), len(texts))), strict=True):
+                pos, gram, sides = unpack_all(asked)
+                key, start, length, whole = _stretches(text, pos.view(np.int64), gram, sides.view(np.int64))
+                for c, v in zip(cols, (key, np.full(len(key), doc), np.full(len(key), mark), start, length, whole,
+                                       np.full(len(key), len(texts))), strict=True):
                     c.append(v)
                 texts.append(text)
             if not texts:
                 continue
-            gram, doc, mark, start, length, which = (np.concatenate(c) for c in cols)
-            # Of the single windows, a batch sends the first document's and settles the others itself.
-            single = np.flatnonzero(np.concatenate(single))
-            order = single[np.lexsort((doc[single], gram[single]))]
-            heads = runs(gram[order])
-            later = order[np.repeat(doc[order][heads], np.diff(np.append(heads, len(order)))) < doc[order]]
-            rows = list(_per_doc(doc[later], mark[later], "windows", [start[later]]))
+            gram, doc, mark, start, length, whole, which = (np.concatenate(c) for c in cols)
+            # Of equal stretches, a batch sends the first document's and settles the others itself.
+            single = np.flatnonzero(whole)
+            order = single[np.lexsort((doc[single], whole[single], gram[single]))]
+            heads = runs(gram[order], whole[order])
+            later = order[np.repeat(doc[order[heads]], np.diff(np.append(heads, len(order)))) < doc[order]]
+            n = length[later] - WIN + 1
+            windows = np.repeat(start[later], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows = list(_per_doc(np.repeat(doc[later], n), np.repeat(mark[later], n), "windows", [windows]))
             keep = np.ones(len(gram), bool)
             keep[later] = False
             gram, doc, mark, start, length, which = (c[keep] for c in (gram, doc, mark, start, length, which))
@@ -342,6 +410,20 @@ def covered_windows(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc
     n = length - WIN + 1
     record = np.repeat(np.arange(len(start)), n)
     offset = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
+    parts = -(-len(record) // ROWS)
+    if parts > 1:
+        # Equal windows have equal ends, by which they are dealt out and sorted one part after the other.
+        v, at = _loads(data), start[record] + offset
+        ends = (v[at] * U(0x9E3779B97F4A7C15)) ^ v[at + WIN - 8]
+        ends *= U(0x9FB21C651E98DF25)
+        part = (ends >> U(32)) % U(parts)
+        del ends, at
+        found = [_covered(data, start, doc, record[mine], offset[mine]) for p in range(parts) if len(mine := np.flatnonzero(part == U(p)))]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    return _covered(data, start, doc, record, offset)
+
+
+def _covered(data: np.ndarray, start: np.ndarray, doc: np.ndarray, record: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = np.lib.stride_tricks.sliding_window_view(data, WIN)[start[record] + offset]
     keys = np.ascontiguousarray(rows).view(f"S{WIN}").reshape(-1)
     order = np.argsort(keys, kind="stable")
