@@ -76,3 +76,22 @@ def test_only_the_first_positions_are_built_as_windows(monkeypatch):
     for heads, slide in sm.sliding_blocks(iter([batch]), np.ones((40, 3), np.float32), np.ones(40, bool), 8, 50):
         n += sum(len(h[1]) for h in heads) + int(slide[-1].sum())
     assert n == 2000 and sum(built) == 8
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_summaries_of_features_are_taken_where_they_are_built(spark, limit):
+    draw = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, draw.integers(0, 12, int(draw.integers(1, 60))).tolist()) for i in range(20)], "doc_id long, ids array<long>")
+    vectors = spark.createDataFrame([(i, draw.normal(size=3).tolist()) for i in range(11)], "token_id long, embedding array<double>")
+    from wordloom.plans import queries as q
+    want = {(r.doc_id, r.pos): r for r in sm.next_token_features(docs, vectors, 4, 50, max_broadcast_rows=limit).collect()}
+    got = sm.next_token_features(docs, vectors, 4, 50, chunk=16, max_broadcast_rows=limit, summary=(q._feature_checksums, q._CHECKSUMS))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "array<double>" not in plan and got.columns[3:] == q._CHECKSUMS.names
+    rows = got.collect()
+    assert len(rows) == len(want) > 50
+    for r in rows:
+        w = want[r.doc_id, r.pos]
+        assert (r.target_id, r.n_features) == (w.target_id, 12)
+        for values, plain, weighted in ((w.features, r.feature_sum, r.feature_weighted), (w.target, r.target_sum, r.target_weighted)):
+            assert np.isclose(sum(values), plain) and np.isclose(sum((k + 1) * x for k, x in enumerate(values)), weighted)
